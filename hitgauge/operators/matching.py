@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast up to this many bytes of float32 vectors.
 BROADCAST_BYTES = 64 << 20
+# Matches are marked for broadcast up to this many rows of about 50 bytes.
+BROADCAST_ROWS = 200_000
 # Vectors of one side of a tile.
 TILE_BYTES = 64 << 20
 # One block of the similarity matrix inside a task.
@@ -290,7 +292,8 @@ def match_top_k(
 
     row_bytes = _row_bytes(q)
     n_queries = queries.count()
-    if n_queries * row_bytes <= broadcast_bytes:
+    few = n_queries * row_bytes <= broadcast_bytes
+    if few:
         found = _match_few_queries(q, c, spec)
     else:
         n_cache = cache.count()
@@ -301,7 +304,9 @@ def match_top_k(
             found = _match_tiles(q, c, (n_queries, n_cache), tile_rows, spec)
     found = merge_best(found, k)
     group = [F.col("grp").alias(by)] if by else []
-    return found.select(*group, F.col("query_id").alias(query_id), "match_id", "score", "rank")
+    found = found.select(*group, F.col("query_id").alias(query_id), "match_id", "score", "rank")
+    # The k rows of few queries are as bounded as the queries were: joins may broadcast them.
+    return F.broadcast(found) if few and n_queries * k <= BROADCAST_ROWS else found
 
 
 def match_top_1(queries: DataFrame, cache: DataFrame, **options) -> DataFrame:
@@ -317,11 +322,15 @@ def match_self(
 
 
 def attach_match(matches: DataFrame, cache: DataFrame, cache_id: str, payload: dict[str, str]) -> DataFrame:
-    """Add columns of the matched cache row, renamed as in ``payload`` (cache column -> new name)."""
+    """Add columns of the matched cache row, renamed as in ``payload`` (cache column -> new name).
+
+    Every match is a row of the cache, so this is an inner join in which few matches are the
+    broadcast side and the cache texts are not shuffled.
+    """
     wanted = cache.select(
         F.col(cache_id).alias("match_id"), *[F.col(c).alias(n) for c, n in payload.items()]
     )
-    return matches.join(wanted, "match_id", "left")
+    return wanted.join(matches, "match_id")
 
 
 def with_no_hit_default(

@@ -3,22 +3,23 @@
 A row's place in a seeded order is ``md5(seed|id)``, ties by id, so a sample is the same on every
 cluster. A sample of n rows is "all rows up to the n-th key of that order": once this cutoff key
 is known, sample and remainder are two filters on the same scan. No row is moved, and neither a
-global sort nor an anti join is needed.
+global sort nor an anti join is needed. ``id`` must be unique.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitgauge.staging import attach, stage
 
-# Up to this sample size the cutoff is found by a top-n (n rows per task reach the driver's merge).
-TOP_N_LIMIT = 50_000
-# md5 digits that each counting round of a larger sample resolves: 4096 counters per group.
-DIGITS_PER_ROUND = 3
-# Rows with one key prefix that may be sorted together; more of them get another counting round.
-SORT_LIMIT = 1_000_000
+# Standard deviations around the expected cutoff key inside which the true one is looked for.
+BRACKET_SIGMAS = 10
+_HEX_DIGITS = 13  # 52 bits, exact in a float
+_ABOVE_HEX = "g"
 
 
 def seeded_key(seed: int | Column, id_col: str | Column) -> Column:
@@ -33,70 +34,55 @@ def seeded_position(seed: int | Column, id_col: str | Column) -> Column:
     return F.conv(F.substring(seeded_key(seed, id_col), 1, 15), 16, 10).cast("long")
 
 
-def order_cutoffs(keyed: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+def _key_at(share: float) -> str:
+    return _ABOVE_HEX if share >= 1 else f"{int(max(share, 0.0) * 16**_HEX_DIGITS):0{_HEX_DIGITS}x}"
+
+
+def order_cutoffs(keyed: DataFrame, by: list[str], total: int, wanted: int) -> DataFrame:
     """Per group, the last key of its first ``wanted`` rows in (_key, _id) order.
 
-    ``keyed`` has the group columns, ``_key`` (md5 text) and ``_id``; ``wanted`` may use ``_total``,
-    the size of the group. Counting rows per key prefix finds the prefix in which the cutoff lies;
-    rounds with longer prefixes follow until few enough rows share it to be sorted.
+    ``keyed`` has the group columns, ``_key`` (md5 text) and ``_id``; every group has ``total``
+    rows. md5 keys are evenly spread, so the wanted one lies close to ``wanted / total`` of the key
+    range: rows below that bracket are only counted and rows above it ignored. What is left to rank
+    are about ``20 * sqrt(total)`` rows per group.
     """
-    group = Window.partitionBy(*by)
-    left: DataFrame | None = None
-    digits = 0
-    while True:
-        digits += DIGITS_PER_ROUND
-        rows = keyed.withColumn("_prefix", F.substring("_key", 1, digits))
-        if left is None:
-            target = F.when(wanted.isNotNull(), F.least(wanted, F.col("_total")))
-            counts = (
-                rows.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-                .withColumn("_total", F.sum("_n").over(group))
-                .withColumn("_left", target)
-            )
-        else:
-            parent = left.select(*by, F.col("_prefix").alias("_parent"), "_left")
-            inside = attach(rows, parent, by).filter(F.col("_prefix").startswith(F.col("_parent")))
-            counts = inside.groupBy(*by, "_prefix").agg(
-                F.count(F.lit(1)).alias("_n"), F.first("_left").alias("_left")
-            )
-        before = F.sum("_n").over(group.orderBy("_prefix")) - F.col("_n")
-        left = stage(
-            counts.withColumn("_before", before)
-            .filter((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_n")))
-            .select(*by, "_prefix", "_n", (F.col("_left") - F.col("_before")).alias("_left")),
-            "cutoff-prefix",
-        )
-        largest = left.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= SORT_LIMIT or digits >= 30:
-            break
-    last = attach(keyed, left.drop("_n"), by).filter(F.col("_key").startswith(F.col("_prefix")))
-    place = F.row_number().over(group.orderBy("_key", "_id"))
-    return stage(
-        last.withColumn("_place", place)
-        .filter(F.col("_place") == F.col("_left"))
-        .select(*by, F.col("_key").alias("_cut_key"), F.col("_id").alias("_cut_id")),
-        "cutoff",
+    share = wanted / total
+    margin = (BRACKET_SIGMAS * math.sqrt(total * share * (1 - share)) + BRACKET_SIGMAS) / total
+    low, high = _key_at(share - margin), _key_at(share + margin)
+    counted = (
+        keyed.filter(F.col("_key") < high)
+        .withColumn("_row", F.when(F.col("_key") >= low, F.struct("_key", "_id")))
+        .groupBy(*by, "_row").agg(F.count(F.lit(1)).alias("_n"))
     )
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.col("_row").asc_nulls_first()))
+    last = counted.withColumn("_upto", upto).filter(
+        F.col("_row").isNotNull()
+        & (F.col("_upto") - F.col("_n") < wanted)
+        & (F.col("_upto") >= wanted)
+    )
+    exact = F.when(F.col("_upto") == wanted, F.col("_row._key")).otherwise(
+        F.raise_error(F.lit("the id column of a sample must be unique"))
+    )
+    return last.select(*by, exact.alias("_cut_key"), F.col("_row._id").alias("_cut_id"))
 
 
 def _within(key: Column, ident: Column, cut_key: Column, cut_id: Column) -> Column:
-    return F.coalesce((key < cut_key) | ((key == cut_key) & (ident <= cut_id)), F.lit(False))
+    return (key < cut_key) | ((key == cut_key) & (ident <= cut_id))
 
 
 def mark_sample(
     df: DataFrame, id_col: str, n: int, seed: int = 42, flag: str = "is_query"
 ) -> DataFrame:
     """Flag exactly ``min(n, count)`` rows, without replacement."""
+    total = df.count()
+    if n <= 0 or n >= total:
+        return df.withColumn(flag, F.lit(n > 0))
     keyed = df.select(seeded_key(seed, id_col).alias("_key"), F.col(id_col).alias("_id"))
-    if n <= TOP_N_LIMIT:
-        # The maximum exists only if n > 0; without it no row lies within the cutoff.
-        last = keyed.orderBy("_key", "_id").limit(n).agg(F.max(F.struct("_key", "_id")).alias("m"))
-        cut = last.select(F.col("m._key").alias("_cut_key"), F.col("m._id").alias("_cut_id"))
-    else:
-        cut = order_cutoffs(keyed, [], F.lit(n))
-    marked = attach(df.withColumn("_key", seeded_key(seed, id_col)), cut, [])
-    inside = _within(F.col("_key"), F.col(id_col), F.col("_cut_key"), F.col("_cut_id"))
-    return marked.withColumn(flag, inside).drop("_key", "_cut_key", "_cut_id")
+    cut = order_cutoffs(keyed, [], total, n).first()
+    if cut is None:
+        raise ValueError("the id column of a sample must be unique")
+    key, ident = seeded_key(seed, id_col), F.col(id_col)
+    return df.withColumn(flag, _within(key, ident, F.lit(cut["_cut_key"]), F.lit(cut["_cut_id"])))
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -110,6 +96,7 @@ def split_queries_cache(
     n_samples: int = 100,
     cache: DataFrame | None = None,
     seed: int = 42,
+    cache_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Queries and cache with a shuffled ``cache_pos``.
 
@@ -119,52 +106,68 @@ def split_queries_cache(
     marked = mark_sample(log, id_col, n_samples, seed)
     queries = marked.filter("is_query").drop("is_query")
     rest = marked.filter(~F.col("is_query")).drop("is_query") if cache is None else cache
-    return queries, rest.withColumn("cache_pos", seeded_position(seed, id_col))
+    return queries, rest.withColumn("cache_pos", seeded_position(seed, cache_id or id_col))
 
 
-def bootstrap_runs(
+def bootstrap_splitter(
     log: DataFrame,
     id_col: str,
     n_runs: int = 5,
     sample_ratio: float = 0.8,
     n_samples: int = 100,
-) -> DataFrame:
-    """All runs' splits in one table: ``run``, ``is_query``, ``cache_pos`` beside the log's columns.
+) -> Callable[[DataFrame], DataFrame]:
+    """Draw all runs of a log once; the result adds the runs to any table with the log's ids.
 
     Run i takes ``round(sample_ratio * count)`` rows as its universe (seed i), ``n_samples`` of
-    them as queries (seed i + 1000) and shuffles the rest as cache (seed i + 2000). A run whose
-    universe is not larger than ``n_samples`` is left out.
+    them as queries (seed i + 1000) and shuffles the rest as cache (seed i + 2000). A universe that
+    is not larger than ``n_samples`` gives no run. The splitter repeats each row per run and adds
+    ``run``, ``is_query`` and ``cache_pos``; only two cutoff keys per run are kept.
     """
+    run, total = F.col("run"), log.count()
+    size = round(sample_ratio * total)  # half to even
+
     def fan_out(df: DataFrame) -> DataFrame:
         return df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))
 
-    run = F.col("run")
-    ids = fan_out(log.select(F.col(id_col).alias("_id")))
-    size = F.bround(F.lit(sample_ratio) * F.col("_total")).cast("long")
-
-    universe_cut = order_cutoffs(ids.withColumn("_key", seeded_key(run, "_id")), ["run"], size)
-    universe_cut = universe_cut.toDF("run", "_u_key", "_u_id")
-
-    def universe(df: DataFrame, ident: str) -> DataFrame:
-        keyed = attach(df.withColumn("_k1", seeded_key(run, ident)), universe_cut, ["run"])
-        return keyed.filter(
-            _within(F.col("_k1"), F.col(ident), F.col("_u_key"), F.col("_u_id"))
-        ).drop("_k1", "_u_key", "_u_id")
-
-    in_run = universe(ids, "_id").withColumn("_key", seeded_key(run + 1000, "_id"))
-    # No cutoff is wanted, and so no query or cache row kept, where the universe is too small.
-    wanted = F.when(F.col("_total") > n_samples, F.lit(n_samples).cast("long"))
-    query_cut = order_cutoffs(in_run, ["run"], wanted)
-
-    rows = universe(fan_out(log), id_col).withColumn("_key", seeded_key(run + 1000, id_col))
-    rows = attach(rows, query_cut, ["run"]).filter(F.col("_cut_key").isNotNull())
-    is_query = _within(F.col("_key"), F.col(id_col), F.col("_cut_key"), F.col("_cut_id"))
-    return (
-        rows.withColumn("is_query", is_query)
-        .withColumn("cache_pos", F.when(~is_query, seeded_position(run + 2000, id_col)))
-        .drop("_key", "_cut_key", "_cut_id")
+    def up_to_cut(seed: Column) -> Column:
+        return _within(seeded_key(seed, id_col), F.col(id_col), F.col("_cut_key"), F.col("_cut_id"))
+
+    def keyed(df: DataFrame, seed: Column) -> DataFrame:
+        return df.select("run", seeded_key(seed, id_col).alias("_key"), F.col(id_col).alias("_id"))
+
+    if size <= n_samples:
+        return lambda df: fan_out(df.limit(0)).withColumns(
+            {"is_query": F.lit(False), "cache_pos": F.lit(None).cast("long")}
+        )
+    ids = fan_out(log.select(id_col))
+    universe_cuts = None
+    if size < total:
+        universe_cuts = stage(order_cutoffs(keyed(ids, run), ["run"], total, size), "universe-cuts")
+
+    def universe(df: DataFrame) -> DataFrame:
+        if universe_cuts is None:
+            return df
+        return attach(df, universe_cuts, ["run"]).filter(up_to_cut(run)).drop("_cut_key", "_cut_id")
+
+    query_cuts = stage(
+        order_cutoffs(keyed(universe(ids), run + 1000), ["run"], size, n_samples), "query-cuts"
     )
 
+    def split(df: DataFrame) -> DataFrame:
+        rows = attach(universe(fan_out(df)), query_cuts, ["run"])
+        return (
+            rows.withColumn("is_query", up_to_cut(run + 1000))
+            .withColumn("cache_pos", F.when(~F.col("is_query"), seeded_position(run + 2000, id_col)))
+            .drop("_cut_key", "_cut_id")
+        )
+
+    return split
+
+
+def bootstrap_runs(log: DataFrame, id_col: str, **options) -> DataFrame:
+    """The log's rows in all runs; options as for :func:`bootstrap_splitter`."""
+    return bootstrap_splitter(log, id_col, **options)(log)
+
 
 def split_overlap(queries: DataFrame, cache: DataFrame, column: str) -> DataFrame:
     """Distinct values that are in both sides of a split (none, by id, in a complement split)."""

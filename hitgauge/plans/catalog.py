@@ -80,14 +80,13 @@ def split_sample_n(spark, sf):
 
 
 @query
-def split_sample_large(spark, sf):
-    """A sample beyond the top-n limit, by counting key prefixes."""
-    orders = table(spark, sf, "orders").select("o_orderkey")
-    keyed = orders.select(
-        sampling.seeded_key(7, "o_orderkey").alias("_key"), F.col("o_orderkey").alias("_id")
+def split_sample_half(spark, sf):
+    """A sample of half the table, and how the two halves compare."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    marked = sampling.mark_sample(orders, "o_orderkey", orders.count() // 2, seed=7, flag="in_sample")
+    return marked.groupBy("o_orderstatus", F.col("in_sample").cast("int").alias("in_sample")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.sum("o_orderkey").alias("sum_keys")
     )
-    cut = sampling.order_cutoffs(keyed.withColumn("g", F.lit(0)), ["g"], F.floor(F.col("_total") / 2))
-    return cut.select(F.col("_cut_key").alias("cut_key"), F.col("_cut_id").alias("cut_id"))
 
 
 @query
@@ -109,10 +108,10 @@ def split_complement(spark, sf):
 @query
 def split_explicit_cache(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
-    cache = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
-    queries, cache = sampling.split_queries_cache(docs, "doc_id", 100, cache)
+    cache = table(spark, sf, "benchmark").select("item_id")
+    queries, cache = sampling.split_queries_cache(docs, "doc_id", 100, cache, cache_id="item_id")
     return queries.select(F.lit("query").alias("side"), "doc_id").unionByName(
-        cache.select(F.lit("cache").alias("side"), "doc_id")
+        cache.select(F.lit("cache").alias("side"), F.col("item_id").alias("doc_id"))
     )
 
 
@@ -900,7 +899,38 @@ def bootstrap_matches(spark, sf):
 @query
 def bootstrap_benchmark(spark, sf):
     """Runs, verdicts, sweeps and leaderboard of both models in one job."""
-    matched = _bootstrap(spark, sf).withColumn("dataset", F.lit("vectors"))
-    done = jobs.full_evaluation(matched, _label_judge, RUN_KEYS)
+    vecs = embeddings(spark, sf).withColumn("half", F.slice("embedding", 1, 32))
+    done, _ = jobs.bootstrap_benchmark(
+        {"vectors": vecs}, {"whole": "embedding", "half": "half"}, _label_judge, id_col="vec_id"
+    )
     stats = jobs.leaderboard(done.sweep, done.judged)
     return stats.select("dataset", "model", "n_runs", *_round_stats(stats))
+
+
+@query
+def bootstrap_benchmark_text(spark, sf):
+    """Two datasets without a judge: score summaries of every run."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    turns = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
+    )
+    done, _ = jobs.bootstrap_benchmark(
+        {"documents": docs, "turns": turns}, {"tokens": hashed_token_encoder()}, id_col="id",
+        n_runs=2, n_samples=50,
+    )
+    return done.summary.withColumn("mean_score", F.round("mean_score", 9))
+
+
+@query
+def evaluation_files(spark, sf):
+    """The named CSV tables of a full evaluation, written and read back."""
+    out = scratch(spark, "evaluation")
+    paths = jobs.write_evaluation(_evaluated(spark, sf), out)
+    judged = csv_files.read_csv(
+        spark, paths[result_tables.JUDGED],
+        "text STRING, matches STRING, similarity_score DOUBLE, actual_label INT",
+    )
+    matches = csv_files.read_csv(
+        spark, paths[result_tables.MATCHES], "text STRING, matches STRING, best_scores DOUBLE"
+    )
+    return judged.join(matches, ["text", "matches"])

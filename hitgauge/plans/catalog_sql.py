@@ -312,9 +312,10 @@ def position(seed: str, key: str) -> str:
 
 
 add("split_sample_n", select=f"SELECT doc_id, lang FROM {ranked('documents', 'doc_id')} WHERE rn <= 100")
-add("split_sample_large",
-    select="""SELECT md5('7|' || o_orderkey) AS cut_key, o_orderkey AS cut_id FROM orders
-    ORDER BY 1, 2 LIMIT 1 OFFSET (SELECT count(*) // 2 - 1 FROM orders)""")
+add("split_sample_half",
+    select=f"""SELECT o_orderstatus, (rn <= (SELECT count(*) // 2 FROM orders))::INTEGER AS in_sample,
+    count(*) AS n, min(o_orderkey) AS first_key, sum(o_orderkey)::BIGINT AS sum_keys
+    FROM {ranked('orders', 'o_orderkey', '7')} GROUP BY ALL""")
 add("split_pass_through", select="SELECT item_id, text FROM benchmark")
 add("split_complement",
     select=f"""SELECT doc_id, (rn <= 100)::INTEGER AS is_query,
@@ -577,3 +578,31 @@ add("bootstrap_benchmark", *BOOT,
     """scored AS (SELECT 'vectors' AS dataset, model, run, round(score, 6) AS similarity_score,
        (ql = cl)::INTEGER AS actual_label FROM best)""",
     *BOARD, select=STATS)
+add("evaluation_files", *EVALUATED,
+    select="""SELECT qid || '#' || ql AS text, cid || '#' || cl AS matches, similarity_score, actual_label,
+    similarity_score AS best_scores FROM scored""")
+
+
+def text_bootstrap(name: str, source: str) -> list[str]:
+    """CTEs ending in ``<name>_best``: two runs of 50 queries against the rest of 80 %."""
+    universe, runs = bootstrap(f"{name}_src", "id", 2, "0.8", 50)
+    return [
+        *text_vectors(source, name),
+        universe.replace("universe AS", f"{name}_universe AS"),
+        runs.replace("runs AS", f"{name}_runs AS").replace("FROM universe", f"FROM {name}_universe"),
+        f"""{name}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, qid
+            ORDER BY round(score, 9) DESC, pos, cid) AS rnk FROM (
+              SELECT q.run, q.id AS qid, c.id AS cid, c.pos, CASE WHEN a.norm * b.norm > 0
+                THEN list_dot_product(a.v, b.v) / (a.norm * b.norm) ELSE 0 END AS score
+              FROM {name}_runs q JOIN {name}_runs c ON c.run = q.run AND q.is_query AND NOT c.is_query
+              JOIN {name} a ON a.id = q.id JOIN {name} b ON b.id = c.id)) WHERE rnk = 1)""",
+    ]
+
+
+add("bootstrap_benchmark_text",
+    *text_bootstrap("docs", DOCS),
+    *text_bootstrap("turns", "SELECT conv_id * 1000 + turn AS id, text FROM conversations"),
+    """scored AS (SELECT 'documents' AS dataset, 'tokens' AS model, run::INTEGER AS run,
+       round(score, 6) AS similarity_score FROM docs_best
+       UNION ALL SELECT 'turns', 'tokens', run::INTEGER, round(score, 6) FROM turns_best)""",
+    select=summary(RUN_KEYS))

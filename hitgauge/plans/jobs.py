@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitgauge.functions.names import folder_name
 from hitgauge.operators.curves import area_under
 from hitgauge.operators.density import densities, overlap
 from hitgauge.operators.encoding import Encoder, encode_rows, hashed_token_encoder
 from hitgauge.operators.judging import label_pairs
 from hitgauge.operators.leaderboard import run_metrics, run_stats
 from hitgauge.operators.matching import attach_match, match_top_1, with_no_hit_default
-from hitgauge.operators.sampling import bootstrap_runs, split_queries_cache
+from hitgauge.operators.sampling import bootstrap_splitter, split_queries_cache
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import MAX_STEPS, sweep_thresholds
-from hitgauge.sources.result_tables import judged_table, matches_table
+from hitgauge.sources.csv_files import read_csv, write_csv
+from hitgauge.sources.result_tables import (
+    CHR_MATCHES, CHR_SWEEP, JUDGED, MATCHES, RUN_KEYS, SWEEP, judged_table, matches_table, write_runs,
+    write_sweep,
+)
 from hitgauge.staging import stage
 
 # Digits kept of a similarity before thresholds, labels and densities are taken from it, so that
@@ -38,10 +44,41 @@ class Evaluation:
 
 
 def load_data(
-    query_log: DataFrame, id_col: str, cache: DataFrame | None = None, n_samples: int = 100, seed: int = 42
+    query_log: DataFrame,
+    id_col: str,
+    cache: DataFrame | None = None,
+    n_samples: int = 100,
+    seed: int = 42,
+    cache_id: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Queries and shuffled cache of an evaluation."""
-    return split_queries_cache(query_log, id_col, n_samples, cache, seed)
+    return split_queries_cache(query_log, id_col, n_samples, cache, seed, cache_id)
+
+
+def load_csv_data(
+    spark: SparkSession,
+    query_log_path: str,
+    cache_path: str | None = None,
+    n_samples: int = 100,
+    schema: str | None = None,
+    id_col: str | None = None,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Queries and cache from CSV paths (local or object store).
+
+    Without ``id_col`` the rows are numbered in ``row_id`` once and staged.
+    """
+    def read(path: str) -> DataFrame:
+        rows = read_csv(spark, path, schema)
+        return rows if id_col else with_row_ids(rows)
+
+    cache = read(cache_path) if cache_path else None
+    return load_data(read(query_log_path), id_col or "row_id", cache, n_samples, seed)
+
+
+def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows of a table without a key. Staged, because a second read may number differently."""
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "row-ids")
 
 
 def run_matching(
@@ -78,7 +115,7 @@ def run_matching(
         q, c, query_id=id_col, cache_id=cache_id, vector=vector, order=order, by=by,
         exclude_self=exclude_self,
     )
-    found = stage(found.withColumn("best_scores", F.round("score", SCORE_DIGITS)).drop("score"), "found")
+    found = found.withColumn("best_scores", F.round("score", SCORE_DIGITS)).drop("score")
     # Texts join the winners only; they never travel with the vectors.
     found = attach_match(found, cache if texts is None else texts, cache_id, {text: "matches"})
     return stage(with_no_hit_default(queries, found, [c for c in (id_col, by) if c]), "matched")
@@ -129,36 +166,103 @@ def bootstrap_matches(
     n_runs: int = 5,
     sample_ratio: float = 0.8,
     n_samples: int = 100,
+    failures: dict[str, str] | None = None,
 ) -> DataFrame:
     """``model, run`` and the matched queries of all bootstrap runs.
 
     A model is an encoder, or the name of a vector column of the log. The splits are drawn once;
-    each model encodes the log once, not once per run.
+    each model encodes the log once, not once per run. With ``failures`` given, a model that
+    fails is noted there and left out instead of stopping the others.
     """
+    split = bootstrap_splitter(log, id_col, n_runs, sample_ratio, n_samples)
     parts = []
     for name, model in models.items():
-        if isinstance(model, str):
-            vectors = log.withColumn("_vec", F.col(model))
-        else:
-            vectors = encode_rows(log, text, model).withColumnRenamed("embedding", "_vec")
-        vectors = stage(vectors.select(id_col, text, "_vec"), "model-vectors")
-        runs = bootstrap_runs(vectors, id_col, n_runs, sample_ratio, n_samples)
-        matched = run_matching(
-            runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
-            id_col=id_col, text=text, vector="_vec", by="run", texts=vectors,
-        )
-        parts.append(matched.select(F.lit(name).alias("model"), "run", id_col, text, "match_id", "matches", "best_scores"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        try:
+            if isinstance(model, str):
+                vectors = log.select(id_col, text, F.col(model).alias("_vec"))
+            else:
+                encoded = encode_rows(log.select(id_col, text), text, model)
+                vectors = stage(encoded.withColumnRenamed("embedding", "_vec"), "model-vectors")
+            runs = split(vectors)
+            matched = run_matching(
+                runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
+                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors,
+            )
+        except Exception as problem:
+            if failures is None:
+                raise
+            failures[name] = str(problem)
+            continue
+        columns = ["run", id_col, text, "match_id", "matches", "best_scores"]
+        parts.append(matched.select(F.lit(name).alias("model"), *columns))
+    if not parts:
+        raise ValueError(f"no model could be evaluated: {failures}")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def leaderboard(
     sweeps: DataFrame, judged: DataFrame, run_keys: list[str] | None = None
 ) -> DataFrame:
     """Mean and deviation of curve area and density overlap per dataset and model."""
-    run_keys = run_keys or ["dataset", "model", "run"]
+    run_keys = run_keys or RUN_KEYS
     aucs = area_under(sweeps, run_keys)
     overlaps = overlap(densities(judged, run_keys), run_keys)
     return run_stats(run_metrics(aucs, overlaps, run_keys))
+
+
+def bootstrap_benchmark(
+    datasets: dict[str, DataFrame],
+    models: dict[str, Encoder | str],
+    judge: JudgePairs | None = None,
+    *,
+    id_col: str,
+    text: str = "text",
+    n_runs: int = 5,
+    sample_ratio: float = 0.8,
+    n_samples: int = 100,
+    steps: int = MAX_STEPS,
+) -> tuple[Evaluation, dict[str, str]]:
+    """Every dataset with every model and run, evaluated in one job over all runs.
+
+    Returns the evaluation, keyed by ``dataset, model, run``, and the failures by
+    ``dataset/model``; a failing combination does not stop the others.
+    """
+    failures: dict[str, str] = {}
+    parts = []
+    for dataset, log in datasets.items():
+        failed: dict[str, str] = {}
+        try:
+            matched = bootstrap_matches(
+                log, models, id_col=id_col, text=text, n_runs=n_runs,
+                sample_ratio=sample_ratio, n_samples=n_samples, failures=failed,
+            )
+            parts.append(matched.withColumn("dataset", F.lit(dataset)))
+        except Exception as problem:
+            failed.setdefault("*", str(problem))
+        failures |= {f"{dataset}/{model}": why for model, why in failed.items()}
+    if not parts:
+        raise ValueError(f"no dataset could be evaluated: {failures}")
+    matched = functools.reduce(DataFrame.unionByName, parts)
+    if judge is None:
+        return chr_evaluation(matched, RUN_KEYS, text, steps), failures
+    return full_evaluation(matched, judge, RUN_KEYS, text, steps=steps), failures
+
+
+def write_evaluation(done: Evaluation, output_dir: str) -> dict[str, str]:
+    """Write the tables of a one-run evaluation under their fixed names; returns their paths."""
+    full = done.judged is not None
+    matches = MATCHES if full else CHR_MATCHES
+    paths = {matches: write_csv(done.matches, output_dir, matches)}
+    if full:
+        paths[JUDGED] = write_csv(done.judged, output_dir, JUDGED)
+    sweep = SWEEP if full else CHR_SWEEP
+    paths[sweep] = write_sweep(done.sweep, output_dir, sweep)
+    return paths
+
+
+def write_benchmark(done: Evaluation, output_dir: str) -> None:
+    """Write all runs of a benchmark, a folder per dataset, model and run in each table."""
+    for name, df in (("matches", done.matches), ("sweep", done.sweep), ("judged", done.judged)):
+        if df is not None:
+            safe = df.withColumn("model", folder_name(F.col("model")))
+            write_runs(safe, f"{output_dir.rstrip('/')}/{name}")
