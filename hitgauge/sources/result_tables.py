@@ -11,6 +11,7 @@ written as one partitioned Parquet table instead, see :func:`write_runs`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,10 +34,10 @@ SWEEP_SCHEMA = (
 )
 RUN_KEYS = ["dataset", "model", "run"]
 
-# Path of a table below the tree: dataset, folder, (run, stamp,) table, (part file).
+# Path of a table below the base: dataset, folder, (run, stamp,) table, (part file).
 _TABLE = "(" + "|".join(t.replace(".", r"\.") for t in (CHR_MATCHES, CHR_SWEEP, MATCHES, JUDGED, SWEEP)) + ")"
-_NEW = rf"^(.*/([^/]+)/([^/]+)/(run_[^/]+)/([^/]+))/{_TABLE}(?:/[^/]*)?$"
-_OLD = rf"^(.*/([^/]+)/([^/]+))/{_TABLE}(?:/[^/]*)?$"
+_NEW = rf"([^/]+)/([^/]+)/(run_[^/]+)/([^/]+))/{_TABLE}(?:/[^/]*)?$"
+_OLD = rf"([^/]+)/([^/]+))/{_TABLE}(?:/[^/]*)?$"
 
 
 def matches_table(matched: DataFrame, text: str) -> DataFrame:
@@ -66,10 +67,16 @@ def run_dir(output_dir: str, dataset: str, model_folder: str, run: int, stamp: s
     return f"{output_dir.rstrip('/')}/{dataset}/{model_folder}/run_{run}/{stamp}"
 
 
+def _file_path() -> Column:
+    """Path of a row's file as it was written; the metadata column is URL-encoded."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def _listing(spark: SparkSession, base: str) -> DataFrame:
     """Paths of all files under ``base``; only the listing is read, never the content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    return files.select(F.col("_metadata.file_path").alias("path"))
+    return files.select(_file_path().alias("path"))
 
 
 def crawl_runs(
@@ -81,12 +88,15 @@ def crawl_runs(
     layout are runs of their model if they hold a sweep table.
     """
     paths = _listing(spark, base)
+    # scheme, and whatever stands before the base as it was given
+    root = rf"^(\w+:/+(?:.*?/)?{re.escape(re.sub(r'^\w+:', '', base).strip('/'))}/"
+    new_re, old_re = root + _NEW, root + _OLD
 
     def fields(pattern: str, names: list[str]) -> list[Column]:
         return [F.regexp_extract("path", pattern, i).alias(n) for i, n in enumerate(names, 1)]
 
-    new = paths.filter(F.col("path").rlike(_NEW)).select(
-        *fields(_NEW, ["run_path", "dataset", "folder", "run", "ts", "table"])
+    new = paths.filter(F.col("path").rlike(new_re)).select(
+        *fields(new_re, ["run_path", "dataset", "folder", "run", "ts", "table"])
     )
     attempts = new.groupBy("dataset", "folder", "run", "ts", "run_path").agg(
         F.collect_set("table").alias("tables")
@@ -96,8 +106,8 @@ def crawl_runs(
     ).select("dataset", "folder", "run", "a.ts", "a.run_path", "a.tables")
 
     old = (
-        paths.filter(F.col("path").rlike(_OLD) & ~F.col("path").rlike(_NEW))
-        .select(*fields(_OLD, ["run_path", "dataset", "folder", "table"]))
+        paths.filter(F.col("path").rlike(old_re) & ~F.col("path").rlike(new_re))
+        .select(*fields(old_re, ["run_path", "dataset", "folder", "table"]))
         .groupBy("dataset", "folder", "run_path").agg(F.collect_set("table").alias("tables"))
         .filter(F.array_contains("tables", SWEEP))
         .select("dataset", "folder", F.col("folder").alias("run"), F.lit("").alias("ts"), "run_path", "tables")
@@ -122,7 +132,7 @@ def _read_of_runs(runs: DataFrame, table: str, schema: str) -> DataFrame:
     rows = spark.createDataFrame([], f"{schema}, _path STRING")
     if found:
         reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-        rows = reader.schema(schema).csv(found).select("*", F.col("_metadata.file_path").alias("_path"))
+        rows = reader.schema(schema).csv(found).select("*", _file_path().alias("_path"))
     run_path = F.regexp_extract("_path", rf"^(.*)/{table}(?:/[^/]*)?$", 1)
     return rows.withColumn("run_path", run_path).drop("_path").join(having, "run_path")
 
