@@ -15,11 +15,13 @@ bits of a dot product depend on the order of its sums.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ TILE_BYTES = 64 << 20
 # One block of the similarity matrix inside a task.
 SIMILARITY_BYTES = 64 << 20
 TIE_DIGITS = 9
+TIE_MARGIN = 1.1 * 10.0**-TIE_DIGITS
 # Multiplications per row from which an even spread over all cores is worth a shuffle of the rows.
 SPREAD_FROM = 1 << 20
 
@@ -54,10 +57,12 @@ class Vectors:
     order: np.ndarray
     group: np.ndarray
     values: np.ndarray
-    norms: np.ndarray
+    is_sorted: bool = False
 
     @staticmethod
     def from_arrow(table: pa.Table | pa.RecordBatch) -> Vectors:
+        # Rows without a vector are dropped here: a filter in the plan would run an encoder twice.
+        table = table.filter(pc.is_valid(table.column("vec")))
         column = table.column("vec")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -66,46 +71,54 @@ class Vectors:
         dim = len(flat) // n if n else 0
         if not np.all(np.diff(column.offsets.to_numpy()) == dim):
             raise ValueError("all vectors must have the same number of dimensions")
-        values = flat.reshape(n, dim).astype(np.float32, copy=False)
-        wide = values.astype(np.float64)
         return Vectors(
             ids=table.column("id").to_numpy(),
             order=table.column("ord").to_numpy(),
             group=table.column("grp").to_numpy(),
-            values=values,
-            norms=np.sqrt(np.einsum("ij,ij->i", wide, wide)),
+            values=flat.reshape(n, dim).astype(np.float32, copy=False),
         )
 
-    def take(self, rows: np.ndarray) -> Vectors:
-        return Vectors(
-            self.ids[rows], self.order[rows], self.group[rows], self.values[rows], self.norms[rows]
-        )
+    @functools.cached_property
+    def unit(self) -> np.ndarray:
+        """The vectors in double at unit length; a vector without length stays zero."""
+        wide = self.values.astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        return np.divide(wide, norms[:, None], out=wide, where=norms[:, None] > 0)
 
-    def by_position(self) -> Vectors:
-        return self.take(np.lexsort((self.ids, self.order)))
+    def sorted(self) -> Vectors:
+        """The same vectors by group and position, so that each group is one slice."""
+        if self.is_sorted:
+            return self
+        rows = np.lexsort((self.ids, self.order, self.group))
+        return Vectors(self.ids[rows], self.order[rows], self.group[rows], self.values[rows], True)
 
 
-def _similarities(q: Vectors, c: Vectors, spec: MatchSpec) -> np.ndarray:
-    products = q.values.astype(np.float64) @ c.values.astype(np.float64).T
-    norms = np.outer(q.norms, c.norms)
-    scores = np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
-    if spec.exclude_self:
-        scores[(q.ids[:, None] + spec.self_offset) == c.ids[None, :]] = -np.inf
-    return scores
+def _first_best(scores: np.ndarray) -> np.ndarray:
+    """Left-most column of each row whose rounded score is the highest.
+
+    Only scores a hair below the maximum can round to the same number, so the first of those is
+    the answer unless it happens to round differently; such rows are rounded as a whole.
+    """
+    top = scores.max(axis=1)
+    first = np.argmax(scores >= (top - TIE_MARGIN)[:, None], axis=1)
+    at_first = scores[np.arange(len(scores)), first]
+    unsure = np.round(at_first, TIE_DIGITS) != np.round(top, TIE_DIGITS)
+    if unsure.any():
+        first[unsure] = np.argmax(np.round(scores[unsure], TIE_DIGITS), axis=1)
+    return first
 
 
 def _best_in_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best columns of each row; equal scores go to the left column."""
-    ranked = np.round(scores, TIE_DIGITS)
     if k == 1:
-        rows, cols = np.arange(len(ranked)), np.argmax(ranked, axis=1)
+        rows, cols = np.arange(len(scores)), _first_best(scores)
     else:
-        if k < ranked.shape[1]:
-            kth = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, -k]
-            rows, cols = np.nonzero(ranked >= kth[:, None])
+        if k < scores.shape[1]:
+            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+            rows, cols = np.nonzero(scores >= (kth - TIE_MARGIN)[:, None])
         else:
-            rows, cols = np.indices(ranked.shape).reshape(2, -1)
-        by_rank = np.lexsort((cols, -ranked[rows, cols], rows))
+            rows, cols = np.indices(scores.shape).reshape(2, -1)
+        by_rank = np.lexsort((cols, -np.round(scores[rows, cols], TIE_DIGITS), rows))
         rows, cols = rows[by_rank], cols[by_rank]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         rows, cols = rows[place < k], cols[place < k]
@@ -115,19 +128,23 @@ def _best_in_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _best(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
     """Best k of ``c`` per vector of ``q`` within each group, block by block."""
+    c = c.sorted()
     parts: list[tuple[np.ndarray, ...]] = []
     for group in np.intersect1d(q.group, c.group):
         q_rows = np.flatnonzero(q.group == group)
-        cached = c.take(np.flatnonzero(c.group == group)).by_position()
-        height = max(1, min(len(q_rows), 1024))
+        start, end = np.searchsorted(c.group, [group, group + 1])
+        height = min(len(q_rows), 1024)
         width = max(1, SIMILARITY_BYTES // 8 // height)
-        for left in range(0, len(cached.ids), width):
-            block = cached.take(np.arange(left, min(left + width, len(cached.ids))))
+        for left in range(start, end, width):
+            block = slice(left, min(left + width, end))
             for top in range(0, len(q_rows), height):
                 idx = q_rows[top : top + height]
-                scores = _similarities(q.take(idx), block, spec)
+                scores = q.unit[idx] @ c.unit[block].T
+                if spec.exclude_self:
+                    scores[(q.ids[idx, None] + spec.self_offset) == c.ids[None, block]] = -np.inf
                 rows, cols = _best_in_block(scores, spec.k)
-                parts.append((idx[rows], block.order[cols], block.ids[cols], scores[rows, cols]))
+                cols_in_c = cols + left
+                parts.append((idx[rows], c.order[cols_in_c], c.ids[cols_in_c], scores[rows, cols]))
     return _keep_best(parts, spec.k)
 
 
@@ -168,17 +185,17 @@ def _vector_rows(
         F.col(order or id_col).cast("long").alias("ord"),
         group.alias("grp"),
         F.col(vector).cast("array<float>").alias("vec"),
-    ).filter(F.col("vec").isNotNull())
+    )
 
 
 def _row_bytes(rows: DataFrame) -> int:
     """Bytes of one vector; the kernel checks that all vectors have this many dimensions."""
-    first = rows.select(F.size("vec")).first()
+    first = rows.select(F.size("vec")).filter(F.col("vec").isNotNull()).first()
     return 4 * max(1, first[0] if first else 1)
 
 
 def _collect_small(rows: DataFrame) -> Vectors:
-    return Vectors.from_arrow(rows.toArrow())
+    return Vectors.from_arrow(rows.toArrow()).sorted()
 
 
 def _spread(rows: DataFrame, work_per_row: int) -> DataFrame:
@@ -244,7 +261,7 @@ def _match_tiles(
 
 
 _NONE = np.zeros(0, dtype=np.int64)
-_NO_VECTORS = Vectors(_NONE, _NONE, _NONE, np.zeros((0, 0), dtype=np.float32), np.zeros(0))
+_NO_VECTORS = Vectors(_NONE, _NONE, _NONE, np.zeros((0, 0), dtype=np.float32))
 
 
 def merge_best(found: DataFrame, k: int) -> DataFrame:

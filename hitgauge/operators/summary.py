@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitgauge.staging import attach, stage
 
-# Rank accuracy of the sketch that brackets the median: about 8 rows in 10,000 lie inside.
-SKETCH_ACCURACY = 10_000
+# The sketch finds a rank up to count / SKETCH_ACCURACY; it is merged from every task, so it is
+# kept small and a second pass narrows the bracket where that still leaves too many rows.
+SKETCH_ACCURACY = 1_000
+MARGIN = 4.0 / SKETCH_ACCURACY
+# Rows of one group that are ranked together.
+RANK_LIMIT = 1_000_000
+NARROWING_BINS = 4096
+
+
+def _ranks(n: Column) -> tuple[Column, Column]:
+    """The one or two middle ranks, from 1."""
+    return F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+
+
+def _with_upto(counted: DataFrame, by: list[str], key: str) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.col(key).asc_nulls_first())
+    upto = F.sum("_c").over(order)
+    return counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("_before") < rank) & (rank <= F.col("_upto"))
+
+
+def _narrow(rows: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """Tighter brackets: the bins of the bracket, by their own extreme scores, that hold the middle."""
+    s, low, high = F.col("_s"), F.col("_low"), F.col("_high")
+    width = (high - low) / NARROWING_BINS
+    place = F.when(width > 0, F.least(F.floor((s - low) / width), F.lit(NARROWING_BINS - 1))).otherwise(0)
+    counted = (
+        attach(rows, bounds, by).filter(s <= high)
+        .withColumn("_bin", F.when(s >= low, place))
+        .groupBy(*by, "_bin").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_s").alias("_min"), F.max("_s").alias("_max"),
+            F.first("n").alias("n"),
+        )
+    )
+    lower, upper = _ranks(F.col("n"))
+    return stage(
+        _with_upto(counted, by, "_bin").groupBy(*by).agg(
+            F.first("n").alias("n"),
+            F.max(F.when(_holds(lower), F.col("_min"))).alias("_low"),
+            F.max(F.when(_holds(upper), F.col("_max"))).alias("_high"),
+        ),
+        "median-bracket",
+    )
 
 
 def score_summary(
@@ -21,13 +65,12 @@ def score_summary(
     """
     by = by or []
     rows = scored.select(*by, F.col(score).cast("double").alias("_s")).filter(F.col("_s").isNotNull())
-    margin = 4.0 / SKETCH_ACCURACY
     stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_s").alias("min_score"),
         F.max("_s").alias("max_score"),
         F.avg("_s").alias("mean_score"),
-        F.percentile_approx("_s", [0.5 - margin, 0.5 + margin], SKETCH_ACCURACY).alias("_bracket"),
+        F.percentile_approx("_s", [0.5 - MARGIN, 0.5 + MARGIN], SKETCH_ACCURACY).alias("_bracket"),
     )
     stats = stage(
         stats.select(
@@ -37,34 +80,34 @@ def score_summary(
         "score-summary",
     )
     bounds = stats.select(*by, "n", "_low", "_high")
+    largest = stats.agg(F.max("n")).first()[0] or 0
+    if largest * 2 * MARGIN > RANK_LIMIT:
+        bounds = _narrow(rows, bounds, by)
     near = attach(rows, bounds, by).filter(F.col("_s") <= F.col("_high"))
     # Everything below the bracket becomes one counted row; copies of a score become one row too.
     counted = (
         near.withColumn("_v", F.when(F.col("_s") >= F.col("_low"), F.col("_s")))
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
     )
-    order = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(order)
-    ranked = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_c"))
-    lower_rank = F.floor((F.col("n") + 1) / 2)
-    upper_rank = F.floor((F.col("n") + 2) / 2)
 
-    def at(rank):
-        return F.max(F.when((F.col("_before") < rank) & (rank <= F.col("_upto")), F.col("_v")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when(_holds(rank), F.col("_v")))
 
-    medians = ranked.groupBy(*by).agg(((at(lower_rank) + at(upper_rank)) / 2).alias("_median"))
+    lower, upper = _ranks(F.col("n"))
+    medians = _with_upto(counted, by, "_v").groupBy(*by).agg(
+        ((at(lower) + at(upper)) / 2).alias("_median")
+    )
     with_median = attach(stats, medians, by)
     has_nan = F.isnan(F.col("max_score"))  # NaN sorts above every number
     nan = F.lit(float("nan"))
+    lost = F.col("_median").isNull() & (F.col("n") > 0)
+    median = F.when(
+        lost, F.raise_error(F.lit("the sketch did not bracket the median")).cast("double")
+    ).otherwise(F.col("_median"))
     return with_median.select(
         *by, "n",
         F.when(has_nan, nan).otherwise(F.col("min_score")).alias("min_score"),
         "max_score",
         "mean_score",
-        F.when(has_nan, nan).otherwise(
-            F.when(
-                F.col("_median").isNull() & (F.col("n") > 0),
-                F.raise_error(F.lit("the sketch did not bracket the median")).cast("double"),
-            ).otherwise(F.col("_median"))
-        ).alias("median_score"),
+        F.when(has_nan, nan).otherwise(median).alias("median_score"),
     )

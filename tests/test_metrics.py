@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from hitgauge.functions.metrics import accuracy, f_beta, precision, recall
+from hitgauge.operators import summary
 from hitgauge.operators.checks import check_hit_ratio, check_label_metrics
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import SWEEP_COLUMNS, metrics_at, sweep_thresholds
@@ -146,14 +147,20 @@ def test_summary_equals_numpy(spark, values):
     assert row.median_score == float(np.median(np.array(values, dtype=float)))
 
 
-def test_median_of_many_rows_with_hot_values(spark):
-    """Beyond the exact range of the sketch; a third of the rows share one score."""
+@pytest.mark.parametrize("rank_limit", [1_000_000, 10])
+def test_median_of_many_rows_with_hot_values(spark, monkeypatch, rank_limit):
+    """Beyond the exact range of the sketch, with and without narrowing; a third share one score."""
+    monkeypatch.setattr(summary, "RANK_LIMIT", rank_limit)
     n = 300_000
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise((F.hash("id") % 100_000) / 100_000).alias("similarity_score")
     )
     values = np.array([r[0] for r in df.collect()])
     assert score_summary(df).first().median_score == float(np.median(values))
+    halves = score_summary(df.withColumn("side", F.col("similarity_score") > 0.3), ["side"]).collect()
+    for row in halves:
+        part = values[(values > 0.3) == row.side]
+        assert row.median_score == float(np.median(part))
 
 
 def test_summary_with_nan(spark):
