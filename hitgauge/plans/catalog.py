@@ -8,7 +8,6 @@ score, return flag as label, ship year as dataset, line status as model and line
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from hitgauge.operators.encoding import (
 from hitgauge.operators.summary import score_summary
 from hitgauge.plans import charts, jobs
 from hitgauge.sources import csv_files, result_tables
-from hitgauge.staging import stage, stage_root
+from hitgauge.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,10 +65,6 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/hitgauge/{name}-{uuid.uuid4().hex}"
-
-
 # ---- sampling and splitting -------------------------------------------------------------------
 
 
@@ -316,13 +311,15 @@ def match_offset_self(spark, sf):
 
 @query
 def match_no_hit(spark, sf):
-    """Queries of a group that has no cached rows get score 0 and the empty text."""
-    vecs = embeddings(spark, sf)
-    queries, cache = sampling.split_queries_cache(vecs, "vec_id", 100)
+    """User turns against the system turns of their own conversation; many have none."""
+    turns = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "conv_id", "role", "text"
+    )
     matched = jobs.run_matching(
-        queries, cache.filter("label < 5"), id_col="vec_id", vector="embedding", by="label"
+        turns.filter("role = 'user'"), turns.filter("role = 'system'"),
+        id_col="turn_id", order="turn_id", by="conv_id",
     )
-    return matched.select("vec_id", "label", "matches", "best_scores")
+    return matched.select("turn_id", "conv_id", "matches", "best_scores")
 
 
 @query
@@ -697,7 +694,7 @@ def dataset_names(spark, sf):
 
 def _csv_round_trip(spark, sf, compression):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    path = csv_files.write_csv(docs, scratch(spark, "csv"), "documents.csv", compression)
+    path = csv_files.write_csv(docs, stage_path(spark, "csv"), "documents.csv", compression)
     return csv_files.read_csv(spark, path, docs.schema).select(
         "doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "lang"
     )
@@ -719,14 +716,14 @@ def csv_missing_values(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.lit("n/a")).otherwise(F.col("o_orderstatus")).alias("status")
     )
-    path = csv_files.write_csv(orders, scratch(spark, "csv"), "orders.csv")
+    path = csv_files.write_csv(orders, stage_path(spark, "csv"), "orders.csv")
     return csv_files.read_csv(spark, path, orders.schema, csv_files.NULL_TOKENS)
 
 
 @query
 def runs_partitioned(spark, sf):
     """All runs written as one table with a folder per run; one dataset read back."""
-    path = scratch(spark, "runs")
+    path = stage_path(spark, "runs")
     result_tables.write_runs(run_sweeps(spark, sf), path)
     back = result_tables.read_runs(spark, path)
     return back.groupBy("dataset", "model", "run").agg(
@@ -735,29 +732,31 @@ def runs_partitioned(spark, sf):
 
 
 def _written_tree(spark, sf) -> str:
-    """A results tree of lineitem runs: both layouts, and a stale attempt that must not count."""
-    base = scratch(spark, "tree")
-    pairs = scored(spark, sf).withColumns({"text": F.lit("q"), "matches": F.lit("m")})
-    for status, model in (("lab/gte-modernbert-base", "neural_Alibaba-NLP_gte-modernbert-base"),):
-        for run in (1, 2):
-            rows = pairs.filter((F.col("model") == status) & (F.col("run") == run))
-            attempts = ["2024_01_01_00_00_00", "2024_01_02_00_00_00"] if run == 1 else ["2024_01_01_00_00_00"]
-            for i, ts in enumerate(attempts):
-                stale = i < len(attempts) - 1
-                out = result_tables.run_dir(base, "ships_test", model, run, ts)
-                part = rows.filter(F.col("similarity_score") > 0.5) if stale else rows
-                result_tables.write_sweep(sweep.sweep_thresholds(part), out, result_tables.SWEEP)
-                csv_files.write_csv(result_tables.judged_table(part, "text"), out, result_tables.JUDGED)
-    old = pairs.filter((F.col("model") == "lab/cache-embed-v3.1") & (F.col("run") == 3))
-    result_tables.write_sweep(
-        sweep.sweep_thresholds(old), f"{base}/ships_test/own-cache-v3.1_2024_01_01_00_00_00", result_tables.SWEEP
-    )
+    """A results tree of all runs: one model in each layout, and a stale attempt that must not count."""
+    base = stage_path(spark, "tree")
+    modern = F.col("model") == "lab/gte-modernbert-base"
+    pairs = scored(spark, sf).select(
+        F.lit("ships_test").alias("dataset"),
+        F.when(modern, F.lit("neural_Alibaba-NLP_gte-modernbert-base"))
+        .otherwise(F.lit("own-cache-v3.1")).alias("model"),
+        F.col("run"), F.lit("q").alias("text"), F.lit("m").alias("matches"),
+        "similarity_score", "actual_label",
+    )
+    old = F.col("model") == "own-cache-v3.1"
+    new_runs = pairs.filter(~old)
+    stale = new_runs.withColumn("similarity_score", F.col("similarity_score") / 2)
+    for stamp, rows in (("2024_01_01_00_00_00", stale), ("2024_01_02_00_00_00", new_runs)):
+        result_tables.write_run_tree(sweep.sweep_thresholds(rows, RUN_KEYS), rows, base, stamp)
+    old_runs = sweep.sweep_thresholds(pairs.filter(old), RUN_KEYS).withColumn(
+        "model", F.concat_ws("_", "model", F.lit("2024_01_01_00_00"), F.format_string("%02d", "run"))
+    )
+    result_tables.write_run_tree(old_runs, None, base, None)
     return base
 
 
 @query
 def results_tree_scan(spark, sf):
-    """Crawl a written tree and summarise its runs; the old-layout run has no judged pairs."""
+    """Crawl a written tree and summarise its runs; old-layout runs have no judged pairs."""
     runs = result_tables.crawl_runs(spark, _written_tree(spark, sf))
     keys = ["dataset", "model", "run"]
     stats = jobs.leaderboard(result_tables.read_run_sweeps(runs), result_tables.read_run_judgements(runs), keys)
@@ -885,10 +884,16 @@ def chr_eval_text(spark, sf):
     return jobs.chr_evaluation(jobs.run_matching(queries, cache, id_col="doc_id")).sweep
 
 
+TWO_MODELS = {"signed": "embedding", "absolute": "magnitudes"}
+
+
+def _two_models(spark, sf):
+    return embeddings(spark, sf).withColumn("magnitudes", F.transform("embedding", lambda x: F.abs(x)))
+
+
 def _bootstrap(spark, sf):
-    """Five runs of the vectors as they are and of the vectors cut to their first half."""
-    vecs = embeddings(spark, sf).withColumn("half", F.slice("embedding", 1, 32))
-    return jobs.bootstrap_matches(vecs, {"whole": "embedding", "half": "half"}, id_col="vec_id")
+    """Five runs of the vectors as they are and of their absolute values."""
+    return jobs.bootstrap_matches(_two_models(spark, sf), TWO_MODELS, id_col="vec_id")
 
 
 @query
@@ -899,9 +904,8 @@ def bootstrap_matches(spark, sf):
 @query
 def bootstrap_benchmark(spark, sf):
     """Runs, verdicts, sweeps and leaderboard of both models in one job."""
-    vecs = embeddings(spark, sf).withColumn("half", F.slice("embedding", 1, 32))
     done, _ = jobs.bootstrap_benchmark(
-        {"vectors": vecs}, {"whole": "embedding", "half": "half"}, _label_judge, id_col="vec_id"
+        {"vectors": _two_models(spark, sf)}, TWO_MODELS, _label_judge, id_col="vec_id"
     )
     stats = jobs.leaderboard(done.sweep, done.judged)
     return stats.select("dataset", "model", "n_runs", *_round_stats(stats))
@@ -924,7 +928,7 @@ def bootstrap_benchmark_text(spark, sf):
 @query
 def evaluation_files(spark, sf):
     """The named CSV tables of a full evaluation, written and read back."""
-    out = scratch(spark, "evaluation")
+    out = stage_path(spark, "evaluation")
     paths = jobs.write_evaluation(_evaluated(spark, sf), out)
     judged = csv_files.read_csv(
         spark, paths[result_tables.JUDGED],

@@ -406,10 +406,6 @@ add("match_offset_self", VEC_ROWS, *best("rows", "rows", "c.id", on=SELF),
     select="SELECT qid - 1 AS vec_id, cid AS match_id, round(score, 6) AS best_scores FROM best")
 add("first_rows", VEC_ROWS,
     *best("(SELECT * FROM rows ORDER BY id LIMIT 50)", "rows", "c.id", on=SELF), select=f"{TOP1} FROM best")
-add("match_no_hit", VEC_ROWS,
-    *best("rows WHERE rn <= 100", "rows WHERE rn > 100 AND label < 5", POS, on="q.label = c.label"),
-    select="""SELECT q.id AS vec_id, q.label, coalesce(b.cid || '#' || q.label, '') AS matches,
-    coalesce(round(b.score, 6), 0) AS best_scores FROM rows q LEFT JOIN best b ON b.qid = q.id WHERE q.rn <= 100""")
 
 
 def text_vectors(source: str, name: str = "rows") -> list[str]:
@@ -455,6 +451,12 @@ add("conversation_match",
     *text_best("rows WHERE rn <= 100", "rows WHERE rn > 100", POS),
     select="""SELECT qid AS turn_id, q.text, c.text AS matches, round(score, 6) AS best_scores
     FROM best JOIN rows q ON q.id = qid JOIN rows c ON c.id = cid""")
+TURN = "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = "
+add("match_no_hit", *text_vectors(f"{TURN} 'user'"), *text_vectors(f"{TURN} 'system'", "sys"),
+    *text_best("rows", "sys", "c.id", on="q.id // 1000 = c.id // 1000"),
+    select="""SELECT q.id AS turn_id, q.id // 1000 AS conv_id, coalesce(c.text, '') AS matches,
+    coalesce(round(score, 6), 0) AS best_scores FROM rows q LEFT JOIN best ON qid = q.id
+    LEFT JOIN sys c ON c.id = cid""")
 add("encode_distinct_texts",
     "texts AS (SELECT text, count(*) AS n_rows, min(doc_id) AS id FROM documents GROUP BY text)",
     *text_vectors("SELECT id, text FROM texts"),
@@ -503,15 +505,16 @@ add("runs_partitioned", SCORED, *sweep(RUN_KEYS),
     FROM sweep GROUP BY dataset, model, run""")
 TREE = """tree AS (SELECT 'ships_test' AS dataset,
       CASE WHEN l_linestatus = 'F' THEN 'Alibaba-NLP/gte-modernbert-base' ELSE 'own-cache-v3.1' END AS model,
-      CASE WHEN l_linestatus = 'F' THEN 'run_' || l_linenumber ELSE 'own-cache-v3.1_2024_01_01_00_00_00' END AS run,
+      CASE WHEN l_linestatus = 'F' THEN 'run_' || l_linenumber
+           ELSE 'own-cache-v3.1_2024_01_01_00_00_0' || l_linenumber END AS run,
       l_extendedprice / 120000 AS similarity_score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS actual_label
-    FROM lineitem WHERE (l_linestatus = 'F' AND l_linenumber IN (1, 2)) OR (l_linestatus = 'O' AND l_linenumber = 3))"""
+    FROM lineitem)"""
 TREE_JUDGED = "scored AS (SELECT * FROM tree WHERE model <> 'own-cache-v3.1')"
 add("results_tree_scan", TREE, TREE_JUDGED, *sweep(RUN_KEYS, "tree"), kept(RUN_KEYS),
     area(RUN_KEYS, "cache_hit_ratio", "kept", "a"), *bins(RUN_KEYS), BOARD[-1], select=STATS)
 add("results_tree_runs", TREE,
     select="""SELECT dataset, model, run,
-    CASE run WHEN 'run_1' THEN '2024_01_02_00_00_00' WHEN 'run_2' THEN '2024_01_01_00_00_00' ELSE '' END AS ts,
+    CASE WHEN model <> 'own-cache-v3.1' THEN '2024_01_02_00_00_00' ELSE '' END AS ts,
     CASE WHEN model <> 'own-cache-v3.1' THEN count(*) END AS n_judged FROM tree GROUP BY dataset, model, run""")
 
 
@@ -525,8 +528,9 @@ add("chart_metrics_over_threshold", SCORED, *sweep(["model"]),
     UNION ALL SELECT model, threshold_idx, threshold, 'correct_hit_ratio', precision * cache_hit_ratio FROM sweep""")
 add("chart_hit_ratio", SCORED, *sweep(["model"]),
     select="SELECT model, threshold_idx, threshold, cache_hit_ratio FROM sweep")
-add("check_matches",
-    select="SELECT 100::BIGINT AS n_rows, 0::BIGINT AS n_bad_scores, 0::BIGINT AS n_missing_matches")
+add("check_matches", VEC_ROWS, *SPLIT_BEST,
+    select="""SELECT count(*) AS n_rows, count(*) FILTER (abs(score) > 1 + 1e-6) AS n_bad_scores,
+    count(*) FILTER (cid IS NULL) AS n_missing_matches FROM best""")
 add("check_hit_ratio", SCORED, *sweep(RUN_KEYS),
     select="""SELECT dataset, model, run, count(*) AS n_rows,
     count(*) FILTER (cache_hit_ratio < 0 OR cache_hit_ratio > 1) AS n_out_of_range,
@@ -561,8 +565,8 @@ add("chr_eval_summary", *EVALUATED, select=summary([]))
 add("chr_eval_text", *DOC_SPLIT, "scored AS (SELECT round(score, 6) AS similarity_score FROM best)",
     *sweep([], labelled=False), select="SELECT * FROM sweep")
 BOOT = [
-    """models AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, 'whole' AS model FROM embeddings
-       UNION ALL SELECT vec_id, label, embedding[1:32]::DOUBLE[], 'half' FROM embeddings)""",
+    """models AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, 'signed' AS model FROM embeddings
+       UNION ALL SELECT vec_id, label, list_transform(embedding, lambda x: abs(x)::DOUBLE), 'absolute' FROM embeddings)""",
     *bootstrap("embeddings", "vec_id", 5, "0.8", 100),
     """pairs AS (SELECT m.model, q.run, q.id AS qid, c.id AS cid, c.pos, m.label AS ql, d.label AS cl,
        list_cosine_similarity(m.v, d.v) AS score

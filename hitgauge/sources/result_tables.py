@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hitgauge.functions.names import ORGANISATIONS, model_from_folder
 from hitgauge.sources.csv_files import write_csv
+from hitgauge.staging import stage_path
 
 # Names of the result tables.
 CHR_MATCHES = "chr_matches.csv"
@@ -59,6 +60,32 @@ def write_runs(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(path)
 
 
+def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str, stamp: str | None) -> None:
+    """Write the CSV tables of every run into the results tree, in the old layout without ``stamp``.
+
+    The runs are staged by their keys first, so the files of a run are written from its own
+    partition. This is for report-sized benchmarks; :func:`write_runs` has no loop over the runs.
+    """
+    spark = sweeps.sparkSession
+    staged = {}
+    for name, df in ((SWEEP, sweeps), (JUDGED, judged)):
+        if df is not None:
+            path = stage_path(spark, "tree")
+            df.write.partitionBy(*RUN_KEYS).parquet(path)
+            staged[name] = spark.read.schema(df.schema).parquet(path)
+    keys = staged[SWEEP].select(*RUN_KEYS).distinct()
+    for row in keys.orderBy(*RUN_KEYS).collect():
+        safe = row.model.replace("/", "_")
+        out = run_dir(output_dir, row.dataset, safe, row.run, stamp) if stamp else f"{output_dir}/{row.dataset}/{safe}"
+        for name, df in staged.items():
+            same = (F.col("dataset") == row.dataset) & (F.col("model") == row.model) & (F.col("run") == row.run)
+            mine = df.filter(same).drop(*RUN_KEYS)
+            if name == SWEEP:
+                write_sweep(mine, out, name)
+            else:
+                write_csv(mine, out, name)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -31,10 +31,15 @@ def stage_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path below the stage folder."""
+    return f"{stage_root(spark)}/hitgauge/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/hitgauge/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
