@@ -449,8 +449,8 @@ ORACLES["text_self_match_block"] = ORACLES["text_self_match"]
 add("conversation_match",
     *text_vectors("SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'"),
     *text_best("rows WHERE rn <= 100", "rows WHERE rn > 100", POS),
-    select="""SELECT qid AS turn_id, q.text, c.text AS matches, round(score, 6) AS best_scores
-    FROM best JOIN rows q ON q.id = qid JOIN rows c ON c.id = cid""")
+    select="""SELECT q.id AS turn_id, q.text, coalesce(c.text, '') AS matches, coalesce(round(score, 6), 0) AS best_scores
+    FROM rows q LEFT JOIN best ON qid = q.id LEFT JOIN rows c ON c.id = cid WHERE q.rn <= 100""")
 TURN = "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = "
 add("match_no_hit", *text_vectors(f"{TURN} 'user'"), *text_vectors(f"{TURN} 'system'", "sys"),
     *text_best("rows", "sys", "c.id", on="q.id // 1000 = c.id // 1000"),

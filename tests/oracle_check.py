@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import math
 import os
 import sys
 import time
+from contextlib import redirect_stdout
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -37,6 +39,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plan(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def _sortable(row: tuple) -> tuple:
     return tuple((v is None, str(type(v)), v if v is not None else 0) for v in row)
 
@@ -61,9 +70,14 @@ def compare(spark_rows: list, spark_cols: list, sql_rows: list, sql_cols: list)
     return None
 
 
-def check(spark: SparkSession, con, sf_dir: str, name: str, query, sql: str | None) -> tuple[str | None, float, float, int]:
+def check(
+    spark: SparkSession, con, sf_dir: str, query, sql: str | None, inspect=None
+) -> tuple[str | None, float, float, int]:
+    """(first difference, Spark seconds, SQL seconds, rows) of one query."""
     start = time.time()
     df = query(spark, sf_dir)
+    if inspect is not None:
+        inspect(df)
     rows = [tuple(r) for r in df.collect()]
     spark_s = time.time() - start
     if sql is None:
@@ -86,7 +100,7 @@ def main() -> int:
         if wanted and name not in wanted:
             continue
         try:
-            problem, s, d, n = check(spark, con, sf_dir, name, query, oracles.get(name))
+            problem, s, d, n = check(spark, con, sf_dir, query, oracles.get(name))
         except Exception as e:  # report and go on with the next query
             problem, s, d, n = f"{type(e).__name__}: {str(e)[:600]}", 0.0, 0.0, 0
         bad += problem is not None

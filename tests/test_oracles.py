@@ -1,7 +1,7 @@
 """Every named query against its SQL at the smallest scale."""
 
 import pytest
-from oracle_check import check, duck
+from oracle_check import check, duck, plan
 
 import __spark_entry__ as entry
 
@@ -15,9 +15,15 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, name):
-    problem, _, _, rows = check(spark, con, SF, name, entry.queries()[name], entry.oracle_sql().get(name))
+    def no_cross_join(df):
+        text = plan(df)
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+    query, sql = entry.queries()[name], entry.oracle_sql().get(name)
+    problem, _, _, rows = check(spark, con, SF, query, sql, no_cross_join)
     assert problem is None
-    assert rows > 0
+    # half of the 87 turns is no more than the 50 queries wanted, so no run is drawn here
+    assert rows > 0 or name == "bootstrap_sizes"
 
 
 def test_every_sql_has_a_query():

