@@ -16,6 +16,7 @@ bits of a dot product depend on the order of its sums.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 # Matches are marked for broadcast up to this many rows of about 50 bytes.
 BROADCAST_ROWS = 200_000
-# Vectors of one side of a tile.
+# Vectors of one side of a tile, at most; how many tiles there should be, and tasks for them.
 TILE_BYTES = 64 << 20
+TILES_PER_CORE = 3
+MIN_TILE_ROWS = 1024
+MAX_TILE_PARTITIONS = 50_000
 # One block of the similarity matrix inside a task.
 SIMILARITY_BYTES = 64 << 20
 TIE_DIGITS = 9
@@ -235,11 +239,23 @@ def _match_few_queries(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
     return _spread(c, small.values.size).mapInArrow(scan, _FOUND_TYPE)
 
 
+def _tile_grid(n_queries: int, n_cache: int, max_rows: int, cores: int) -> tuple[int, int]:
+    """Rows and columns of the tile grid.
+
+    Tiles are square, because a grid of given tile count copies the fewest vectors then; they hold
+    at most ``max_rows`` of a side, and fewer while there would not be three tiles per core.
+    """
+    even = math.isqrt(max(1, n_queries * n_cache // (TILES_PER_CORE * cores)))
+    side = max(1, min(max_rows, max(MIN_TILE_ROWS, even)))
+    return -(-n_queries // side) or 1, -(-n_cache // side) or 1
+
+
 def _match_tiles(
-    q: DataFrame, c: DataFrame, sizes: tuple[int, int], tile_rows: int, spec: MatchSpec
+    q: DataFrame, c: DataFrame, sizes: tuple[int, int], max_rows: int, spec: MatchSpec
 ) -> DataFrame:
-    n_rows = -(-sizes[0] // tile_rows)
-    n_cols = -(-sizes[1] // tile_rows)
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    n_rows, n_cols = _tile_grid(*sizes, max_rows, cores)
+    n_parts = min(n_rows * n_cols, MAX_TILE_PARTITIONS)
 
     def own(salt: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "id", "grp"), F.lit(n)).cast("int")
@@ -247,8 +263,9 @@ def _match_tiles(
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    q = q.withColumn("r", own("q", n_rows)).withColumn("s", every(n_cols))
-    c = c.withColumn("s", own("c", n_cols)).withColumn("r", every(n_rows))
+    # Both sides get the partitioning of the cogroup here: as many tasks as tiles, no second shuffle.
+    q = q.withColumn("r", own("q", n_rows)).withColumn("s", every(n_cols)).repartition(n_parts, "r", "s")
+    c = c.withColumn("s", own("c", n_cols)).withColumn("r", every(n_rows)).repartition(n_parts, "r", "s")
 
     def tile(queries: pa.Table, cached: pa.Table) -> pa.Table:
         if not queries.num_rows or not cached.num_rows:
@@ -317,8 +334,8 @@ def match_top_k(
         if n_cache * row_bytes <= broadcast_bytes:
             found = _match_small_cache(q, c, spec)
         else:
-            tile_rows = max(1, tile_bytes // row_bytes)
-            found = _match_tiles(q, c, (n_queries, n_cache), tile_rows, spec)
+            max_rows = max(1, tile_bytes // row_bytes)
+            found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)
     found = merge_best(found, k)
     group = [F.col("grp").alias(by)] if by else []
     found = found.select(*group, F.col("query_id").alias(query_id), "match_id", "score", "rank")
