@@ -39,6 +39,8 @@ MAX_TILE_PARTITIONS = 50_000
 SIMILARITY_BYTES = 64 << 20
 TIE_DIGITS = 9
 TIE_MARGIN = 1.1 * 10.0**-TIE_DIGITS
+# Candidate cells per wanted match from which a block is scored in double throughout.
+CROWDED = 8
 # Multiplications per row from which an even spread over all cores is worth a shuffle of the rows.
 SPREAD_FROM = 1 << 20
 
@@ -89,6 +91,11 @@ class Vectors:
         norms = np.sqrt(np.einsum("ij,ij->i", wide, wide))
         return np.divide(wide, norms[:, None], out=wide, where=norms[:, None] > 0)
 
+    @functools.cached_property
+    def rough(self) -> np.ndarray:
+        """The unit vectors in single precision, for screening."""
+        return self.unit.astype(np.float32)
+
     def sorted(self) -> Vectors:
         """The same vectors by group and position, so that each group is one slice."""
         if self.is_sorted:
@@ -112,24 +119,63 @@ def _first_best(scores: np.ndarray) -> np.ndarray:
     return first
 
 
+def _rank(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best cells of each row, equal rounded scores by column."""
+    by_rank = np.lexsort((cols, -np.round(scores, TIE_DIGITS), rows))
+    ranked = rows[by_rank]
+    return by_rank[np.arange(len(ranked)) - np.searchsorted(ranked, ranked) < k]
+
+
+def _cells_at_least_kth(scores: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each row that are at most ``slack`` below its k-th best score."""
+    n = scores.shape[1]
+    kth = scores.max(axis=1) if k == 1 else np.partition(scores, max(0, n - k), axis=1)[:, max(0, n - k)]
+    cells = np.flatnonzero(scores >= (kth - slack)[:, None])  # much faster than a 2-D nonzero
+    return cells // n, cells % n
+
+
 def _best_in_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best columns of each row; equal scores go to the left column."""
     if k == 1:
         rows, cols = np.arange(len(scores)), _first_best(scores)
     else:
-        if k < scores.shape[1]:
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            rows, cols = np.nonzero(scores >= (kth - TIE_MARGIN)[:, None])
-        else:
-            rows, cols = np.indices(scores.shape).reshape(2, -1)
-        by_rank = np.lexsort((cols, -np.round(scores[rows, cols], TIE_DIGITS), rows))
-        rows, cols = rows[by_rank], cols[by_rank]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, cols = rows[place < k], cols[place < k]
+        rows, cols = _cells_at_least_kth(scores, k, TIE_MARGIN)
+        kept = _rank(rows, cols, scores[rows, cols], k)
+        rows, cols = rows[kept], cols[kept]
     found = np.isfinite(scores[rows, cols])
     return rows[found], cols[found]
 
 
+def _score_block(
+    q: Vectors, c: Vectors, idx: np.ndarray, block: slice, spec: MatchSpec
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row in idx, column in block, score) of the k best cells per row.
+
+    The product is taken in single precision first. Its error on unit vectors is below
+    ``dim * 2**-24``, so every cell that can be among the k best lies within twice that of the k-th;
+    only those are scored in double. Where a row has many such cells (copies of one vector) the
+    whole block is taken in double instead.
+    """
+    def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        scores = left[idx] @ right[block].T
+        if spec.exclude_self:
+            scores[(q.ids[idx, None] + spec.self_offset) == c.ids[None, block]] = -np.inf
+        return scores
+
+    rough = product(q.rough, c.rough)
+    slack = 2 * (q.rough.shape[1] + 16) * 2.0**-24 + TIE_MARGIN
+    rows, cols = _cells_at_least_kth(rough, spec.k, slack)
+    if len(rows) > CROWDED * spec.k * len(idx):
+        scores = product(q.unit, c.unit)
+        rows, cols = _best_in_block(scores, spec.k)
+        return rows, cols, scores[rows, cols]
+    finite = np.isfinite(rough[rows, cols])
+    rows, cols = rows[finite], cols[finite]
+    scores = np.einsum("ij,ij->i", q.unit[idx[rows]], c.unit[block][cols])
+    kept = _rank(rows, cols, scores, spec.k)
+    return rows[kept], cols[kept], scores[kept]
+
+
 def _best(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
     """Best k of ``c`` per vector of ``q`` within each group, block by block."""
     c = c.sorted()
@@ -143,12 +189,9 @@ def _best(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
             block = slice(left, min(left + width, end))
             for top in range(0, len(q_rows), height):
                 idx = q_rows[top : top + height]
-                scores = q.unit[idx] @ c.unit[block].T
-                if spec.exclude_self:
-                    scores[(q.ids[idx, None] + spec.self_offset) == c.ids[None, block]] = -np.inf
-                rows, cols = _best_in_block(scores, spec.k)
-                cols_in_c = cols + left
-                parts.append((idx[rows], c.order[cols_in_c], c.ids[cols_in_c], scores[rows, cols]))
+                rows, cols, scores = _score_block(q, c, idx, block, spec)
+                cols = cols + left
+                parts.append((idx[rows], c.order[cols], c.ids[cols], scores))
     return _keep_best(parts, spec.k)
 
 
