@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast up to this many bytes of float32 vectors.
 BROADCAST_BYTES = 64 << 20
+# Texts of winners travel with the matches up to this many winners per task.
+CARRY_ROWS = 2_000
 # Matches are marked for broadcast up to this many rows of about 50 bytes.
 BROADCAST_ROWS = 200_000
 # Vectors of one side of a tile, at most; how many tiles there should be, and tasks for them.
@@ -210,28 +212,33 @@ def _keep_best(parts: list[tuple[np.ndarray, ...]], k: int) -> dict[str, np.ndar
 _FOUND_TYPE = "grp long, query_id long, ord long, match_id long, score double"
 
 
-def _found_batch(q: Vectors, best: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(
-        {
-            "grp": pa.array(q.group[best["q"]], pa.int64()),
-            "query_id": pa.array(q.ids[best["q"]], pa.int64()),
-            "ord": pa.array(best["ord"], pa.int64()),
-            "match_id": pa.array(best["match_id"], pa.int64()),
-            "score": pa.array(best["score"], pa.float64()),
-        }
-    )
+def _found_batch(
+    q: Vectors, best: dict[str, np.ndarray], texts: dict[int, str] | None = None
+) -> pa.RecordBatch:
+    columns = {
+        "grp": pa.array(q.group[best["q"]], pa.int64()),
+        "query_id": pa.array(q.ids[best["q"]], pa.int64()),
+        "ord": pa.array(best["ord"], pa.int64()),
+        "match_id": pa.array(best["match_id"], pa.int64()),
+        "score": pa.array(best["score"], pa.float64()),
+    }
+    if texts is not None:
+        columns["carried"] = pa.array([texts[i] for i in best["match_id"].tolist()], pa.string())
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _vector_rows(
-    df: DataFrame, id_col: str, vector: str, order: str | None, spec: MatchSpec
+    df: DataFrame, id_col: str, vector: str, order: str | None, spec: MatchSpec, carry: str | None = None
 ) -> DataFrame:
-    """Only what the kernel reads. Texts and payload columns never travel with the vectors."""
+    """Only what the kernel reads: other columns do not travel with the vectors."""
+    carried = [F.col(carry).cast("string").alias("carried")] if carry else []
     group = F.col(spec.by[0]).cast("long") if spec.by else F.lit(0).cast("long")
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(order or id_col).cast("long").alias("ord"),
         group.alias("grp"),
         F.col(vector).cast("array<float>").alias("vec"),
+        *carried,
     )
 
 
@@ -265,21 +272,34 @@ def _match_small_cache(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
     return _spread(q, small.values.size).mapInArrow(match, _FOUND_TYPE)
 
 
+def _texts_of(best: dict[str, np.ndarray], texts: dict[int, str], batch: pa.RecordBatch) -> dict[int, str]:
+    """Texts of the current winners, from the previous ones and this batch."""
+    ids = batch.column("id").to_numpy()
+    rows = np.flatnonzero(np.isin(ids, best["match_id"]))
+    here = dict(zip(ids[rows].tolist(), batch.column("carried").take(pa.array(rows)).to_pylist()))
+    return {i: here[i] if i in here else texts[i] for i in np.unique(best["match_id"]).tolist()}
+
+
 def _match_few_queries(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame:
     small = _collect_small(q)
     shared = q.sparkSession.sparkContext.broadcast(small)
+    carry = "carried" in c.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         best = _keep_best([], spec.k)
+        texts: dict[int, str] = {}
         for batch in batches:
             if batch.num_rows:
                 here = _best(queries, Vectors.from_arrow(batch), spec)
                 both = [tuple(b[x] for x in ("q", "ord", "match_id", "score")) for b in (best, here)]
                 best = _keep_best(both, spec.k)
-        yield _found_batch(queries, best)
+                if carry:
+                    texts = _texts_of(best, texts, batch)
+        yield _found_batch(queries, best, texts if carry else None)
 
-    return _spread(c, small.values.size).mapInArrow(scan, _FOUND_TYPE)
+    found = _FOUND_TYPE + (", carried string" if carry else "")
+    return _spread(c, small.values.size).mapInArrow(scan, found)
 
 
 def _tile_grid(n_queries: int, n_cache: int, max_rows: int, cores: int) -> tuple[int, int]:
@@ -327,17 +347,18 @@ _NO_VECTORS = Vectors(_NONE, _NONE, _NONE, np.zeros((0, 0), dtype=np.float32))
 def merge_best(found: DataFrame, k: int) -> DataFrame:
     """The k best of partial matches per query, ties to the lowest position."""
     tie_key = F.round("score", TIE_DIGITS)
+    columns = ["match_id", "score", *(["carried"] if "carried" in found.columns else [])]
     if k == 1:
-        rank_first = F.struct((-tie_key).alias("a"), "ord", "match_id", "score")
+        rank_first = F.struct((-tie_key).alias("a"), "ord", *columns)
         return (
             found.groupBy("grp", "query_id").agg(F.min(rank_first).alias("m"))
-            .select("grp", "query_id", "m.match_id", "m.score", F.lit(1).alias("rank"))
+            .select("grp", "query_id", *[f"m.{c}" for c in columns], F.lit(1).alias("rank"))
         )
     order = Window.partitionBy("grp", "query_id").orderBy(-tie_key, "ord", "match_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("grp", "query_id", "match_id", "score", "rank")
+        .select("grp", "query_id", *columns, "rank")
     )
 
 
@@ -353,6 +374,7 @@ def match_top_k(
     by: str | None = None,
     exclude_self: bool = False,
     self_offset: int = 0,
+    carry: str | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
@@ -362,6 +384,10 @@ def match_top_k(
     ``order`` is the cache position that decides ties, ``cache_id`` unless given. With
     ``exclude_self`` a query never matches the cached row whose id is its own plus
     ``self_offset``. Queries without any candidate are absent; see :func:`with_no_hit_default`.
+
+    ``carry`` names a text column of the cache. If the queries are few, each task keeps the texts
+    of its winners and the result has them as ``carried``, which saves a second scan of the cache;
+    otherwise it is ignored and the texts are to be joined by ``match_id``.
     """
     spec = MatchSpec(k, (by,) if by else (), exclude_self, self_offset)
     q = _vector_rows(queries, query_id, vector, None, spec)
@@ -371,6 +397,8 @@ def match_top_k(
     n_queries = queries.count()
     few = n_queries * row_bytes <= broadcast_bytes
     if few:
+        if carry and n_queries * k <= CARRY_ROWS:
+            c = _vector_rows(cache, cache_id, vector, order, spec, carry)
         found = _match_few_queries(q, c, spec)
     else:
         n_cache = cache.count()
@@ -381,7 +409,10 @@ def match_top_k(
             found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)
     found = merge_best(found, k)
     group = [F.col("grp").alias(by)] if by else []
-    found = found.select(*group, F.col("query_id").alias(query_id), "match_id", "score", "rank")
+    found = found.select(
+        *group, F.col("query_id").alias(query_id),
+        *[x for x in ("match_id", "score", "carried", "rank") if x in found.columns],
+    )
     # The k rows of few queries are as bounded as the queries were: joins may broadcast them.
     return F.broadcast(found) if few and n_queries * k <= BROADCAST_ROWS else found
 

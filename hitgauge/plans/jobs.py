@@ -113,11 +113,14 @@ def run_matching(
         q, c = queries, cache
     found = match_top_1(
         q, c, query_id=id_col, cache_id=cache_id, vector=vector, order=order, by=by,
-        exclude_self=exclude_self,
+        exclude_self=exclude_self, carry=text if texts is None else None,
     )
     found = found.withColumn("best_scores", F.round("score", SCORE_DIGITS)).drop("score")
-    # Texts join the winners only; they never travel with the vectors.
-    found = attach_match(found, cache if texts is None else texts, cache_id, {text: "matches"})
+    if "carried" in found.columns:
+        found = found.withColumnRenamed("carried", "matches")
+    else:
+        # Texts join the winners only.
+        found = attach_match(found, cache if texts is None else texts, cache_id, {text: "matches"})
     return stage(with_no_hit_default(queries, found, [c for c in (id_col, by) if c]), "matched")
 
 

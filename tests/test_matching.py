@@ -181,3 +181,17 @@ def test_distinct_encoding_calls_the_model_once_per_text(spark):
     rows = {r.text: list(r.embedding) for r in out.collect()}
     assert set(rows) == {"x", "yy"}
     assert rows["yy"] == pytest.approx([2 / 5**0.5, 1 / 5**0.5], abs=1e-6)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_carried_texts_equal_joined_texts(spark, k):
+    q, c = sample_sets()
+    cache = vectors(spark, c).withColumn("text", F.concat(F.lit("text of "), "id")).repartition(5)
+    found = match_top_k(vectors(spark, q), cache, query_id="id", cache_id="id", k=k, carry="text")
+    rows = found.collect()
+    assert len(rows) == k * len(q)
+    assert all(r.carried == f"text of {r.match_id}" for r in rows)
+    tiled = match_top_k(
+        vectors(spark, q), cache, query_id="id", cache_id="id", k=k, carry="text", **PLANS["tiles"]
+    )
+    assert "carried" not in tiled.columns
