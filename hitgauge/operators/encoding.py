@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hitgauge.functions.vectors import dims as vector_dims
 from hitgauge.functions.vectors import normalize as normalize_vector
+from hitgauge.operators.models import once_per_worker
 from hitgauge.staging import stage
 
 Encoder = Callable[[DataFrame, str], DataFrame]
@@ -70,12 +71,17 @@ def hashed_token_encoder(n_dims: int = HASHED_DIMS) -> Encoder:
 def batch_encoder(
     load_model: Callable[[], Model], batch_size: int = 512, normalize: bool = False
 ) -> Encoder:
-    """Encoder from a Python model. ``load_model`` runs once per task, ``batch_size`` texts per call."""
+    """Encoder from a Python model, loaded once per worker and called with ``batch_size`` texts.
+
+    A NULL text is encoded as the empty text.
+    """
+    get_model = once_per_worker(load_model)
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
+        model = get_model()
         for texts in batches:
+            texts = texts.fillna("")
             out: list[np.ndarray] = []
             for start in range(0, len(texts), batch_size):
                 chunk = np.asarray(model(texts.iloc[start : start + batch_size].tolist()))
@@ -110,12 +116,16 @@ def with_embeddings(df: DataFrame, text_col: str, vectors: DataFrame) -> DataFra
     return df.join(known, df[text_col].eqNullSafe(known["_text"]), "left").drop("_text")
 
 
-def vector_table(df: DataFrame, id_col: str, text_col: str, vector: str, prefix: str = "cache:") -> DataFrame:
-    """Index-like document rows: ``id`` is the prefix and the row's own key."""
+def vector_table(
+    df: DataFrame, id_col: str, text_col: str, vector: str, prefix: str = "cache:", extras: Sequence[str] = ()
+) -> DataFrame:
+    """Documents of a vector index: ``key``, ``id`` (prefix and key), text, ``embedding``, extra fields."""
     return df.select(
+        F.col(id_col).cast("long").alias("key"),
         F.concat(F.lit(prefix), F.col(id_col).cast("string")).alias("id"),
         F.col(text_col),
         F.col(vector).cast("array<float>").alias("embedding"),
+        *extras,
     )
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hitgauge.operators.models import once_per_worker
+
 # Fixed value: the answer that makes a pair a positive.
 POSITIVE_ANSWER = "yes"
 
@@ -28,16 +30,17 @@ def judge_pairs(
 ) -> DataFrame:
     """Add ``response`` and ``error`` to every pair.
 
-    ``load_judge`` runs once per task and returns ``judge(pairs, prompt) -> answers``. A batch
+    ``load_judge`` runs once per Python worker and returns ``judge(pairs, prompt) -> answers``. A batch
     that raises, or an answer of None, leaves ``response`` NULL and never stops the other pairs.
     ``preprocess`` is applied to both texts before, ``postprocess`` to the response after.
     """
     before = preprocess or (lambda c: c)
     after = postprocess or (lambda c: c)
+    get_judge = once_per_worker(load_judge)
 
     @F.pandas_udf("response string, error string")
     def verdicts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        judge = load_judge()
+        judge = get_judge()
         for queries, matches in batches:
             answers: list[str | None] = []
             errors: list[str | None] = []

@@ -45,6 +45,10 @@ TIE_MARGIN = 1.1 * 10.0**-TIE_DIGITS
 CROWDED = 8
 # Multiplications per row from which an even spread over all cores is worth a shuffle of the rows.
 SPREAD_FROM = 1 << 20
+SPREAD_BYTES = 1 << 30
+
+
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -158,10 +162,13 @@ def _score_block(
     only those are scored in double. Where a row has many such cells (copies of one vector) the
     whole block is taken in double instead.
     """
+    masked = (_NONE, _NONE)
+    if spec.exclude_self:
+        masked = np.intersect1d(q.ids[idx] + spec.self_offset, c.ids[block], return_indices=True)[1:]
+
     def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         scores = left[idx] @ right[block].T
-        if spec.exclude_self:
-            scores[(q.ids[idx, None] + spec.self_offset) == c.ids[None, block]] = -np.inf
+        scores[masked] = -np.inf
         return scores
 
     rough = product(q.rough, c.rough)
@@ -252,14 +259,17 @@ def _collect_small(rows: DataFrame) -> Vectors:
     return Vectors.from_arrow(rows.toArrow()).sorted()
 
 
-def _spread(rows: DataFrame, work_per_row: int) -> DataFrame:
-    """Even out the rows if each of them costs far more to match than to move."""
-    if work_per_row < SPREAD_FROM:
+def _spread(rows: DataFrame, size: int, work_per_row: int) -> DataFrame:
+    """Even out a table of ``size`` bytes if its rows cost far more to match than to move.
+
+    A larger table has enough input splits for all cores and stays where it is.
+    """
+    if work_per_row < SPREAD_FROM or size > SPREAD_BYTES:
         return rows
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id")
 
 
-def _match_small_cache(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame:
+def _match_small_cache(q: DataFrame, c: DataFrame, spec: MatchSpec, size: int) -> DataFrame:
     small = _collect_small(c)
     shared = q.sparkSession.sparkContext.broadcast(small)
 
@@ -269,7 +279,7 @@ def _match_small_cache(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
                 queries = Vectors.from_arrow(batch)
                 yield _found_batch(queries, _best(queries, shared.value, spec))
 
-    return _spread(q, small.values.size).mapInArrow(match, _FOUND_TYPE)
+    return _spread(q, size, small.values.size).mapInArrow(match, _FOUND_TYPE)
 
 
 def _texts_of(best: dict[str, np.ndarray], texts: dict[int, str], batch: pa.RecordBatch) -> dict[int, str]:
@@ -299,7 +309,9 @@ def _match_few_queries(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
         yield _found_batch(queries, best, texts if carry else None)
 
     found = _FOUND_TYPE + (", carried string" if carry else "")
-    return _spread(c, small.values.size).mapInArrow(scan, found)
+    if small.values.size >= SPREAD_FROM and not carry:
+        c = _spread(c, c.count() * small.values.shape[1] * 4, small.values.size)
+    return c.mapInArrow(scan, found)
 
 
 def _tile_grid(n_queries: int, n_cache: int, max_rows: int, cores: int) -> tuple[int, int]:
@@ -340,7 +352,6 @@ def _match_tiles(
     return q.groupBy("r", "s").cogroup(c.groupBy("r", "s")).applyInArrow(tile, _FOUND_TYPE)
 
 
-_NONE = np.zeros(0, dtype=np.int64)
 _NO_VECTORS = Vectors(_NONE, _NONE, _NONE, np.zeros((0, 0), dtype=np.float32))
 
 
@@ -403,7 +414,7 @@ def match_top_k(
     else:
         n_cache = cache.count()
         if n_cache * row_bytes <= broadcast_bytes:
-            found = _match_small_cache(q, c, spec)
+            found = _match_small_cache(q, c, spec, n_queries * row_bytes)
         else:
             max_rows = max(1, tile_bytes // row_bytes)
             found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)

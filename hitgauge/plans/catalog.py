@@ -18,8 +18,7 @@ from hitgauge.functions import vectors as V
 from hitgauge.functions.metrics import f_beta
 from hitgauge.operators import checks, curves, density, judging, leaderboard, matching, sampling, sweep
 from hitgauge.operators.encoding import (
-    batch_encoder, dimension_check, encode_distinct, encode_rows, hashed_token_encoder,
-    vector_table, with_embeddings,
+    batch_encoder, dimension_check, encode_distinct, encode_rows, hashed_token_encoder, with_embeddings,
 )
 from hitgauge.operators.summary import score_summary
 from hitgauge.plans import charts, jobs
@@ -186,10 +185,19 @@ def vector_pairs(spark, sf):
 
 
 @query
-def vector_index_table(spark, sf):
-    """Documents of a vector index, keyed by prefix and row key."""
-    docs = vector_table(embeddings(spark, sf), "vec_id", "text", "embedding")
-    return stage(docs, "index").select("id", "text", F.size("embedding").alias("n_dims"))
+def index_search(spark, sf):
+    """A fresh index of the cache, searched for three documents per query, with an extra field."""
+    queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)
+    index = jobs.build_index(cache, id_col="vec_id", extras=["label"])
+    hits = jobs.search_index(queries, index, id_col="vec_id", k=3)
+    return hits.withColumn("vector_distance", F.round("vector_distance", 6))
+
+
+@query
+def index_match(spark, sf):
+    queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)
+    matched = jobs.run_index_matching(queries, cache, id_col="vec_id")
+    return matched.select("vec_id", "text", "matches", "best_scores")
 
 
 @query

@@ -369,10 +369,6 @@ add("vector_pairs",
        FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)""",
     select="""SELECT vec_id, round(dot, 6) AS dot, round(sim, 6) AS similarity, round(1 - sim, 6) AS distance,
     round(1 - (1 - sim), 6) AS from_distance FROM p""")
-add("vector_index_table",
-    select="""SELECT 'cache:' || vec_id AS id, vec_id || '#' || label AS text,
-    len(embedding)::INTEGER AS n_dims FROM embeddings""")
-
 VEC_ROWS = """rows AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v,
     row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS rn FROM embeddings)"""
 
@@ -397,6 +393,12 @@ add("match_top1_small_cache", VEC_ROWS, *best("rows WHERE rn > 100", "rows WHERE
     select=f"{TOP1} FROM best")
 add("match_topk", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100", POS, k=5),
     select=f"{TOP1}, rnk::INTEGER AS rank FROM best")
+add("index_search", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100", "c.id", k=3),
+    select="""SELECT qid AS vec_id, rnk::INTEGER AS rank, round(1 - score, 6) AS vector_distance,
+    'cache:' || cid AS id, cid || '#' || label AS text, label FROM best JOIN rows r ON r.id = cid""")
+add("index_match", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100", "c.id"),
+    select="""SELECT qid AS vec_id, qid || '#' || q.label AS text, cid || '#' || c.label AS matches,
+    round(score, 6) AS best_scores FROM best JOIN rows q ON q.id = qid JOIN rows c ON c.id = cid""")
 SELF = "q.id <> c.id"
 add("match_topk_block", VEC_ROWS, *best("rows", "rows", "c.id", k=3, on=SELF),
     select=f"{TOP1}, rnk::INTEGER AS rank FROM best")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitgauge.functions.names import folder_name
+from hitgauge.functions.vectors import distance_to_similarity
 from hitgauge.operators.curves import area_under
 from hitgauge.operators.density import densities, overlap
-from hitgauge.operators.encoding import Encoder, encode_rows, hashed_token_encoder
+from hitgauge.operators.encoding import Encoder, encode_rows, hashed_token_encoder, vector_table
 from hitgauge.operators.judging import label_pairs
 from hitgauge.operators.leaderboard import run_metrics, run_stats
-from hitgauge.operators.matching import attach_match, match_top_1, with_no_hit_default
+from hitgauge.operators.matching import attach_match, match_top_1, match_top_k, with_no_hit_default
 from hitgauge.operators.sampling import bootstrap_splitter, split_queries_cache
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import MAX_STEPS, sweep_thresholds
@@ -124,6 +125,43 @@ def run_matching(
     return stage(with_no_hit_default(queries, found, [c for c in (id_col, by) if c]), "matched")
 
 
+def build_index(
+    cache: DataFrame,
+    *,
+    id_col: str,
+    text: str = "text",
+    vector: str = "embedding",
+    prefix: str = "cache:",
+    extras: Sequence[str] = (),
+) -> DataFrame:
+    """A fresh, staged vector table with the vectors as they are (not normalised)."""
+    return stage(vector_table(cache, id_col, text, vector, prefix, extras), "index")
+
+
+def search_index(
+    queries: DataFrame, index: DataFrame, *, id_col: str, vector: str = "embedding", k: int = 1
+) -> DataFrame:
+    """The k nearest documents per query: the query's key, ``rank``, ``vector_distance`` and the
+    document's ``id``, text and extra fields. Never masks a query's own document."""
+    found = match_top_k(queries, index, query_id=id_col, cache_id="key", vector=vector, k=k)
+    hits = found.withColumn("vector_distance", 1 - F.col("score")).drop("score")
+    fields = {c: c for c in index.columns if c not in ("key", "embedding")}
+    return attach_match(hits, index, "key", fields).drop("match_id")
+
+
+def run_index_matching(
+    queries: DataFrame, cache: DataFrame, *, id_col: str, text: str = "text", vector: str = "embedding"
+) -> DataFrame:
+    """Queries with the text and similarity of their nearest indexed document."""
+    index = build_index(cache, id_col=id_col, text=text, vector=vector)
+    hits = search_index(queries, index, id_col=id_col, vector=vector)
+    best = hits.select(
+        id_col, F.col(text).alias("matches"),
+        F.round(distance_to_similarity(F.col("vector_distance")), SCORE_DIGITS).alias("best_scores"),
+    )
+    return with_no_hit_default(queries, best, [id_col])
+
+
 def chr_evaluation(
     matched: DataFrame, by: list[str] | None = None, text: str = "text", steps: int = MAX_STEPS
 ) -> Evaluation:

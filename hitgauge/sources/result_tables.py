@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitgauge.functions.names import ORGANISATIONS, model_from_folder
@@ -34,6 +35,8 @@ SWEEP_SCHEMA = (
     "accuracy DOUBLE"
 )
 RUN_KEYS = ["dataset", "model", "run"]
+# Runs of a results tree that are written at the same time.
+WRITERS = 8
 
 # Path of a table below the base: dataset, folder, (run, stamp,) table, (part file).
 _TABLE = "(" + "|".join(t.replace(".", r"\.") for t in (CHR_MATCHES, CHR_SWEEP, MATCHES, JUDGED, SWEEP)) + ")"
@@ -64,7 +67,7 @@ def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str,
     """Write the CSV tables of every run into the results tree, in the old layout without ``stamp``.
 
     The runs are staged by their keys first, so the files of a run are written from its own
-    partition. This is for report-sized benchmarks; :func:`write_runs` has no loop over the runs.
+    partition, several runs at a time. :func:`write_runs` has no loop over the runs.
     """
     spark = sweeps.sparkSession
     staged = {}
@@ -73,21 +76,23 @@ def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str,
             path = stage_path(spark, "tree")
             df.write.partitionBy(*RUN_KEYS).parquet(path)
             staged[name] = spark.read.schema(df.schema).parquet(path)
-    keys = staged[SWEEP].select(*RUN_KEYS).distinct()
-    for row in keys.orderBy(*RUN_KEYS).collect():
+    def write(row: Row) -> None:
         safe = row.model.replace("/", "_")
-        out = run_dir(output_dir, row.dataset, safe, row.run, stamp) if stamp else f"{output_dir}/{row.dataset}/{safe}"
+        out = (
+            run_dir(output_dir, row.dataset, safe, row.run, stamp) if stamp
+            else f"{output_dir.rstrip('/')}/{row.dataset}/{safe}"
+        )
+        same = (F.col("dataset") == row.dataset) & (F.col("model") == row.model) & (F.col("run") == row.run)
         for name, df in staged.items():
-            same = (F.col("dataset") == row.dataset) & (F.col("model") == row.model) & (F.col("run") == row.run)
             mine = df.filter(same).drop(*RUN_KEYS)
             if name == SWEEP:
                 write_sweep(mine, out, name)
             else:
                 write_csv(mine, out, name)
 
-
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    runs = staged[SWEEP].select(*RUN_KEYS).distinct().collect()
+    with ThreadPoolExecutor(WRITERS) as writers:
+        list(writers.map(write, runs))
 
 
 def run_dir(output_dir: str, dataset: str, model_folder: str, run: int, stamp: str) -> str:
