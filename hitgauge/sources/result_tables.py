@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hitgauge.functions.names import ORGANISATIONS, model_from_folder
 from hitgauge.sources.csv_files import write_csv
-from hitgauge.staging import stage_path
+from hitgauge.staging import stage, stage_path
 
 # Names of the result tables.
 CHR_MATCHES = "chr_matches.csv"
@@ -76,6 +76,7 @@ def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str,
             path = stage_path(spark, "tree")
             df.write.partitionBy(*RUN_KEYS).parquet(path)
             staged[name] = spark.read.schema(df.schema).parquet(path)
+
     def write(row: Row) -> None:
         safe = row.model.replace("/", "_")
         out = (
@@ -95,6 +96,10 @@ def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str,
         list(writers.map(write, runs))
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def run_dir(output_dir: str, dataset: str, model_folder: str, run: int, stamp: str) -> str:
     return f"{output_dir.rstrip('/')}/{dataset}/{model_folder}/run_{run}/{stamp}"
 
@@ -145,11 +150,12 @@ def crawl_runs(
         .select("dataset", "folder", F.col("folder").alias("run"), F.lit("").alias("ts"), "run_path", "tables")
         .join(newest.select("dataset", "folder").distinct(), ["dataset", "folder"], "left_anti")
     )
-    return newest.unionByName(old).select(
+    found = newest.unionByName(old).select(
         "dataset",
         model_from_folder(F.col("folder"), organisations).alias("model"),
         "run", "ts", "run_path", "tables",
     )
+    return stage(found, "runs")  # every reader of the runs would list the tree again
 
 
 def _read_of_runs(runs: DataFrame, table: str, schema: str) -> DataFrame:
