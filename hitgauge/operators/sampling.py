@@ -38,22 +38,34 @@ def _key_at(share: float) -> str:
     return _ABOVE_HEX if share >= 1 else f"{int(max(share, 0.0) * 16**_HEX_DIGITS):0{_HEX_DIGITS}x}"
 
 
-def order_cutoffs(keyed: DataFrame, by: list[str], total: int, wanted: int) -> DataFrame:
+def order_cutoffs(
+    keyed: DataFrame,
+    by: list[str],
+    total: int,
+    wanted: int,
+    restrict: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Per group, the last key of its first ``wanted`` rows in (_key, _id) order.
 
     ``keyed`` has the group columns, ``_key`` (md5 text) and ``_id``; every group has ``total``
     rows. md5 keys are evenly spread, so the wanted one lies close to ``wanted / total`` of the key
     range: rows below that bracket are only counted and rows above it ignored. What is left to rank
-    are about ``20 * sqrt(total)`` rows per group.
+    are about ``20 * sqrt(total)`` rows per group. ``restrict`` narrows the rows to those that count;
+    it is applied after the rows above the bracket are gone.
     """
     share = wanted / total
     margin = (BRACKET_SIGMAS * math.sqrt(total * share * (1 - share)) + BRACKET_SIGMAS) / total
     low, high = _key_at(share - margin), _key_at(share + margin)
-    counted = (
-        keyed.filter(F.col("_key") < high)
-        .withColumn("_row", F.when(F.col("_key") >= low, F.struct("_key", "_id")))
-        .groupBy(*by, "_row").agg(F.count(F.lit(1)).alias("_n"))
+    if restrict is not None:
+        keyed = restrict(keyed.filter(F.col("_key") < high))
+    # One projection and no filter, so that the md5 of a row is computed once.
+    key = F.col("_key")
+    zoned = keyed.select(
+        *by,
+        F.when((key >= low) & (key < high), F.struct("_key", "_id")).alias("_row"),
+        (key < high).cast("long").alias("_one"),
     )
+    counted = zoned.groupBy(*by, "_row").agg(F.sum("_one").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.col("_row").asc_nulls_first()))
     last = counted.withColumn("_upto", upto).filter(
         F.col("_row").isNotNull()
@@ -67,7 +79,8 @@ def order_cutoffs(keyed: DataFrame, by: list[str], total: int, wanted: int) -> D
 
 
 def _within(key: Column, ident: Column, cut_key: Column, cut_id: Column) -> Column:
-    return (key < cut_key) | ((key == cut_key) & (ident <= cut_id))
+    """(key, id) <= (cut_key, cut_id); false without a cutoff. The key is computed once."""
+    return F.struct(key, ident) <= F.struct(cut_key, cut_id)
 
 
 def mark_sample(
@@ -82,7 +95,8 @@ def mark_sample(
     if cut is None:
         raise ValueError("the id column of a sample must be unique")
     key, ident = seeded_key(seed, id_col), F.col(id_col)
-    return df.withColumn(flag, _within(key, ident, F.lit(cut["_cut_key"]), F.lit(cut["_cut_id"])))
+    cut_id = F.lit(cut["_cut_id"]).cast(df.schema[id_col].dataType)
+    return df.withColumn(flag, _within(key, ident, F.lit(cut["_cut_key"]), cut_id))
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
@@ -144,22 +158,26 @@ def bootstrap_splitter(
     if size < total:
         universe_cuts = stage(order_cutoffs(keyed(ids, run), ["run"], total, size), "universe-cuts")
 
-    def universe(df: DataFrame) -> DataFrame:
+    def universe(df: DataFrame, ident: str) -> DataFrame:
         if universe_cuts is None:
             return df
-        return attach(df, universe_cuts, ["run"]).filter(up_to_cut(run)).drop("_cut_key", "_cut_id")
+        cut = attach(df, universe_cuts, ["run"])
+        inside = _within(seeded_key(run, ident), F.col(ident), F.col("_cut_key"), F.col("_cut_id"))
+        return cut.filter(inside).drop("_cut_key", "_cut_id")
 
     query_cuts = stage(
-        order_cutoffs(keyed(universe(ids), run + 1000), ["run"], size, n_samples), "query-cuts"
+        order_cutoffs(
+            keyed(ids, run + 1000), ["run"], size, n_samples, lambda rows: universe(rows, "_id")
+        ),
+        "query-cuts",
     )
 
     def split(df: DataFrame) -> DataFrame:
-        rows = attach(universe(fan_out(df)), query_cuts, ["run"])
-        return (
-            rows.withColumn("is_query", up_to_cut(run + 1000))
-            .withColumn("cache_pos", F.when(~F.col("is_query"), seeded_position(run + 2000, id_col)))
-            .drop("_cut_key", "_cut_id")
-        )
+        # The query cutoff comes first: few rows are below it, so the queries need one md5 per row.
+        rows = attach(fan_out(df), query_cuts, ["run"])
+        rows = rows.withColumn("is_query", up_to_cut(run + 1000)).drop("_cut_key", "_cut_id")
+        position = F.when(~F.col("is_query"), seeded_position(run + 2000, id_col))
+        return universe(rows, id_col).withColumn("cache_pos", position)
 
     return split
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgauge.functions.names import folder_name
+from hitgauge.functions.names import folder_name, run_stamp
 from hitgauge.functions.vectors import distance_to_similarity
 from hitgauge.operators.curves import area_under
 from hitgauge.operators.density import densities, overlap
@@ -302,8 +302,11 @@ def write_evaluation(done: Evaluation, output_dir: str) -> dict[str, str]:
 
 
 def write_benchmark(done: Evaluation, output_dir: str) -> None:
-    """Write all runs of a benchmark, a folder per dataset, model and run in each table."""
+    """Write all runs of a benchmark, a folder per dataset, model and run in each table.
+
+    ``ts`` holds the time of the write, in the form of the results tree.
+    """
     for name, df in (("matches", done.matches), ("sweep", done.sweep), ("judged", done.judged)):
         if df is not None:
-            safe = df.withColumn("model", folder_name(F.col("model")))
+            safe = df.withColumns({"model": folder_name(F.col("model")), "ts": run_stamp()})
             write_runs(safe, f"{output_dir.rstrip('/')}/{name}")
