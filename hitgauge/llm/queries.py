@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgauge.llm import language, repetition, chat_windows, mixing, sharding
+from hitgauge.llm import token_files, lattice, decontamination, sentence_spans, simhash, language, repetition, chat_windows, mixing, sharding
+from hitgauge.staging import stage_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +97,57 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_doc.doc_id", "_doc.held_out", "lang_pred", "score")
 
 
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = sentence_spans.remove_repeats(docs)
+    return cut.select("_doc.doc_id", "text", "n_sentences", "n_removed")
+
+
+def op4_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontamination.contaminated(docs, items)
+    return found.select(F.col("id").alias("doc_id"), "item_id", "score", F.col("stop").alias("stop_word"))
+
+
+def op1_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(_part(docs, 7) == 2, F.lit(False)))
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return lattice.score(docs, docs.filter(~F.col("held_out")), vocabulary, keep=["held_out"])
+
+
+END_ID = 2
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Write the token files of ``docs`` to the shared folder and read them back."""
+    spark = docs.sparkSession
+    path = stage_path(spark, "token-files")
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = token_files.read(spark, path, kind, with_ids=False)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op3_rans_tokens": op3_rans_tokens,
+    "op1_subword_lattice": op1_subword_lattice,
+    "op8_sentence_spans": op8_sentence_spans,
+    "op4_benchmark_alignment": op4_benchmark_alignment,
+    "op9_simhash_components": op9_simhash_components,
     "op7_ppm_language": op7_ppm_language,
     "op5_suffix_repeats": op5_suffix_repeats,
     "op2_chat_windows": op2_chat_windows,

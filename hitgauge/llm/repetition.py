@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitgauge.llm.texts import batch_like, raw, slices, with_struct
+from hitgauge.llm.texts import batch_like, numbered, raw, slices, with_struct
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -98,15 +98,9 @@ def _lines(text: str) -> int:
 
 def measure(texts: list[bytes], min_words: int, most_share: float, most_words: int) -> dict[str, pa.Array]:
     """One array per measure for the given UTF-8 texts."""
-    numbers: dict[bytes, int] = {}
-    ids: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = [numbers.setdefault(w, len(numbers)) for w in text.split()]
-        counts[i] = len(own)
-        ids += own
+    _, ids, counts = numbered(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
-    longest = suffix_repeats(np.array(ids, np.int64), owner)
+    longest = suffix_repeats(ids, owner)
     n = len(owner)
 
     def per_text(mask: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,19 @@ def raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if x is None else x for x in pc.cast(batch.column(column), pa.binary()).to_pylist()]
 
 
+def numbered(texts: list[bytes], lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, number of the word at each place, number of words of each text)"""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    find = numbers.__getitem__
+    ids, sizes = array("q"), []
+    for text in texts:
+        own = (text.lower() if lower else text).split()
+        ids.extend(map(find, own))
+        sizes.append(len(own))
+    return list(numbers), np.frombuffer(ids, np.int64), np.array(sizes, np.int64)
+
+
 def batch_like(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
