@@ -4,6 +4,8 @@ import pytest
 from oracle_check import check, duck, plan
 
 import __spark_entry__ as entry
+from hitgauge.plans.catalog import QUERIES
+from hitgauge.plans.catalog_sql import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +15,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     def no_cross_join(df):
         text = plan(df)
@@ -27,7 +29,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
