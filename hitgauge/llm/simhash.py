@@ -11,9 +11,13 @@ has no difference in one half of the second segment; (segment, half, bits of bot
 distinct fingerprints meet. Where they meet, the cumulative budgets of all longer chains are tested, and
 only what passes gets the full Hamming check.
 
-Equal fingerprints are one node. Where many near fingerprints meet, a breadth-first walk takes the
-linked ones out of the rest, so k of them give k - 1 links instead of all pairs, and all links needed for
-the components are found. Buckets hold 8 bytes per distinct fingerprint and arrive sorted.
+Equal fingerprints are one node. Where many near fingerprints meet, a breadth-first walk links each to one
+that was reached before, so k of them give k - 1 links instead of all pairs, and all links needed for the
+components are found. Buckets hold 8 or 16 bytes per distinct fingerprint and arrive sorted.
+
+A wider distance needs more bits, or chance links texts that have nothing in common: with ``second``, 64
+further bits (from the same hashes, mixed) must differ in at most ``second`` places as well, and a node is
+all 128 bits.
 
 Cases: NULL, empty and blank texts have no shingle and fingerprint zero, linked like any other; texts
 shorter than a shingle are one; a NULL id never is the smallest of a component that has another; rows
@@ -28,52 +32,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitgauge.llm.components import components
-from hitgauge.llm.texts import batch_like, raw, slices, with_struct
+from hitgauge.llm.texts import batch_like, raw, slices
 from hitgauge.staging import stage
 
 SEED, BITS = 42, 64
+#: An odd multiplier that makes further bits of a hash.
+MIX = np.uint64(0xFF51AFD7ED558CCD)
+#: Buckets up to this size are compared as a matrix.
+MATRIX = 2048
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the XXH64 values of all shingles of a UTF-8 text, as an unsigned number."""
-    parts = text.lower().split()
+def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
+    """SimHash of the XXH64 values of all shingles of a UTF-8 text: one or two unsigned 64-bit numbers."""
+    parts, size = text.lower().split(), BITS * (1 + wide)
     if not parts:
-        return 0
+        return [0] * (size // BITS)
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
-    last = ends[min(words, len(parts)) - 1 :].tolist()
-    votes = np.zeros(BITS, np.int64)
-    begin = starts.tolist()
+    begin, last = (ends - lengths).tolist(), ends[min(words, len(parts)) - 1 :].tolist()
+    votes = np.zeros(size, np.int64)
     for at in range(0, n, 1 << 16):  # long texts in blocks of shingles
         hashes = np.array(
             [digest(joined[begin[i] : last[i]], SEED) for i in range(at, min(n, at + (1 << 16)))], "<u8"
         )
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = 2 * votes > n
-    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if wide:
+            mixed = (hashes ^ (hashes >> np.uint64(33))) * MIX
+            hashes = np.stack([hashes, mixed ^ (mixed >> np.uint64(29))], 1)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, size // 8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > n, bitorder="little").view("<u8").tolist()
 
 
-def fingerprints(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """(_doc, fp): every row of ``docs`` as a struct, and its fingerprint as a signed long."""
-    packed = with_struct(docs, "_doc").withColumn("_text", F.col(f"_doc.`{text}`"))
-    rest = with_struct(docs.drop(text), "_doc").schema["_doc"].dataType.simpleString()
+def fingerprints(docs: DataFrame, text: str, words: int, wide: bool = False) -> DataFrame:
+    """(_doc, fp, fp2): every row of ``docs`` without its text as a struct, and its fingerprint as signed longs."""
     fields = [c for c in docs.columns if c != text]
-    packed = packed.select(F.struct(*[F.col(f"_doc.`{c}`").alias(c) for c in fields]).alias("_doc"), "_text")
+    packed = docs.select(F.struct(*fields).alias("_doc"), F.col(text).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = np.array([fingerprint(t, words) for t in raw(batch, "_text")], np.uint64)
-            yield batch_like({"_doc": batch.column("_doc"), "fp": pa.array(found.view(np.int64))})
+            found = [fingerprint(t, words, wide) for t in raw(batch, "_text")]
+            found = np.array(found, np.uint64).reshape(batch.num_rows, -1).view(np.int64)
+            yield batch_like({
+                "_doc": batch.column("_doc"), "fp": pa.array(found[:, 0]),
+                "fp2": pa.array(found[:, -1] if wide else np.zeros(len(found), np.int64)),
+            })
 
-    return packed.mapInArrow(work, f"_doc {rest}, fp bigint")
+    return packed.mapInArrow(work, f"_doc {packed.schema['_doc'].dataType.simpleString()}, fp bigint, fp2 bigint")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -95,67 +106,98 @@ def chain_keys(distance: int) -> list[int]:
     return masks
 
 
-def within(one: np.uint64, many: np.ndarray, start: int, distance: int) -> np.ndarray:
-    """Which of ``many`` are linked to ``one``, by chains that begin at a segment and then by all bits."""
+def within(differ: np.ndarray, start: int, distance: int) -> np.ndarray:
+    """Places of the differences (xor) that pass all chains from a segment on, and then the full check."""
     ring = segments(distance)
-    differ, passed, used = many ^ one, np.arange(len(many)), np.zeros(len(many), np.int64)
+    passed, used = np.arange(len(differ)), np.zeros(len(differ), np.uint8)
     for length in range(1, len(ring)):
         low, width = ring[(start + length - 1) % len(ring)]
         used = used + np.bitwise_count(differ[passed] & np.uint64(((1 << width) - 1) << low))
         ok = used <= length * distance // len(ring)
         passed, used = passed[ok], used[ok]
-        if not len(passed):
-            return passed
     return passed[np.bitwise_count(differ[passed]) <= distance]
 
 
-def walk(fps: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the distinct fingerprints of one bucket."""
-    links, rest = [], fps
+def walk(fps: np.ndarray, start: int, distance: int, second: int | None = None) -> list[tuple[int, int]]:
+    """Links (places) that connect what is linked among one bucket's fingerprints, a row of numbers each."""
+    n, links = len(fps), []
+
+    def near(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linked (place in one, place in many)."""
+        differ = (one[:, None] ^ many[None, :]).ravel() if second is None else (one[:, None, 0] ^ many[None, :, 0]).ravel()
+        i, j = np.divmod(within(differ, start, distance), len(many))
+        if second is not None:
+            ok = np.bitwise_count(one[i, 1] ^ many[j, 1]) <= second
+            i, j = i[ok], j[ok]
+        return i, j
+
+    if n <= MATRIX:
+        linked = np.zeros((n, n), bool)
+        for a in range(0, n, 256):
+            i, j = near(fps[a : a + 256], fps[a:])
+            linked[i + a, j + a] = linked[j + a, i + a] = True
+        rest = linked.sum(axis=1) > 1
+        while rest.any():
+            front = np.flatnonzero(rest)[:1]
+            rest[front] = False
+            while len(front):
+                reached = linked[front] & rest
+                new = np.flatnonzero(reached.any(axis=0))
+                links += zip(front[reached[:, new].argmax(axis=0)].tolist(), new.tolist())
+                rest[new] = False
+                front = new
+        return links
+    rest = np.arange(n)
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             one = front.pop()
-            near = within(one, rest, start, distance)
-            if len(near):
-                found = rest[near]
-                links += [(int(one), int(x)) for x in found]
-                front += list(found)
-                rest = np.delete(rest, near)
+            _, found = near(fps[one : one + 1], fps[rest])
+            if len(found):
+                new = rest[found].tolist()
+                links += [(one, x) for x in new]
+                front += new
+                rest = np.delete(rest, found)
     return links
 
 
-def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints ``fp`` within the distance."""
-    masks = chain_keys(distance)
+def fingerprint_links(distinct: DataFrame, distance: int, second: int | None = None) -> DataFrame:
+    """(a, a2, b, b2): links that connect all distinct fingerprints (fp, fp2) within the distances."""
     met = distinct.select(
         "fp",
+        "fp2",
         F.explode(F.array(*[
             F.struct(
                 F.lit(i).alias("chain"),
                 F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")).alias("bits"),
             )
-            for i, m in enumerate(masks)
+            for i, m in enumerate(chain_keys(distance))
         ])).alias("k"),
-    ).select("k.chain", "k.bits", "fp")
-    sorted_ = met.repartition("chain", "bits").sortWithinPartitions("chain", "bits", "fp")
+    ).select("k.chain", "k.bits", "fp", "fp2")
+    sorted_ = met.repartition("chain", "bits").sortWithinPartitions("chain", "bits", "fp", "fp2")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(chain: np.ndarray, bits: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             edges = np.flatnonzero(np.r_[True, (np.diff(chain) != 0) | (np.diff(bits) != 0), True])
-            links = []
+            pairs = [np.zeros((0, 2), np.int64)]
             for i in np.flatnonzero(np.diff(edges) > 1):
                 a, b = edges[i], edges[i + 1]
-                links += walk(fps[a:b], int(chain[a]) // 2, distance)
-            pairs = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return batch_like({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                bucket = fps[a:b, 0] if second is None else fps[a:b]
+                found = walk(bucket, int(chain[a]) // 2, distance, second)
+                if found:
+                    pairs.append(np.array(found) + a)
+            places = np.concatenate(pairs)
+            ends = fps.view(np.int64)[places]
+            return batch_like({
+                name: pa.array(ends[:, side, part]) for name, side, part in (("a", 0, 0), ("a2", 0, 1), ("b", 1, 0), ("b2", 1, 1))
+            })
 
         held: list[np.ndarray] | None = None  # the last bucket, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("chain", "bits", "fp")]
-            now[2] = now[2].view(np.uint64)
+            chain, bits, fp, fp2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chain", "bits", "fp", "fp2"))
+            now = [chain, bits, np.stack([fp, fp2], 1).view(np.uint64)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
@@ -166,30 +208,37 @@ def fingerprint_links(distinct: DataFrame, distance: int) -> DataFrame:
         if held is not None:
             yield linked(*held)
 
-    return sorted_.mapInArrow(work, "a bigint, b bigint").distinct()
+    return sorted_.mapInArrow(work, "a bigint, a2 bigint, b bigint, b2 bigint").distinct()
+
+
+def _node(fp: str, fp2: str, second: int | None) -> Column:
+    if second is None:
+        return F.col(fp)
+    return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (fp, fp2)])
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, second: int | None = None
 ) -> DataFrame:
-    """(key, content, fp, component): one row per row of ``docs``.
+    """(key, content, fp, root, component): one row per row of ``docs``.
 
     ``content`` is the text's hash, ``component`` the smallest id of all documents that links reach.
     """
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
-    found = fingerprints(rows, "text", words).select("_doc.id", "_doc.content", "fp")
-    found = stage(found, "fingerprints")
-    nodes = stage(found.groupBy("fp").agg(F.min("id").alias("low")), "fingerprint-nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
+    found = fingerprints(rows, "text", words, second is not None)
+    found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2"), "fingerprints")
+    nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low")), "fingerprint-nodes")
+    links = fingerprint_links(nodes.select("fp", "fp2"), distance, second)
+    roots = components(links.select(_node("a", "a2", second).alias("a"), _node("b", "b2", second).alias("b")))
+    nodes = nodes.withColumn("own", _node("fp", "fp2", second))
+    rooted = nodes.join(roots, nodes["own"] == roots["node"], "left").select(
+        "own", "low", F.coalesce("root", "own").alias("root")
     )
     rooted = stage(rooted, "fingerprint-roots")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(lows, "root").select(F.col("fp").alias("node"), "root", "component")
-    return found.join(named, found["fp"] == named["node"]).select(
-        F.col("id").alias(key), "content", "fp", "root", "component"
-    )
+    named = rooted.join(lows, "root").select("own", "root", "component")
+    found = found.withColumn("own", _node("fp", "fp2", second))
+    return found.join(named, "own").select(F.col("id").alias(key), "content", "fp", "root", "component")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -158,7 +158,7 @@ def test_linked_fingerprints_meet(one, flipped, distance):
     flipped = sorted(flipped)[:distance]
     other = one ^ sum(1 << b for b in flipped)
     met = [i for i, m in enumerate(simhash.chain_keys(distance)) if one & m == other & m]
-    assert any(len(simhash.within(np.uint64(one), np.array([other], np.uint64), i // 2, distance)) for i in met)
+    assert any(len(simhash.within(np.array([one ^ other], np.uint64), i // 2, distance)) for i in met)
 
 
 def test_near_duplicates_of_odd_rows(docs, none):
@@ -189,17 +189,39 @@ def test_near_duplicates_of_the_table(spark):
     assert all(r.component_id == min(low[root[i]]) for i, r in enumerate(out))
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.integers(0, 2**64 - 1), st.lists(st.sets(st.integers(0, 20), max_size=6), max_size=40))
-def test_walk_connects_what_is_linked(center, flips):
+@pytest.mark.parametrize("matrix", [0, 2048])
+@pytest.mark.parametrize("second", [None, 3])
+@settings(deadline=None, max_examples=40, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 2**64 - 1), st.lists(st.sets(st.integers(0, 20), max_size=6), max_size=40), st.integers(4, 10))
+def test_walk_connects_what_is_linked(monkeypatch, matrix, second, center, flips, distance):
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
     fps = np.array(sorted({center ^ sum(1 << b for b in f) for f in flips}), np.uint64)
-    links = simhash.walk(fps, 3, 4)
-    ok = lambda a, b: len(simhash.within(np.uint64(a), np.array([b], np.uint64), 3, 4)) > 0
-    nodes = [int(x) for x in fps]
-    assert all(ok(a, b) for a, b in links)
+    wide = np.stack([fps, fps * np.uint64(3) % np.uint64(1024)], 1)
+
+    def ok(i, j):
+        chains = len(simhash.within(fps[i : i + 1] ^ fps[j : j + 1], 3, distance)) > 0
+        return chains and (second is None or np.bitwise_count(wide[i, 1] ^ wide[j, 1]) <= second)
+
+    links = simhash.walk(fps if second is None else wide, 3, distance, second)
+    nodes = list(range(len(fps)))
+    assert all(ok(i, j) for i, j in links)
     pairs = {frozenset(p) for p in links}
-    direct, walked = groups(nodes, ok), groups(nodes, lambda a, b: frozenset((a, b)) in pairs)
+    direct, walked = groups(nodes, ok), groups(nodes, lambda i, j: frozenset((i, j)) in pairs)
     assert [direct.index(x) for x in direct] == [walked.index(x) for x in walked]
+    assert len(links) == len(nodes) - len(set(direct))
+
+
+def test_wide_near_duplicates_of_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(500)
+    out = simhash.near_duplicates(table, words=5, distance=10, second=16).collect()
+    texts = {r.doc_id: r.text for r in table.collect()}
+    fps = [simhash.fingerprint(texts[r.doc_id].encode(), 5, True) for r in out]
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() <= 10 and (a[1] ^ b[1]).bit_count() <= 16
+    root = groups(fps, near)
+    low = defaultdict(list)
+    for i, r in enumerate(root):
+        low[r].append(out[i].doc_id)
+    assert all(r.component == min(low[root[i]]) for i, r in enumerate(out)) and len(low) < len(out)
 
 
 @settings(deadline=None, max_examples=6)
@@ -334,6 +356,43 @@ def test_lattice_sums_all_segmentations(words):
     assert np.allclose([model.long_word(b" " + w) / lattice.LN10 for w in words], wanted)
 
 
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=6), st.integers(1, 5)), min_size=1, max_size=5))
+def test_expected_pieces(counted):
+    scores = {b" ": -2.0, b"a": -1.5, b"b": -1.0, b" a": -0.9, b"ab": -1.2, b"bab": -3.0, b" ab": -2.2}
+
+    def ways(w):
+        if not w:
+            yield (), 1.0
+        for p, s in scores.items():
+            if w.startswith(p):
+                for rest, x in ways(w[len(p) :]):
+                    yield (p, *rest), math.exp(s) * x
+
+    wanted = Counter()
+    for w, n in counted:
+        own = list(ways(b" " + w.encode()))
+        for pieces, x in own:
+            for p in pieces:
+                wanted[p] += n * x / sum(y for _, y in own)
+    model = lattice.Lattice(scores, -1.0)
+    found = model.expected([w.encode() for w, _ in counted], np.array([n for _, n in counted]))
+    for size, n in found.items():
+        for piece, x in zip(model.pieces[size], n):
+            assert abs(wanted[piece] - x) < 1e-6
+
+
+def test_passes_raise_the_likelihood(spark, sample):
+    counts = lattice.word_counts(sample.select("text")).cache()
+    likely = []
+    for passes in (0, 1, 2, 3):
+        model = lattice.train(counts, sample.count(), PIECES, passes)
+        rows_ = counts.collect()
+        likely.append(sum(r.n * p for r, p in zip(rows_, model.words([bytes(r.word) for r in rows_]))))
+        assert sum(map(math.exp, model.scores.values())) + math.exp(model.end) <= 1 + 1e-9
+    assert likely == sorted(likely) and likely[3] > likely[0]
+
+
 def test_scores_of_odd_rows(docs, none):
     trained = docs.filter("doc_id % 2 = 0 or doc_id is null")
     out = lattice.score(docs, trained, PIECES, keep=["text"]).collect()
