@@ -44,6 +44,8 @@ SEED, BITS = 42, 64
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Buckets up to this size are compared as a matrix.
 MATRIX = 2048
+#: Parts into which the fingerprints of a component are dealt.
+SALTS = 32
 
 
 def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
@@ -230,13 +232,18 @@ def near_duplicates(
     nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low")), "fingerprint-nodes")
     links = fingerprint_links(nodes.select("fp", "fp2"), distance, second)
     roots = components(links.select(_node("a", "a2", second).alias("a"), _node("b", "b2", second).alias("b")))
-    nodes = nodes.withColumn("own", _node("fp", "fp2", second))
-    rooted = nodes.join(roots, nodes["own"] == roots["node"], "left").select(
-        "own", "low", F.coalesce("root", "own").alias("root")
+    nodes = nodes.select(_node("fp", "fp2", second).alias("own"), "low")
+    linked = nodes.join(roots, nodes["own"] == roots["node"]).select("own", "low", "root")
+    linked = stage(linked.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS))), "linked-fingerprints")
+    # a component of any size is dealt to many tasks: its smallest id is repeated once per salt
+    lows = linked.groupBy("root").agg(F.min("low").alias("component"))
+    lows = lows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    reached = linked.join(lows, ["root", "salt"]).select(F.col("own").alias("of"), "root", "component")
+    named = nodes.join(reached, nodes["own"] == reached["of"], "left").select(
+        "own",
+        F.coalesce("root", "own").alias("root"),
+        F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("component")).alias("component"),
     )
-    rooted = stage(rooted, "fingerprint-roots")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(lows, "root").select("own", "root", "component")
     found = found.withColumn("own", _node("fp", "fp2", second))
     return found.join(named, "own").select(F.col("id").alias(key), "content", "fp", "root", "component")
 
