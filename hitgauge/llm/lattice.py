@@ -7,11 +7,13 @@ probabilities; a forward recursion in log space sums them up, word by word becau
 a blank's left side. As every sequence of pieces spells one text, the probabilities of all texts sum to
 at most 1. Bytes are pieces, so every text has a probability above 0.
 
-Piece probabilities are add-``SMOOTHING`` frequencies of the vocabulary's own segmentation of all words of
-the training documents. The word counts behind them also give the base score.
+Piece probabilities start as add-``SMOOTHING`` frequencies of the vocabulary's own segmentation of all words
+of the training documents; ``passes`` of expectation and maximisation then replace them by expected
+frequencies over all segmentations (forward and backward sums over the counted words). The word counts
+behind them also give the base score.
 
-Plan: training words are counted in tasks, then in one shuffle, and staged. The ``HEAD_WORDS`` most frequent
-ones (a fixed number of short words) go to all tasks with count and likelihood; so hot words never are
+Plan: training words are counted in tasks, then in one shuffle, and staged. The most frequent ones (at most
+``HEAD_WORDS`` short words, cut by a histogram of the counts) go to all tasks with count and likelihood; so hot words never are
 join keys. A second pass over the texts sums up what the head and the lattice tell and lists only the
 other words of each document, which are joined with the staged counts.
 
@@ -68,6 +70,7 @@ class Lattice:
     scores: dict[bytes, float]
     end: float
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    pieces: dict[int, list[bytes]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.scores))
@@ -76,6 +79,7 @@ class Lattice:
             codes = _prefixes(np.frombuffer(b"".join(p for p, _ in own), np.uint8).reshape(-1, size))[:, -1]
             order = np.argsort(codes)
             self.tables[size] = codes[order], np.array([s for _, s in own])[order]
+            self.pieces[size] = [own[i][0] for i in order]
 
     def long_word(self, word: bytes) -> float:
         """Log probability of one word, a piece at a time."""
@@ -91,11 +95,11 @@ class Lattice:
             alpha[stop] = top + math.log(sum(math.exp(x - top) for x in found))
         return alpha[-1]
 
-    def equal_words(self, data: np.ndarray) -> np.ndarray:
-        """Log probabilities of words of one length, a row of bytes each."""
+    def _forward(self, data: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """(sums up to each place, [stop, size, rows, places in the size's table] of all pieces found)"""
         n, length = data.shape
         codes, power = _prefixes(data), np.cumprod(np.r_[np.uint64(1), np.full(length, BASE)])
-        alpha = np.full((length + 1, n), -np.inf)
+        alpha, found = np.full((length + 1, n), -np.inf), []
         alpha[0] = 0
         for stop in range(1, length + 1):
             for size, (keys, scores) in self.tables.items():
@@ -104,24 +108,52 @@ class Lattice:
                 code = codes[:, stop] - codes[:, stop - size] * power[size]
                 at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == code)
-                alpha[stop, hit] = np.logaddexp(alpha[stop, hit], alpha[stop - size, hit] + scores[at[hit]])
-        return alpha[length]
+                at = at[hit]
+                alpha[stop, hit] = np.logaddexp(alpha[stop, hit], alpha[stop - size, hit] + scores[at])
+                found.append((stop, size, hit, at))
+        return alpha, found
+
+    def equal_words(self, data: np.ndarray) -> np.ndarray:
+        """Log probabilities of words of one length, a row of bytes each."""
+        return self._forward(data)[0][-1]
+
+    def equal_expected(self, data: np.ndarray, times: np.ndarray, total: dict[int, np.ndarray]) -> None:
+        """Add to ``total`` (by size) how often each piece is expected in the words, ``times`` each."""
+        alpha, found = self._forward(data)
+        beta = np.full_like(alpha, -np.inf)
+        beta[-1] = 0
+        for stop, size, hit, at in reversed(found):
+            scores = self.tables[size][1][at]
+            after = beta[stop, hit] + scores
+            chance = np.exp(alpha[stop - size, hit] + after - alpha[-1, hit])
+            total[size] += np.bincount(at, weights=chance * times[hit], minlength=len(total[size]))
+            beta[stop - size, hit] = np.logaddexp(beta[stop - size, hit], after)
+
+    def expected(self, words: list[bytes], times: np.ndarray) -> dict[int, np.ndarray]:
+        """By size, the expected number of each piece (in the order of the size's table) in counted words."""
+        total = {size: np.zeros(len(keys)) for size, (keys, _) in self.tables.items()}
+        for own, data in _by_length(words):
+            self.equal_expected(data, times[own], total)
+        return total
 
     def words(self, words: list[bytes]) -> np.ndarray:
         """log10 of the probability of each word, its leading blank included."""
         out = np.empty(len(words))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            if size >= SHORT:
-                out[own] = [self.long_word(b" " + words[i]) for i in own]
-                continue
-            for part in np.array_split(own, 1 + len(own) // 20_000):
-                data = np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8)
-                out[part] = self.equal_words(data.reshape(len(part), size + 1))
+        for own, data in _by_length(words):
+            out[own] = self.equal_words(data) if data.shape[1] <= SHORT else [self.long_word(x.tobytes()) for x in data]
         return out / LN10
 
 
+def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, bytes with the leading blank) of the words, in matrices of one length of at most 2**18 bytes or a row."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        step = max(1, (1 << 18) // (int(size) + 1))
+        for part in (own[i : i + step] for i in range(0, len(own), step)):
+            yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8).reshape(len(part), -1)
+
+
 def _prefixes(data: np.ndarray) -> np.ndarray:
     """Polynomial codes of the prefixes of each row, from the empty one on."""
     out = np.zeros((data.shape[0], data.shape[1] + 1), np.uint64)
@@ -152,7 +184,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(words: DataFrame, n_docs: int, path: str) -> Lattice:
+def train(words: DataFrame, n_docs: int, path: str, passes: int = 2) -> Lattice:
     """Piece probabilities from counted words; one row per piece comes to the driver."""
     pieces, file = read_pieces(path)
     held = words.sparkSession.sparkContext.broadcast(file)
@@ -176,9 +208,50 @@ def train(words: DataFrame, n_docs: int, path: str) -> Lattice:
     for i in usable:  # a byte and a piece may be spelled alike; both ways count
         p = (count[i] + SMOOTHING) / whole
         scores[pieces[i]] = math.log(math.exp(scores.get(pieces[i], -math.inf)) + p)
+    lattice = Lattice(scores, math.log((n_docs + SMOOTHING) / whole))
+    for _ in range(passes):
+        lattice = _improved(words, n_docs, lattice)
+    return lattice
+
+
+def _improved(words: DataFrame, n_docs: int, lattice: Lattice) -> Lattice:
+    """The lattice with the expected frequencies of its pieces; a row per piece comes to the driver."""
+    held = words.sparkSession.sparkContext.broadcast(lattice)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in slices(batches, "word", 1 << 20):
+            for size, n in held.value.expected(raw(batch, "word"), batch.column("n").to_numpy()).items():
+                total[size] = total.get(size, 0) + n
+        for size, n in total.items():
+            seen = np.flatnonzero(n)
+            yield batch_like({
+                "size": pa.array(np.full(len(seen), size, np.int64)), "at": pa.array(seen), "n": pa.array(n[seen])
+            })
+
+    found = words.mapInArrow(work, "size bigint, at bigint, n double").groupBy("size", "at").agg(F.sum("n").alias("n"))
+    found = found.toArrow()
+    count = {piece: 0.0 for piece in lattice.scores}
+    for size, at, n in zip(*(found.column(c).to_pylist() for c in ("size", "at", "n"))):
+        count[lattice.pieces[size][at]] = n
+    whole = sum(count.values()) + n_docs + SMOOTHING * (len(count) + 1)
+    scores = {piece: math.log((n + SMOOTHING) / whole) for piece, n in count.items()}
     return Lattice(scores, math.log((n_docs + SMOOTHING) / whole))
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent short words: at most ``HEAD_WORDS``, by steps of an eighth of a doubling."""
+    short = counts.filter(F.octet_length("word") <= HEAD_BYTES)
+    step = F.floor(F.log2(F.col("n")) * 8)
+    taken, cut = 0, None
+    for row in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > HEAD_WORDS:
+            break
+        cut = row["step"]
+    return short.filter(step >= cut) if cut is not None else short.limit(0)
+
+
 def score(
     docs: DataFrame, trained: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
@@ -201,8 +274,7 @@ def score(
             rated = model.value.words(raw(batch, "word"))
             yield batch_like({"word": batch.column("word"), "n": batch.column("n"), "p": pa.array(rated)})
 
-    top = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    head = top.repartition("word").mapInArrow(rate, "word binary, n bigint, p double").toArrow()
+    head = _frequent(counts).mapInArrow(rate, "word binary, n bigint, p double").toArrow()
     common = spark.sparkContext.broadcast((
         {w: i for i, w in enumerate(head.column("word").to_pylist())},
         np.log10((head.column("n").to_numpy() + 1) / below),
