@@ -28,7 +28,7 @@ def with_bin(df: DataFrame, value: str, lo: Column, hi: Column, out: str = "bin"
     """
     v = F.col(value)
     width = (hi - lo) / BINS
-    inside = ~F.isnan(v) & (v >= lo) & (v <= hi) & (lo < hi)
+    inside = ~F.isnan(v) & (v >= lo) & (v <= hi) & (lo < hi) & (width > 0)
     guess = F.when(inside, F.least(F.floor((v - lo) / width), F.lit(BINS - 1)))
     with_guess = df.withColumn("_guess", guess)
     g = F.col("_guess")

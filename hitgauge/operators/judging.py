@@ -69,10 +69,10 @@ def failure_count(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def first_verdicts(verdicts: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """One usable verdict per pair: the one with the lowest ``seq``."""
+def first_verdicts(verdicts: DataFrame, keys: list[str], seq: str | None) -> DataFrame:
+    """One usable verdict per pair: the one with the lowest ``seq``, or the least one without it."""
     usable = verdicts.filter(F.col("response").isNotNull())
-    return usable.groupBy(*keys).agg(F.min_by("response", seq).alias("response"))
+    return usable.groupBy(*keys).agg(F.min_by("response", seq or "response").alias("response"))
 
 
 def verdict_label(response: Column) -> Column:
@@ -84,7 +84,7 @@ def label_pairs(
     matched: DataFrame,
     verdicts: DataFrame,
     keys: list[str],
-    seq: str,
+    seq: str | None,
     score: str = "best_scores",
     drop_failed: bool = False,
     keep: Sequence[str] = (),

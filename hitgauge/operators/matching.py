@@ -74,6 +74,7 @@ class Vectors:
     @staticmethod
     def from_arrow(table: pa.Table | pa.RecordBatch) -> Vectors:
         # Rows without a vector are dropped here: a filter in the plan would run an encoder twice.
+        # So are vectors with an element that is missing or not finite; they match nothing.
         table = table.filter(pc.is_valid(table.column("vec")))
         column = table.column("vec")
         if isinstance(column, pa.ChunkedArray):
@@ -83,11 +84,13 @@ class Vectors:
         dim = len(flat) // n if n else 0
         if not np.all(np.diff(column.offsets.to_numpy()) == dim):
             raise ValueError("all vectors must have the same number of dimensions")
+        values = flat.reshape(n, dim).astype(np.float32, copy=False)
+        usable = np.isfinite(values).all(axis=1)
         return Vectors(
-            ids=table.column("id").to_numpy(),
-            order=table.column("ord").to_numpy(),
-            group=table.column("grp").to_numpy(),
-            values=flat.reshape(n, dim).astype(np.float32, copy=False),
+            ids=table.column("id").to_numpy()[usable],
+            order=table.column("ord").to_numpy()[usable],
+            group=table.column("grp").to_numpy()[usable],
+            values=values[usable],
         )
 
     @functools.cached_property
@@ -405,27 +408,30 @@ def match_top_k(
     c = _vector_rows(cache, cache_id, vector, order, spec)
 
     row_bytes = _row_bytes(q)
-    n_queries = queries.count()
-    few = n_queries * row_bytes <= broadcast_bytes
-    if few:
+    n_queries, n_cache = queries.count(), cache.count()
+    # The smaller side is the one to send to all tasks, if it is small enough.
+    small_cache = n_cache <= n_queries and n_cache * row_bytes <= broadcast_bytes
+    few = not small_cache and n_queries * row_bytes <= broadcast_bytes
+    if small_cache:
+        found = _match_small_cache(q, c, spec, n_queries * row_bytes)
+    elif few:
         if carry and n_queries * k <= CARRY_ROWS:
             c = _vector_rows(cache, cache_id, vector, order, spec, carry)
         found = _match_few_queries(q, c, spec)
+    elif n_cache * row_bytes <= broadcast_bytes:
+        found = _match_small_cache(q, c, spec, n_queries * row_bytes)
     else:
-        n_cache = cache.count()
-        if n_cache * row_bytes <= broadcast_bytes:
-            found = _match_small_cache(q, c, spec, n_queries * row_bytes)
-        else:
-            max_rows = max(1, tile_bytes // row_bytes)
-            found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)
+        max_rows = max(1, tile_bytes // row_bytes)
+        found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)
     found = merge_best(found, k)
     group = [F.col("grp").alias(by)] if by else []
     found = found.select(
         *group, F.col("query_id").alias(query_id),
         *[x for x in ("match_id", "score", "carried", "rank") if x in found.columns],
     )
-    # The k rows of few queries are as bounded as the queries were: joins may broadcast them.
-    return F.broadcast(found) if few and n_queries * k <= BROADCAST_ROWS else found
+    # The k rows of few queries are as bounded as the queries were, unless they carry texts.
+    narrow = "carried" not in found.columns
+    return F.broadcast(found) if few and narrow and n_queries * k <= BROADCAST_ROWS else found
 
 
 def match_top_1(queries: DataFrame, cache: DataFrame, **options) -> DataFrame:

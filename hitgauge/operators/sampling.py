@@ -123,6 +123,14 @@ def split_queries_cache(
     return queries, rest.withColumn("cache_pos", seeded_position(seed, cache_id or id_col))
 
 
+def _one_per_run(cuts: DataFrame, n_runs: int) -> DataFrame:
+    """The staged cutoffs; a run whose cutoff repeated ids hide must not vanish unseen."""
+    staged = stage(cuts, "run-cuts")
+    if staged.count() != n_runs:
+        raise ValueError("the id column of a sample must be unique")
+    return staged
+
+
 def bootstrap_splitter(
     log: DataFrame,
     id_col: str,
@@ -156,7 +164,7 @@ def bootstrap_splitter(
     ids = fan_out(log.select(id_col))
     universe_cuts = None
     if size < total:
-        universe_cuts = stage(order_cutoffs(keyed(ids, run), ["run"], total, size), "universe-cuts")
+        universe_cuts = _one_per_run(order_cutoffs(keyed(ids, run), ["run"], total, size), n_runs)
 
     def universe(df: DataFrame, ident: str) -> DataFrame:
         if universe_cuts is None:
@@ -165,11 +173,11 @@ def bootstrap_splitter(
         inside = _within(seeded_key(run, ident), F.col(ident), F.col("_cut_key"), F.col("_cut_id"))
         return cut.filter(inside).drop("_cut_key", "_cut_id")
 
-    query_cuts = stage(
+    query_cuts = _one_per_run(
         order_cutoffs(
             keyed(ids, run + 1000), ["run"], size, n_samples, lambda rows: universe(rows, "_id")
         ),
-        "query-cuts",
+        n_runs,
     )
 
     def split(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ score, return flag as label, ship year as dataset, line status as model and line
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -196,7 +197,7 @@ def index_search(spark, sf):
 @query
 def index_match(spark, sf):
     queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)
-    matched = jobs.run_index_matching(queries, cache, id_col="vec_id")
+    matched = jobs.run_index_matching(queries, cache, id_col="vec_id", score_digits=6)
     return matched.select("vec_id", "text", "matches", "best_scores")
 
 
@@ -325,7 +326,7 @@ def match_no_hit(spark, sf):
     )
     matched = jobs.run_matching(
         turns.filter("role = 'user'"), turns.filter("role = 'system'"),
-        id_col="turn_id", order="turn_id", by="conv_id",
+        id_col="turn_id", order="turn_id", by="conv_id", score_digits=6
     )
     return matched.select("turn_id", "conv_id", "matches", "best_scores")
 
@@ -334,7 +335,7 @@ def match_no_hit(spark, sf):
 def text_match(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     queries, cache = jobs.load_data(docs, "doc_id")
-    matched = jobs.run_matching(queries, cache, id_col="doc_id")
+    matched = jobs.run_matching(queries, cache, id_col="doc_id", score_digits=6)
     return matched.select("doc_id", "match_id", F.md5("matches").alias("match_md5"), "best_scores")
 
 
@@ -343,7 +344,7 @@ def text_match_explicit_cache(spark, sf):
     """All documents against the benchmark passages as an explicit cache."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cache = table(spark, sf, "benchmark")
-    matched = jobs.run_matching(docs, cache, id_col="doc_id", cache_id="item_id", order="item_id")
+    matched = jobs.run_matching(docs, cache, id_col="doc_id", cache_id="item_id", order="item_id", score_digits=6)
     return matched.select("doc_id", "match_id", "best_scores")
 
 
@@ -373,7 +374,7 @@ def conversation_match(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"
     )
     queries, cache = jobs.load_data(turns, "turn_id")
-    return jobs.run_matching(queries, cache, id_col="turn_id").select(
+    return jobs.run_matching(queries, cache, id_col="turn_id", score_digits=6).select(
         "turn_id", "text", "matches", "best_scores"
     )
 
@@ -420,13 +421,17 @@ def judge_join_usable_only(spark, sf):
     return judged
 
 
-def _same_start_judge():
-    """A toy judge: yes if both texts start with the same letter; no answer for very long queries."""
+def _shared_words_judge():
+    """A toy judge: yes if the query has a fifth of the match's different words; no answer without any."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
 
     def judge(pairs, prompt):
-        return [
-            None if len(a) > 5000 else ("yes" if a[:1] == b[:1] else "no") for a, b in pairs
-        ]
+        answers = []
+        for a, b in pairs:
+            wanted = set(word.findall(b))
+            shared = len(wanted & set(word.findall(a)))
+            answers.append(None if not shared else ("yes" if 5 * shared >= len(wanted) else "no"))
+        return answers
 
     return judge
 
@@ -436,8 +441,8 @@ def judge_udf(spark, sf):
     """The judge hook on all pairs of a document and its nearest passage."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cache = table(spark, sf, "benchmark")
-    matched = jobs.run_matching(docs, cache, id_col="doc_id", cache_id="item_id", order="item_id")
-    judged = judging.judge_pairs(matched, _same_start_judge, batch_size=16, preprocess=F.lower)
+    matched = jobs.run_matching(docs, cache, id_col="doc_id", cache_id="item_id", order="item_id", score_digits=6)
+    judged = judging.judge_pairs(matched, _shared_words_judge, batch_size=16, preprocess=F.lower)
     return judged.select("doc_id", "match_id", "response", "error")
 
 
@@ -814,7 +819,7 @@ def chart_class_densities(spark, sf):
 @query
 def check_matches(spark, sf):
     queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)
-    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding")
+    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding", score_digits=6)
     return checks.check_matches(matched)
 
 
@@ -833,7 +838,7 @@ def check_expectations(spark, sf):
     """Documents whose best passage contains their first word but scores below the floor."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark")
-    matched = jobs.run_matching(docs, bench, id_col="doc_id", cache_id="item_id", order="item_id")
+    matched = jobs.run_matching(docs, bench, id_col="doc_id", cache_id="item_id", order="item_id", score_digits=6)
     wanted = docs.select(
         F.col("text").alias("query"), F.split("text", " ")[0].alias("expected"), F.lit(0.9).alias("min_score")
     ).distinct()
@@ -855,7 +860,7 @@ def _label_judge(pairs: DataFrame) -> DataFrame:
 
 def _evaluated(spark, sf):
     queries, cache = jobs.load_data(embeddings(spark, sf), "vec_id")
-    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding")
+    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding", score_digits=6)
     return jobs.full_evaluation(matched, _label_judge)
 
 
@@ -873,14 +878,14 @@ def full_eval_judged(spark, sf):
 @query
 def chr_eval(spark, sf):
     queries, cache = jobs.load_data(embeddings(spark, sf), "vec_id")
-    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding")
+    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding", score_digits=6)
     return jobs.chr_evaluation(matched).sweep
 
 
 @query
 def chr_eval_summary(spark, sf):
     queries, cache = jobs.load_data(embeddings(spark, sf), "vec_id")
-    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding")
+    matched = jobs.run_matching(queries, cache, id_col="vec_id", vector="embedding", score_digits=6)
     return jobs.chr_evaluation(matched).summary.withColumn("mean_score", F.round("mean_score", 9))
 
 
@@ -889,7 +894,7 @@ def chr_eval_text(spark, sf):
     """Hit-ratio evaluation of the documents as a query log."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     queries, cache = jobs.load_data(docs, "doc_id")
-    return jobs.chr_evaluation(jobs.run_matching(queries, cache, id_col="doc_id")).sweep
+    return jobs.chr_evaluation(jobs.run_matching(queries, cache, id_col="doc_id", score_digits=6)).sweep
 
 
 TWO_MODELS = {"signed": "embedding", "absolute": "magnitudes"}
@@ -901,7 +906,7 @@ def _two_models(spark, sf):
 
 def _bootstrap(spark, sf):
     """Five runs of the vectors as they are and of their absolute values."""
-    return jobs.bootstrap_matches(_two_models(spark, sf), TWO_MODELS, id_col="vec_id")
+    return jobs.bootstrap_matches(_two_models(spark, sf), TWO_MODELS, id_col="vec_id", score_digits=6)
 
 
 @query
@@ -913,7 +918,7 @@ def bootstrap_matches(spark, sf):
 def bootstrap_benchmark(spark, sf):
     """Runs, verdicts, sweeps and leaderboard of both models in one job."""
     done, _ = jobs.bootstrap_benchmark(
-        {"vectors": _two_models(spark, sf)}, TWO_MODELS, _label_judge, id_col="vec_id"
+        {"vectors": _two_models(spark, sf)}, TWO_MODELS, _label_judge, id_col="vec_id", score_digits=6
     )
     stats = jobs.leaderboard(done.sweep, done.judged)
     return stats.select("dataset", "model", "n_runs", *_round_stats(stats))
@@ -928,7 +933,7 @@ def bootstrap_benchmark_text(spark, sf):
     )
     done, _ = jobs.bootstrap_benchmark(
         {"documents": docs, "turns": turns}, {"tokens": hashed_token_encoder()}, id_col="id",
-        n_runs=2, n_samples=50,
+        n_runs=2, n_samples=50, score_digits=6,
     )
     return done.summary.withColumn("mean_score", F.round("mean_score", 9))
 

@@ -488,9 +488,12 @@ add("judge_join_usable_only", VERDICTS,
     select="""SELECT doc_id::VARCHAR AS text, lang, 0.5::DOUBLE AS similarity_score,
     (response = 'yes')::INTEGER AS actual_label FROM verdicts WHERE response IS NOT NULL""")
 add("judge_udf", *DOC_BENCH,
-    """judged AS (SELECT qid AS doc_id, cid AS match_id, CASE WHEN length(lower(q.text)) <= 5000 THEN
-       CASE WHEN substr(lower(q.text), 1, 1) = substr(lower(c.text), 1, 1) THEN 'yes' ELSE 'no' END END AS response
-       FROM best JOIN rows q ON q.id = qid JOIN bench c ON c.id = cid)""",
+    r"""said AS (SELECT qid AS doc_id, cid AS match_id,
+       list_distinct(regexp_extract_all(lower(q.text), '[^\x20\x09-\x0D]+')) AS a,
+       list_distinct(regexp_extract_all(lower(c.text), '[^\x20\x09-\x0D]+')) AS b
+       FROM best JOIN rows q ON q.id = qid JOIN bench c ON c.id = cid),
+    judged AS (SELECT doc_id, match_id, CASE WHEN len(list_intersect(a, b)) = 0 THEN NULL
+       WHEN 5 * len(list_intersect(a, b)) >= len(b) THEN 'yes' ELSE 'no' END AS response FROM said)""",
     select="""SELECT doc_id, match_id, response, CASE WHEN response IS NULL THEN 'no answer' END AS error
     FROM judged""")
 

@@ -27,10 +27,6 @@ from hitgauge.sources.result_tables import (
 )
 from hitgauge.staging import stage
 
-# Digits kept of a similarity before thresholds, labels and densities are taken from it, so that
-# equal texts score exactly 1.0 whatever the order of the sums was.
-SCORE_DIGITS = 6
-
 JudgePairs = Callable[[DataFrame], DataFrame]
 
 
@@ -64,13 +60,16 @@ def load_csv_data(
     schema: str | None = None,
     id_col: str | None = None,
     seed: int = 42,
+    null_tokens: list[str] | None = None,
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Queries and cache from CSV paths (local or object store).
 
-    Without ``id_col`` the rows are numbered in ``row_id`` once and staged.
+    Without ``id_col`` the rows are numbered in ``row_id`` once and staged. ``null_tokens`` and
+    ``multi_line`` are those of :func:`read_csv`.
     """
     def read(path: str) -> DataFrame:
-        rows = read_csv(spark, path, schema)
+        rows = read_csv(spark, path, schema, null_tokens, multi_line)
         return rows if id_col else with_row_ids(rows)
 
     cache = read(cache_path) if cache_path else None
@@ -95,13 +94,15 @@ def run_matching(
     by: str | None = None,
     exclude_self: bool = False,
     texts: DataFrame | None = None,
+    score_digits: int | None = None,
 ) -> DataFrame:
     """Queries with ``match_id``, ``matches`` and ``best_scores`` of their nearest cached row.
 
     Vectors come from the ``vector`` column, or from ``encoder`` applied to the texts: queries are
     encoded once and staged, cached texts are encoded as they are scanned, without a shuffle.
     A query without a candidate has score 0 and the empty text. ``texts`` holds the text of every
-    ``cache_id`` once, where the cache repeats its rows per run.
+    ``cache_id`` once, where the cache repeats its rows per run. Scores are in double; with
+    ``score_digits`` they are rounded before anything is taken from them.
     """
     cache_id = cache_id or id_col
     if vector is None:
@@ -116,7 +117,7 @@ def run_matching(
         q, c, query_id=id_col, cache_id=cache_id, vector=vector, order=order, by=by,
         exclude_self=exclude_self, carry=text if texts is None else None,
     )
-    found = found.withColumn("best_scores", F.round("score", SCORE_DIGITS)).drop("score")
+    found = found.withColumn("best_scores", _rounded(F.col("score"), score_digits)).drop("score")
     if "carried" in found.columns:
         found = found.withColumnRenamed("carried", "matches")
     else:
@@ -149,15 +150,33 @@ def search_index(
     return attach_match(hits, index, "key", fields).drop("match_id")
 
 
+def _rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits)
+
+
 def run_index_matching(
-    queries: DataFrame, cache: DataFrame, *, id_col: str, text: str = "text", vector: str = "embedding"
+    queries: DataFrame,
+    cache: DataFrame,
+    *,
+    id_col: str,
+    text: str = "text",
+    vector: str = "embedding",
+    encoder: Encoder | None = None,
+    score_digits: int | None = None,
 ) -> DataFrame:
-    """Queries with the text and similarity of their nearest indexed document."""
+    """Queries with the text and similarity of their nearest indexed document.
+
+    With ``encoder`` the vectors are made from the texts of both sides, queries once and staged.
+    """
+    if encoder is not None:
+        plain = queries.drop("embedding")
+        queries = stage(encode_rows(plain, text, encoder), "query-vectors")
+        cache, vector = encode_rows(cache.drop("embedding"), text, encoder), "embedding"
     index = build_index(cache, id_col=id_col, text=text, vector=vector)
     hits = search_index(queries, index, id_col=id_col, vector=vector)
     best = hits.select(
         id_col, F.col(text).alias("matches"),
-        F.round(distance_to_similarity(F.col("vector_distance")), SCORE_DIGITS).alias("best_scores"),
+        _rounded(distance_to_similarity(F.col("vector_distance")), score_digits).alias("best_scores"),
     )
     return with_no_hit_default(queries, best, [id_col])
 
@@ -185,11 +204,14 @@ def full_evaluation(
     extra_metrics: dict[str, Column] | None = None,
     drop_failed: bool = False,
 ) -> Evaluation:
-    """Evaluation with verdicts. ``judge`` maps the pairs (text, matches) to the same rows with
-    ``response`` and ``seq``; the lowest ``seq`` wins where a pair was judged twice."""
+    """Evaluation with verdicts. ``judge`` maps the pairs (text, matches), each of them once, to the same
+    rows with ``response``; with a column ``seq`` the lowest one wins where a pair was judged twice.
+
+    Verdicts are staged as they come, so that no later filter runs the judge again."""
     by = by or []
-    pairs = matched.select(text, "matches").distinct()
-    judged = label_pairs(matched, judge(pairs), [text, "matches"], seq, drop_failed=drop_failed, keep=by)
+    verdicts = stage(judge(matched.select(text, "matches").distinct()), "verdicts")
+    seq = seq if seq in verdicts.columns else None
+    judged = label_pairs(matched, verdicts, [text, "matches"], seq, drop_failed=drop_failed, keep=by)
     judged = stage(judged, "judged")
     return Evaluation(
         matches=matched.select(*by, text, "matches", "best_scores") if by else matches_table(matched, text),
@@ -208,6 +230,7 @@ def bootstrap_matches(
     sample_ratio: float = 0.8,
     n_samples: int = 100,
     failures: dict[str, str] | None = None,
+    score_digits: int | None = None,
 ) -> DataFrame:
     """``model, run`` and the matched queries of all bootstrap runs.
 
@@ -227,7 +250,7 @@ def bootstrap_matches(
             runs = split(vectors)
             matched = run_matching(
                 runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
-                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors,
+                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors, score_digits=score_digits,
             )
         except Exception as problem:
             if failures is None:
@@ -262,6 +285,7 @@ def bootstrap_benchmark(
     sample_ratio: float = 0.8,
     n_samples: int = 100,
     steps: int = MAX_STEPS,
+    score_digits: int | None = None,
 ) -> tuple[Evaluation, dict[str, str]]:
     """Every dataset with every model and run, evaluated in one job over all runs.
 
@@ -275,7 +299,7 @@ def bootstrap_benchmark(
         try:
             matched = bootstrap_matches(
                 log, models, id_col=id_col, text=text, n_runs=n_runs,
-                sample_ratio=sample_ratio, n_samples=n_samples, failures=failed,
+                sample_ratio=sample_ratio, n_samples=n_samples, failures=failed, score_digits=score_digits,
             )
             parts.append(matched.withColumn("dataset", F.lit(dataset)))
         except Exception as problem:

@@ -15,7 +15,7 @@ ENCRYPTED_OUTPUT = {"spark.hadoop.fs.s3a.encryption.algorithm": "AES256"}
 
 # The texts that a CSV reader of the data-frame kind takes for a missing value.
 NULL_TOKENS = [
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
@@ -25,15 +25,17 @@ def read_csv(
     path: str,
     schema: StructType | str | None = None,
     null_tokens: list[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
     Give a schema where it is known: without one Spark reads the files twice to infer the types.
-    Texts in ``null_tokens`` become NULL after the read.
+    Texts in ``null_tokens`` become NULL after the read. A file with line breaks inside quotes
+    cannot be split; without any, ``multi_line=False`` reads large files in many tasks.
     """
     if not path:
         raise ValueError("path must be given")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return null_missing(df, null_tokens) if null_tokens else df
 

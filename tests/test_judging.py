@@ -98,3 +98,40 @@ def test_expectations(spark):
     )
     (row,) = check_expectations(found, wanted, "id").collect()
     assert (row.query, row.matches, row.score) == ("q1", "The Cat sat", 0.4)
+
+
+def test_full_evaluation_asks_the_judge_once_per_pair(spark, tmp_path):
+    """The judge hook as it is, without an order of verdicts; a pair that many queries share is asked once."""
+    from hitgauge.plans import jobs
+
+    rows = [("a", "x", 0.9), ("a", "x", 0.9), ("b", "y", 0.5), ("c", "z", 0.2)]
+    matched = spark.createDataFrame(rows, "text string, matches string, best_scores double")
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        def judge(pairs, prompt):
+            for _ in pairs:
+                open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            return [None if a == "c" else prompt for a, _ in pairs]
+
+        return judge
+
+    done = jobs.full_evaluation(matched, lambda p: judge_pairs(p, load, prompt="YES", postprocess=F.lower))
+    labels = sorted((r.text, r.similarity_score, r.actual_label) for r in done.judged.collect())
+    assert labels == [("a", 0.9, 1), ("a", 0.9, 1), ("b", 0.5, 1), ("c", 0.2, 0)]
+    assert len(list(tmp_path.iterdir())) == 3
+    done.sweep.count()
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_scores_are_not_rounded_unless_asked(spark):
+    from hitgauge.plans import jobs
+
+    q = spark.createDataFrame([(1, "q", [1.0, 0.0])], "id long, text string, embedding array<float>")
+    c = spark.createDataFrame([(2, "c", [0.79999965, 0.6000004666])], "id long, text string, embedding array<float>")
+    full = jobs.run_matching(q, c, id_col="id", vector="embedding", order="id").first().best_scores
+    cut = jobs.run_matching(q, c, id_col="id", vector="embedding", order="id", score_digits=6).first().best_scores
+    assert full < 0.8 <= cut

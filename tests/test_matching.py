@@ -154,7 +154,7 @@ def test_sample_log_against_sample_cache(spark):
     rows = {r.text: r for r in run_matching(queries, cache, id_col="id").collect()}
     assert len(rows) == 7
     for text in QUERIES[2:]:
-        assert rows[text].matches == text and rows[text].best_scores == 1.0
+        assert rows[text].matches == text and rows[text].best_scores == pytest.approx(1.0)
     assert rows[QUERIES[0]].matches == CACHE[0]
     assert rows[QUERIES[1]].matches == CACHE[1]
 
@@ -195,3 +195,21 @@ def test_carried_texts_equal_joined_texts(spark, k):
         vectors(spark, q), cache, query_id="id", cache_id="id", k=k, carry="text", **PLANS["tiles"]
     )
     assert "carried" not in tiled.columns
+
+
+def test_unusable_vectors_touch_no_other_row(spark):
+    """NaN, infinite and partly missing vectors match nothing, in all plans and for any k."""
+    rng = np.random.default_rng(5)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(12)]
+    bad = [(100, [float("nan")] * 4), (101, [1.0, float("inf"), 0.0, 0.0]), (102, [1.0, None, 0.0, 0.0]), (103, None)]
+    schema = "id long, embedding array<float>"
+    queries = spark.createDataFrame(good[:4] + bad, schema)
+    few, many = spark.createDataFrame(good + bad, schema), spark.createDataFrame(good, schema)
+    for k in (1, 3):
+        for options in ({}, {"broadcast_bytes": 0, "tile_bytes": 64}, {"broadcast_bytes": 128}):
+            found, wanted = (
+                {(r.id, r["rank"]): r.match_id for r in match_top_k(
+                    queries, cache, query_id="id", cache_id="id", vector="embedding", k=k, **options).collect()}
+                for cache in (few, many)
+            )
+            assert found == wanted and len(found) == 4 * k

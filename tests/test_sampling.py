@@ -80,3 +80,10 @@ def test_undersized_universe_gives_no_run(spark):
 def test_whole_log_as_universe(spark):
     rows = bootstrap_runs(log(spark, 50), "id", n_runs=2, sample_ratio=1.0, n_samples=10)
     assert rows.filter("is_query").count() == 20 and rows.count() == 100
+
+
+def test_bootstrap_runs_of_repeated_ids_raise(spark):
+    ids = list(range(1000)) + [7] * 20000
+    log = spark.createDataFrame([(i,) for i in ids], "id long")
+    with pytest.raises(Exception, match="unique"):
+        bootstrap_runs(log, "id").count()
