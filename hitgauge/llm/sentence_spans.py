@@ -8,9 +8,9 @@ first occurrence is the one with the smallest (id, text hash, sentence). Sentenc
 occurrence are removed, with the white space that follows them.
 
 Plan: hashes alone are counted first (combined before the shuffle); only runs whose hash repeats go on to
-the join for their first occurrence, and ranges, not texts, are gathered per document. Runs are computed
-twice rather than stored. A hash with any number of occurrences is one counted row; its members are never
-gathered and no pairs of them are made.
+the join for their first occurrence, and ranges, not texts, are gathered per document. Runs are staged. A
+hash with any number of occurrences is one counted row; its members are never gathered and no pairs of
+them are made, and the first occurrences of the most frequent hashes are broadcast (at most ``HOT`` rows).
 
 Cases: NULL texts stay NULL and blank ones as they are, with no sentences; rows that repeat id and text
 are one document and are treated alike; equal texts with different ids keep the smallest id's (NULL is the
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from hitgauge.llm.texts import batch_like, raw, slices
 from hitgauge.staging import stage
 
+#: A hash with more than 1/HOT of the repeated runs is frequent; there cannot be more than HOT of them.
+HOT = 4096
 BREAK = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 
 
@@ -100,14 +102,19 @@ def repeated_ranges(
 ) -> DataFrame:
     """(id, content, ranges): sentence ranges to remove from each document that loses some."""
     keyed = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
-    spans = _spans(keyed, min_sentences, min_words)
+    spans = stage(_spans(keyed, min_sentences, min_words), "sentence-runs")
     # one half of the hash decides what can repeat at all, both halves decide what does
-    again = spans.select("h1").groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
+    again = spans.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
     again = stage(again, "repeated-hashes")
     kept = stage(spans.join(again, "h1", "left_semi"), "repeated-runs")
     here = F.struct("id", "content", "first")
-    least = kept.groupBy("h1", "h2").agg(F.min(here).alias("least"))
-    later = kept.join(least, ["h1", "h2"]).filter(~here.eqNullSafe(F.col("least")))
+    least = kept.groupBy("h1", "h2").agg(F.min(here).alias("least"), F.count("*").alias("n"))
+    least = stage(least.filter("n > 1"), "first-runs")
+    # at most HOT hashes have more than 1/HOT of the rows: those go to all tasks, the rest is shuffled
+    often = F.broadcast(least.filter(F.col("n") > kept.count() / HOT).drop("n"))
+    hot = kept.join(often, ["h1", "h2"])
+    cold = kept.join(often.drop("least"), ["h1", "h2"], "left_anti").join(least.drop("n"), ["h1", "h2"])
+    later = hot.unionByName(cold).filter(~here.eqNullSafe(F.col("least")))
     ranges = later.select("id", "content", "first", "stop").distinct()
     return ranges.groupBy("id", "content").agg(
         F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("ranges")
