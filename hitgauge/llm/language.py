@@ -8,7 +8,7 @@ shortest code for the whole text wins; the score is its share of the probabiliti
 languages with equal priors.
 
 The trees are learned from a bounded sample of labelled rows: per language the ``rows_per_language``
-texts of 1 to ``longest`` bytes with the smallest hash of their key. All texts are scored whole.
+texts of 1 to ``longest`` bytes with the smallest hashes of their keys. All texts are scored whole.
 
 Cases: NULL and texts without a letter are ``und`` with score 0, as is everything if nothing was
 learned; equal code lengths go to the first language in code-point order; repeated rows get equal
@@ -126,10 +126,15 @@ def learn(
     rows = labelled.select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("draw")
     ).filter(F.col("lang").isNotNull() & size.between(1, longest))
-    first = Window.partitionBy("lang").orderBy("draw")
-    drawn = rows.select("lang", "draw").withColumn("n", F.row_number().over(first))
-    cut = drawn.filter(F.col("n") <= rows_per_language).groupBy("lang").agg(F.max("draw").alias("last"))
-    sample = attach(rows, stage(cut, "language-sample"), ["lang"]).filter("draw <= last")
+    # a first cut by the expected share leaves few more rows per language than wanted, whatever its size
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("rows")), "language-sizes")
+    near = rows_per_language + 10 * rows_per_language**0.5 + 10
+    share = F.pmod(F.col("draw"), F.lit(1 << 30)) / float(1 << 30)
+    rows = attach(rows.withColumn("share", share), sizes, ["lang"]).filter(F.col("share") * F.col("rows") <= near)
+    first = Window.partitionBy("lang").orderBy("share", "draw")
+    drawn = rows.select("lang", "share", "draw").withColumn("n", F.row_number().over(first))
+    cut = drawn.filter(F.col("n") <= rows_per_language).groupBy("lang").agg(F.max(F.struct("share", "draw")).alias("last"))
+    sample = attach(rows, stage(cut, "language-sample"), ["lang"]).filter(F.struct("share", "draw") <= F.col("last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
