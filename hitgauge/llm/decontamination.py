@@ -3,8 +3,9 @@
 Texts and items are sequences of lower-case words (runs of letters, digits and underscores). Seeds are the items' runs of ``seed_words`` words. Every whole text is searched for them; the
 words around its hits, as far as the longest item reaches, are the passages. A passage is held against
 an item if they share a rare seed (one in at most ``rare_share`` of the passages' documents, plus
-``rare_rows``), or at least ``common_seeds`` different common ones, as a copy that could still pass the
-alignment does. Smith-Waterman alignment of words (match +2, other word -1, gap -1) then scores each
+``rare_rows``), or at least ``common_seeds`` different common ones; an item so short that an unbroken copy
+of ``min_score`` of its words has fewer seeds asks for those only, so a copy in any number of documents is
+found. Smith-Waterman alignment of words (match +2, other word -1, gap -1) then scores each
 pair; the score is divided by that of a whole exact copy, and pairs from ``min_score`` on are matches.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words, so that what is sent to the tasks has a bound
@@ -68,6 +69,12 @@ class Items:
             owners[c].append(i)
         self.codes = np.array(sorted(owners), np.uint64)
         self.owners = [owners[c] for c in self.codes.tolist()]
+        self.n_seeds = np.bincount([i for _, i in pairs], minlength=len(texts))
+
+    def common_needed(self, most: int, min_score: float) -> list[int]:
+        """Per item the number of different common seeds that make a candidate, ``most`` at most."""
+        unbroken = np.array([int(np.ceil(min_score * len(x))) - self.n + 1 for x in self.items], np.int64)
+        return np.maximum(1, np.minimum(most, np.minimum(unbroken, self.n_seeds))).tolist()
 
     def hits(self, text: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words of the text, positions of seeds, numbers of the seeds)"""
@@ -159,6 +166,7 @@ def _matches(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, often = held.value
+        needed = block.common_needed(common_seeds, min_score)
         for batch in slices(batches, "words", 1 << 20):
             jobs = []
             for i, seeds in enumerate(batch.column("seeds").to_pylist()):
@@ -168,7 +176,7 @@ def _matches(
                         many.update(block.owners[s])
                     else:
                         rare.update(block.owners[s])
-                jobs += [(i, j) for j in sorted(rare | {j for j, n in many.items() if n >= common_seeds})]
+                jobs += [(i, j) for j in sorted(rare | {j for j, n in many.items() if n >= needed[j]})]
             get = block.numbers.get
             texts = [np.array([get(w, -1) for w in t.split()], np.int64) for t in batch.column("words").to_pylist()]
             jobs.sort(key=lambda x: (len(texts[x[0]]), len(block.items[x[1]])))

@@ -285,6 +285,16 @@ def test_contaminated_table(spark):
     assert near <= found
 
 
+def test_common_seeds_of_short_items(spark):
+    items = ["three rare words", "four quite rare words", "six words that all know well", PASSAGE, "a b a b a b a b"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [f"x{i} y{i} {said} z{i}" for i in range(40) for said in [*items, "six words that nobody knows"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = decontamination.contaminated(docs, bench, rare_share=0.0, rare_rows=0).collect()
+    wanted = {(d, i) for d, t in enumerate(texts) for i, said in enumerate(items) if simple_score(t, said) >= 0.5}
+    assert {(r.id, r.item_id) for r in found} == wanted and len(wanted) >= 240
+
+
 def test_blocks_of_items(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, f"{PASSAGE} {i}") for i in range(12)], "item_id bigint, text string")
     whole = {(r.id, r.item_id, r.score) for r in decontamination.contaminated(docs, bench).collect()}
