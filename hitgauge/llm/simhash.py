@@ -257,9 +257,10 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     found = near_duplicates(docs, key, text, **options)
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "content"))
     chosen = stage(found.groupBy("root").agg(first.alias("c")).select("c.id", "c.content"), "group-firsts")
-    packed = docs.select(
-        F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_id"), F.xxhash64(text).alias("_content")
-    )
-    match = packed["_id"].eqNullSafe(chosen["id"]) & (packed["_content"] == chosen["content"])
-    kept = packed.join(chosen, match, "left_semi")
-    return kept.dropDuplicates(["_id", "_content"]).select("_doc.*")
+    # the join and the reduction of repeated rows share these keys, so texts are shuffled once at most
+    keys = [F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), F.col("content")]
+    names = ["_key", "_none", "_content"]
+    chosen = chosen.select(*[k.alias(n) for k, n in zip(keys, names)])
+    packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("id"), F.xxhash64(text).alias("content"))
+    packed = packed.select("_doc", *[k.alias(n) for k, n in zip(keys, names)])
+    return packed.join(chosen, names, "left_semi").dropDuplicates(names).select("_doc.*")
