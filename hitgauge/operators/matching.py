@@ -5,9 +5,10 @@ Three plans give the same rows; which one runs follows from the measured sizes:
 * the cache is small: it is broadcast and every query finds its matches in a map-only pass;
 * the queries are few (a sample against a whole log): they are broadcast, the cache is scanned
   once without a shuffle, each task keeps its best k per query and an aggregate merges the tasks;
-* both sides are large: a grid of tiles. Each query goes to one tile row and each cached vector to
-  one tile column by a hash of its id, so no key, source or group of copies makes a tile larger
-  than another. A tile is one bounded matrix product and only its best k per query leave it.
+* both sides are large: a grid of tiles, one per task. Each query goes to one tile row and each cached
+  vector to one tile column by a hash of its id, so no key, source or group of copies makes a tile
+  larger than another. A task holds the queries of its tile (a bounded number) and streams the cached
+  vectors past them in batches; only its best k per query leave it.
 
 Ties go to the lowest position. Scores that differ by less than 1e-9 are ties, because the last
 bits of a dot product depend on the order of its sums.
@@ -32,9 +33,10 @@ BROADCAST_BYTES = 64 << 20
 CARRY_ROWS = 2_000
 # Matches are marked for broadcast up to this many rows of about 50 bytes.
 BROADCAST_ROWS = 200_000
-# Vectors of one side of a tile, at most; how many tiles there should be, and tasks for them.
+# Queries of a tile, at most; how many tiles there should be, and how many pairs a tile may compare.
 TILE_BYTES = 64 << 20
 TILES_PER_CORE = 3
+TILE_PAIRS = 1 << 37
 MIN_TILE_ROWS = 1024
 MAX_TILE_PARTITIONS = 50_000
 # One block of the similarity matrix inside a task.
@@ -318,14 +320,25 @@ def _match_few_queries(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
 
 
 def _tile_grid(n_queries: int, n_cache: int, max_rows: int, cores: int) -> tuple[int, int]:
-    """Rows and columns of the tile grid.
+    """Rows and columns of the tile grid; a vector is copied once per tile of its row or column.
 
-    Tiles are square, because a grid of given tile count copies the fewest vectors then; they hold
-    at most ``max_rows`` of a side, and fewer while there would not be three tiles per core.
+    There are three tiles per core, or more if a tile would compare over ``TILE_PAIRS`` pairs, up to
+    ``MAX_TILE_PARTITIONS``. Tiles are square, because a grid of given tile count copies the fewest
+    vectors then, unless that would be more queries than a task holds.
     """
-    even = math.isqrt(max(1, n_queries * n_cache // (TILES_PER_CORE * cores)))
-    side = max(1, min(max_rows, max(MIN_TILE_ROWS, even)))
-    return -(-n_queries // side) or 1, -(-n_cache // side) or 1
+    pairs = max(1, n_queries * n_cache)
+    tiles = min(max(TILES_PER_CORE * cores, pairs // TILE_PAIRS), MAX_TILE_PARTITIONS)
+    side = max(MIN_TILE_ROWS, math.isqrt(pairs // tiles))
+    n_rows = -(-n_queries // max(1, min(max_rows, side))) or 1
+    n_cols = max(1, min(-(-tiles // n_rows), -(-n_cache // MIN_TILE_ROWS)))
+    return n_rows, n_cols
+
+
+def _runs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(tile, side, start, end) of the rows of a batch that belong together."""
+    edges = np.flatnonzero(np.r_[True, (np.diff(tile) != 0) | (np.diff(side) != 0), True])
+    for start, end in zip(edges, edges[1:]):
+        yield int(tile[start]), int(side[start]), int(start), int(end)
 
 
 def _match_tiles(
@@ -333,7 +346,6 @@ def _match_tiles(
 ) -> DataFrame:
     cores = q.sparkSession.sparkContext.defaultParallelism
     n_rows, n_cols = _tile_grid(*sizes, max_rows, cores)
-    n_parts = min(n_rows * n_cols, MAX_TILE_PARTITIONS)
 
     def own(salt: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "id", "grp"), F.lit(n)).cast("int")
@@ -341,18 +353,34 @@ def _match_tiles(
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    # Both sides get the partitioning of the cogroup here: as many tasks as tiles, no second shuffle.
-    q = q.withColumn("r", own("q", n_rows)).withColumn("s", every(n_cols)).repartition(n_parts, "r", "s")
-    c = c.withColumn("s", own("c", n_cols)).withColumn("r", every(n_rows)).repartition(n_parts, "r", "s")
-
-    def tile(queries: pa.Table, cached: pa.Table) -> pa.Table:
-        if not queries.num_rows or not cached.num_rows:
-            return pa.Table.from_batches([], _found_batch(_NO_VECTORS, _keep_best([], 1)).schema)
-        left = Vectors.from_arrow(queries)
-        best = _best(left, Vectors.from_arrow(cached), spec)
-        return pa.Table.from_batches([_found_batch(left, best)])
+    q = q.withColumn("r", own("q", n_rows)).withColumn("s", every(n_cols)).withColumn("side", F.lit(0))
+    c = c.withColumn("s", own("c", n_cols)).withColumn("r", every(n_rows)).withColumn("side", F.lit(1))
+    both = q.unionByName(c).withColumn("tile", F.col("r") * n_cols + F.col("s")).drop("r", "s")
+    both = both.repartitionById(min(n_rows * n_cols, MAX_TILE_PARTITIONS), "tile")
 
-    return q.groupBy("r", "s").cogroup(c.groupBy("r", "s")).applyInArrow(tile, _FOUND_TYPE)
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, queries, best = None, [], None, None
+        for batch in batches:
+            tile, side = (batch.column(x).to_numpy() for x in ("tile", "side"))
+            for number, cached, start, end in _runs(tile, side):
+                if number != now:
+                    if best is not None:
+                        yield _found_batch(queries, best)
+                    now, parts, queries, best = number, [], None, None
+                rows = batch.slice(start, end - start)
+                if not cached:
+                    parts.append(rows)
+                elif parts:
+                    if queries is None:
+                        queries, best = Vectors.from_arrow(pa.Table.from_batches(parts)), _keep_best([], spec.k)
+                    here = _best(queries, Vectors.from_arrow(rows), spec)
+                    both = [tuple(b[x] for x in ("q", "ord", "match_id", "score")) for b in (best, here)]
+                    best = _keep_best(both, spec.k)
+        if best is not None:
+            yield _found_batch(queries, best)
+
+    # The queries of a tile come first, in any order.
+    return both.sortWithinPartitions("tile", "side").mapInArrow(match, _FOUND_TYPE)
 
 
 _NO_VECTORS = Vectors(_NONE, _NONE, _NONE, np.zeros((0, 0), dtype=np.float32))
@@ -376,7 +404,7 @@ def merge_best(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def match_top_k(
+def _match(
     queries: DataFrame,
     cache: DataFrame,
     *,
@@ -392,12 +420,7 @@ def match_top_k(
     broadcast_bytes: int = BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
-    """``query_id, match_id, score, rank`` (and ``by``) of the k nearest cached rows per query.
-
-    ``by`` is an integer group key, such as the run: a query is matched only inside its group.
-    ``order`` is the cache position that decides ties, ``cache_id`` unless given. With
-    ``exclude_self`` a query never matches the cached row whose id is its own plus
-    ``self_offset``. Queries without any candidate are absent; see :func:`with_no_hit_default`.
+    """The rows of :func:`match_top_k`.
 
     ``carry`` names a text column of the cache. If the queries are few, each task keeps the texts
     of its winners and the result has them as ``carried``, which saves a second scan of the cache;
@@ -434,10 +457,58 @@ def match_top_k(
     return F.broadcast(found) if few and narrow and n_queries * k <= BROADCAST_ROWS else found
 
 
+def match_top_k(
+    queries: DataFrame,
+    cache: DataFrame,
+    *,
+    query_id: str,
+    cache_id: str,
+    vector: str = "embedding",
+    order: str | None = None,
+    k: int = 1,
+    by: str | None = None,
+    exclude_self: bool = False,
+    self_offset: int = 0,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    tile_bytes: int = TILE_BYTES,
+) -> DataFrame:
+    """``query_id, match_id, score, rank`` (and ``by``) of the k nearest cached rows per query.
+
+    ``by`` is an integer group key, such as the run: a query is matched only inside its group.
+    ``order`` is the cache position that decides ties, ``cache_id`` unless given. With
+    ``exclude_self`` a query never matches the cached row whose id is its own plus
+    ``self_offset``. Queries without any candidate are absent; see :func:`with_no_hit_default`.
+    """
+    return _match(
+        queries, cache, query_id=query_id, cache_id=cache_id, vector=vector, order=order, k=k, by=by,
+        exclude_self=exclude_self, self_offset=self_offset, broadcast_bytes=broadcast_bytes, tile_bytes=tile_bytes,
+    )
+
+
 def match_top_1(queries: DataFrame, cache: DataFrame, **options) -> DataFrame:
     return match_top_k(queries, cache, k=1, **options).drop("rank")
 
 
+def match_with_text(
+    queries: DataFrame,
+    cache: DataFrame,
+    text: str,
+    *,
+    cache_id: str,
+    texts: DataFrame | None = None,
+    name: str = "matches",
+    **options,
+) -> DataFrame:
+    """The rows of :func:`match_top_k` with the matched text as ``name``, whatever the plan.
+
+    ``texts`` holds the text of every ``cache_id`` once, where the cache repeats its rows per group.
+    """
+    found = _match(queries, cache, cache_id=cache_id, carry=text if texts is None else None, **options)
+    if "carried" in found.columns:
+        return found.withColumnRenamed("carried", name)
+    return attach_match(found, cache if texts is None else texts, cache_id, {text: name})  # winners only
+
+
 def match_self(
     rows: DataFrame, *, id_col: str, candidates: DataFrame | None = None, **options
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hitgauge.staging import attach, stage
 
 # The sketch finds a rank up to count / SKETCH_ACCURACY; it is merged from every task, so it is
-# kept small and a second pass narrows the bracket where that still leaves too many rows.
+# kept small and further passes narrow the bracket while that still leaves too many rows.
 SKETCH_ACCURACY = 1_000
 MARGIN = 4.0 / SKETCH_ACCURACY
 # Rows of one group that are ranked together.
@@ -32,12 +32,16 @@ def _holds(rank: Column) -> Column:
 
 
 def _narrow(rows: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
-    """Tighter brackets: the bins of the bracket, by their own extreme scores, that hold the middle."""
+    """Tighter brackets: the bins of the bracket, by their own extreme scores, that hold the middle.
+
+    Where the two middle scores lie in different bins they are the last and the first of their bins.
+    ``_inside`` counts the rows of the new bracket that are still to be ranked.
+    """
     s, low, high = F.col("_s"), F.col("_low"), F.col("_high")
     width = (high - low) / NARROWING_BINS
     place = F.when(width > 0, F.least(F.floor((s - low) / width), F.lit(NARROWING_BINS - 1))).otherwise(0)
     counted = (
-        attach(rows, bounds, by).filter(s <= high)
+        attach(rows, bounds.drop("_inside"), by).filter(s <= high)
         .withColumn("_bin", F.when(s >= low, place))
         .groupBy(*by, "_bin").agg(
             F.count(F.lit(1)).alias("_c"), F.min("_s").alias("_min"), F.max("_s").alias("_max"),
@@ -45,16 +49,28 @@ def _narrow(rows: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
         )
     )
     lower, upper = _ranks(F.col("n"))
+    held = [F.max(F.when(_holds(rank), F.struct("_bin", "_min", "_max", "_c"))) for rank in (lower, upper)]
+    found = _with_upto(counted, by, "_bin").groupBy(*by).agg(
+        F.first("n").alias("n"), held[0].alias("_a"), held[1].alias("_b")
+    )
+    same = F.col("_a._bin") == F.col("_b._bin")
     return stage(
-        _with_upto(counted, by, "_bin").groupBy(*by).agg(
-            F.first("n").alias("n"),
-            F.max(F.when(_holds(lower), F.col("_min"))).alias("_low"),
-            F.max(F.when(_holds(upper), F.col("_max"))).alias("_high"),
+        found.select(
+            *by, "n",
+            F.when(same, F.col("_a._min")).otherwise(F.col("_a._max")).alias("_low"),
+            F.when(same, F.col("_b._max")).otherwise(F.col("_b._min")).alias("_high"),
+            F.when(same, F.col("_a._c")).otherwise(0).alias("_inside"),
         ),
         "median-bracket",
     )
 
 
+def _most_inside(bounds: DataFrame) -> int:
+    """Rows of the fullest bracket that can still be divided."""
+    width = (F.col("_high") - F.col("_low")) / NARROWING_BINS
+    return bounds.filter((width > 0) & (width < float("inf"))).agg(F.max("_inside")).first()[0] or 0
+
+
 def score_summary(
     scored: DataFrame, by: list[str] | None = None, score: str = "similarity_score"
 ) -> DataFrame:
@@ -79,10 +95,10 @@ def score_summary(
         ),
         "score-summary",
     )
-    bounds = stats.select(*by, "n", "_low", "_high")
-    largest = stats.agg(F.max("n")).first()[0] or 0
-    if largest * 2 * MARGIN > RANK_LIMIT:
+    bounds = stats.select(*by, "n", "_low", "_high", (F.col("n") * (2 * MARGIN)).cast("bigint").alias("_inside"))
+    while _most_inside(bounds) > RANK_LIMIT:
         bounds = _narrow(rows, bounds, by)
+    bounds = bounds.drop("_inside")
     near = attach(rows, bounds, by).filter(F.col("_s") <= F.col("_high"))
     # Everything below the bracket becomes one counted row; copies of a score become one row too.
     counted = (

@@ -201,6 +201,17 @@ def index_match(spark, sf):
     return matched.select("vec_id", "text", "matches", "best_scores")
 
 
+@query
+def index_match_text(spark, sf):
+    """All documents against an index that is built from the texts of the benchmark passages."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    matched = jobs.run_index_matching(
+        docs, passages, id_col="doc_id", encoder=hashed_token_encoder(), score_digits=6
+    )
+    return matched.select("doc_id", "matches", "best_scores")
+
+
 @query
 def encode_distinct_texts(spark, sf):
     """One vector per distinct text, and how many rows share it."""
@@ -369,8 +380,8 @@ def text_self_match_block(spark, sf):
 
 @query
 def conversation_match(spark, sf):
-    """User turns as the query log, answered from the other user turns."""
-    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+    """All turns as the query log, answered from the other turns."""
+    turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"
     )
     queries, cache = jobs.load_data(turns, "turn_id")
@@ -690,9 +701,10 @@ def model_names(spark, sf):
 
 @query
 def dataset_names(spark, sf):
-    """Dataset names of the page addresses taken as paths."""
+    """Dataset names of the page addresses, without query and fragment, taken as paths."""
     pages = table(spark, sf, "pages")
-    path = F.concat(F.lit("data/sets/page_"), F.col("page_id").cast("string"), F.lit("_test.csv"))
+    address = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
+    path = F.concat(address, F.lit("_test.csv"))
     name = F.concat(N.dataset_from_path(path), F.lit(".csv"))
     return pages.select(
         "page_id",

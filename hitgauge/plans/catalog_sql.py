@@ -295,8 +295,10 @@ add("model_names",
          WHEN contains(model, 'v3') THEN 'v3' ELSE list_last(string_split(model, '/')) END AS short_name,
     replace(model, '/', '_') AS safe_name FROM models""")
 add("dataset_names",
-    select="""SELECT page_id, 'page_' || page_id || '_test' AS dataset, 'page\\_' || page_id AS display,
-    'page' AS title FROM pages""")
+    """named AS (SELECT page_id, list_last(string_split(
+         regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')) AS name FROM pages)""",
+    select="""SELECT page_id, replace(name || '_test', '.csv', '') AS dataset,
+    replace(name, '_', '\\_') AS display, string_split(name || '_', '_')[1] AS title FROM named""")
 
 
 # ---- sampling ---------------------------------------------------------------------------------
@@ -445,11 +447,14 @@ add("text_match", *DOC_SPLIT,
     FROM best JOIN rows r ON r.id = cid""")
 add("text_match_explicit_cache", *DOC_BENCH,
     select="SELECT qid AS doc_id, cid AS match_id, round(score, 6) AS best_scores FROM best")
+add("index_match_text", *DOC_BENCH,
+    select="""SELECT qid AS doc_id, c.text AS matches, round(score, 6) AS best_scores
+    FROM best JOIN bench c ON c.id = cid""")
 add("text_self_match", *text_vectors(DOCS), *text_best("rows", "rows", "c.id", on=SELF),
     select="SELECT qid AS doc_id, cid AS match_id, round(score, 6) AS best_scores FROM best")
 ORACLES["text_self_match_block"] = ORACLES["text_self_match"]
 add("conversation_match",
-    *text_vectors("SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'"),
+    *text_vectors("SELECT conv_id * 1000 + turn AS id, text FROM conversations"),
     *text_best("rows WHERE rn <= 100", "rows WHERE rn > 100", POS),
     select="""SELECT q.id AS turn_id, q.text, coalesce(c.text, '') AS matches, coalesce(round(score, 6), 0) AS best_scores
     FROM rows q LEFT JOIN best ON qid = q.id LEFT JOIN rows c ON c.id = cid WHERE q.rn <= 100""")

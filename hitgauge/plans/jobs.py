@@ -16,7 +16,7 @@ from hitgauge.operators.density import densities, overlap
 from hitgauge.operators.encoding import Encoder, encode_rows, hashed_token_encoder, vector_table
 from hitgauge.operators.judging import label_pairs
 from hitgauge.operators.leaderboard import run_metrics, run_stats
-from hitgauge.operators.matching import attach_match, match_top_1, match_top_k, with_no_hit_default
+from hitgauge.operators.matching import attach_match, match_top_k, match_with_text, with_no_hit_default
 from hitgauge.operators.sampling import bootstrap_splitter, split_queries_cache
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import MAX_STEPS, sweep_thresholds
@@ -28,6 +28,7 @@ from hitgauge.sources.result_tables import (
 from hitgauge.staging import stage
 
 JudgePairs = Callable[[DataFrame], DataFrame]
+Matcher = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,7 @@ def run_matching(
     exclude_self: bool = False,
     texts: DataFrame | None = None,
     score_digits: int | None = None,
+    matcher: Matcher = match_with_text,
 ) -> DataFrame:
     """Queries with ``match_id``, ``matches`` and ``best_scores`` of their nearest cached row.
 
@@ -102,7 +104,8 @@ def run_matching(
     encoded once and staged, cached texts are encoded as they are scanned, without a shuffle.
     A query without a candidate has score 0 and the empty text. ``texts`` holds the text of every
     ``cache_id`` once, where the cache repeats its rows per run. Scores are in double; with
-    ``score_digits`` they are rounded before anything is taken from them.
+    ``score_digits`` they are rounded before anything is taken from them. ``matcher`` takes the
+    arguments of :func:`match_with_text` and returns its columns, for instance from another index.
     """
     cache_id = cache_id or id_col
     if vector is None:
@@ -113,16 +116,11 @@ def run_matching(
         c = encode_rows(cache, text, encoder)
     else:
         q, c = queries, cache
-    found = match_top_1(
-        q, c, query_id=id_col, cache_id=cache_id, vector=vector, order=order, by=by,
-        exclude_self=exclude_self, carry=text if texts is None else None,
-    )
+    found = matcher(
+        q, c, text, query_id=id_col, cache_id=cache_id, vector=vector, order=order, by=by,
+        exclude_self=exclude_self, texts=texts,
+    ).drop("rank")
     found = found.withColumn("best_scores", _rounded(F.col("score"), score_digits)).drop("score")
-    if "carried" in found.columns:
-        found = found.withColumnRenamed("carried", "matches")
-    else:
-        # Texts join the winners only.
-        found = attach_match(found, cache if texts is None else texts, cache_id, {text: "matches"})
     return stage(with_no_hit_default(queries, found, [c for c in (id_col, by) if c]), "matched")
 
 

@@ -59,8 +59,12 @@ def write_sweep(sweep: DataFrame, output_dir: str, name: str) -> str:
 
 
 def write_runs(df: DataFrame, path: str) -> None:
-    """All runs of a benchmark as one table, a folder per dataset, model and run."""
-    df.write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(path)
+    """All runs of a benchmark as one table, a folder per dataset, model and run.
+
+    The rows of a run are brought together first, or every task would add a small file to every run;
+    a run that is too large for one task is split by AQE, which sees what the rows measure.
+    """
+    df.hint("rebalance", *RUN_KEYS).write.mode("overwrite").partitionBy(*RUN_KEYS).parquet(path)
 
 
 def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str, stamp: str | None) -> None:

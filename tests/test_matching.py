@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hitgauge.operators.encoding import batch_encoder, encode_distinct, encode_rows, hashed_token_encoder
-from hitgauge.operators.matching import match_self, match_top_1, match_top_k
+from hitgauge.operators.matching import (
+    MAX_TILE_PARTITIONS, _tile_grid, match_self, match_top_1, match_top_k, match_with_text,
+)
 from hitgauge.plans.jobs import load_data, run_matching
 
 DIM = 8
@@ -183,18 +185,41 @@ def test_distinct_encoding_calls_the_model_once_per_text(spark):
     assert rows["yy"] == pytest.approx([2 / 5**0.5, 1 / 5**0.5], abs=1e-6)
 
 
+@pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize("k", [1, 3])
-def test_carried_texts_equal_joined_texts(spark, k):
+def test_texts_come_with_every_plan(spark, k, plan):
     q, c = sample_sets()
+    options = dict(PLANS[plan])
+    if options.get("broadcast_bytes") == "cache":
+        q, c, options = np.vstack([q, q, q]), c[:100], {}
     cache = vectors(spark, c).withColumn("text", F.concat(F.lit("text of "), "id")).repartition(5)
-    found = match_top_k(vectors(spark, q), cache, query_id="id", cache_id="id", k=k, carry="text")
+    found = match_with_text(vectors(spark, q), cache, "text", query_id="id", cache_id="id", k=k, **options)
+    assert set(found.columns) == {"id", "match_id", "score", "rank", "matches"}
     rows = found.collect()
     assert len(rows) == k * len(q)
-    assert all(r.carried == f"text of {r.match_id}" for r in rows)
-    tiled = match_top_k(
-        vectors(spark, q), cache, query_id="id", cache_id="id", k=k, carry="text", **PLANS["tiles"]
-    )
-    assert "carried" not in tiled.columns
+    assert all(r.matches == f"text of {r.match_id}" for r in rows)
+
+
+@pytest.mark.parametrize("sizes", [(0, 5), (5, 0), (10**6, 10), (10**6, 10**6), (10**9, 10**9), (10**9, 10**5)])
+def test_tiles_are_bounded_and_few(sizes):
+    most, cores = 262_144, 4000
+    n_rows, n_cols = _tile_grid(*sizes, most, cores)
+    assert n_rows >= 1 and n_cols >= 1 and sizes[0] / n_rows <= most
+    assert n_rows * n_cols <= MAX_TILE_PARTITIONS + n_rows
+    if sizes == (10**9, 10**9):  # a vector goes to a row or column of tiles, not to all bounded products
+        assert n_rows + n_cols < 4000
+
+
+def test_matcher_can_be_replaced(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    cache = spark.createDataFrame([(7, "x")], "id long, text string")
+
+    def matcher(q, c, text, *, query_id, cache_id, **_):
+        one = c.select(F.col(cache_id).alias("match_id"), F.col(text).alias("matches"))
+        return q.filter("id = 1").select(query_id).join(one, F.lit(True)).withColumn("score", F.lit(0.25))
+
+    found = run_matching(queries, cache, id_col="id", order=None, matcher=matcher).orderBy("id").collect()
+    assert [(r.id, r.match_id, r.matches, r.best_scores) for r in found] == [(1, 7, "x", 0.25), (2, None, "", 0.0)]
 
 
 def test_unusable_vectors_touch_no_other_row(spark):

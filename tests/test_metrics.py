@@ -163,6 +163,21 @@ def test_median_of_many_rows_with_hot_values(spark, monkeypatch, rank_limit):
         assert row.median_score == float(np.median(part))
 
 
+def test_brackets_narrow_until_they_fit(spark, monkeypatch):
+    """Scores packed in one bin, and two far clusters with the middle between them."""
+    monkeypatch.setattr(summary, "RANK_LIMIT", 50)
+    rng = np.random.default_rng(4)
+    packed = 0.5 + rng.random(20_000) * 1e-9
+    packed[:2] = 0.0, 1.0
+    apart = np.r_[rng.random(10_000) * 1e-6, 1 - rng.random(10_000) * 1e-6]
+    for values in (packed, apart, np.r_[apart, 0.5], np.full(20_000, 0.25)):
+        inside, seen = summary._most_inside, []
+        monkeypatch.setattr(summary, "_most_inside", lambda b: seen.append(inside(b)) or seen[-1])
+        row = score_summary(scores(spark, values.tolist())).first()
+        monkeypatch.setattr(summary, "_most_inside", inside)
+        assert row.median_score == float(np.median(values)) and seen[-1] <= 50
+
+
 def test_summary_with_nan(spark):
     row = score_summary(scores(spark, [0.1, float("nan"), 0.5])).first()
     assert all(np.isnan(row[c]) for c in ("min_score", "max_score", "mean_score", "median_score"))
