@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hitgauge.functions.names import folder_name, run_stamp
@@ -218,6 +218,27 @@ def full_evaluation(
     )
 
 
+def _at_once_or_alone(
+    at_once: Callable[[], DataFrame], alone: dict[str, Callable[[], DataFrame]], failures: dict[str, str] | None
+) -> DataFrame:
+    """The result of ``at_once``; if it fails, those of the parts that do not, the others noted by name."""
+    try:
+        return at_once()
+    except Exception:
+        if failures is None:
+            raise
+        done, failed = [], {}
+        for name, part in alone.items():
+            try:
+                done.append(part())
+            except Exception as problem:
+                failed[name] = str(problem)
+        if not done:
+            raise
+        failures |= failed
+        return functools.reduce(DataFrame.unionByName, done)
+
+
 def bootstrap_matches(
     log: DataFrame,
     models: dict[str, Encoder | str],
@@ -233,23 +254,33 @@ def bootstrap_matches(
     """``model, run`` and the matched queries of all bootstrap runs.
 
     A model is an encoder, or the name of a vector column of the log. The splits are drawn once;
-    each model encodes the log once, not once per run. With ``failures`` given, a model that
-    fails is noted there and left out instead of stopping the others.
+    each model encodes the log once, not once per run. With ``failures`` given, what fails is noted
+    there and left out instead of stopping the others: all runs are matched at once, and one by one
+    (``model/run_n``) only if that fails; a model without a run left is noted by its name.
     """
     split = bootstrap_splitter(log, id_col, n_runs, sample_ratio, n_samples)
     parts = []
     for name, model in models.items():
-        try:
+
+        def matched_runs(vectors: DataFrame, run: int | None = None) -> DataFrame:
+            runs = split(vectors)
+            runs = runs if run is None else runs.filter(F.col("run") == run)
+            return run_matching(
+                runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
+                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors, score_digits=score_digits,
+            )
+
+        def matched_model() -> DataFrame:
             if isinstance(model, str):
                 vectors = log.select(id_col, text, F.col(model).alias("_vec"))
             else:
                 encoded = encode_rows(log.select(id_col, text), text, model)
                 vectors = stage(encoded.withColumnRenamed("embedding", "_vec"), "model-vectors")
-            runs = split(vectors)
-            matched = run_matching(
-                runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
-                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors, score_digits=score_digits,
-            )
+            one_by_one = {f"{name}/run_{i}": functools.partial(matched_runs, vectors, i) for i in range(1, n_runs + 1)}
+            return _at_once_or_alone(lambda: matched_runs(vectors), one_by_one, failures)
+
+        try:
+            matched = matched_model()
         except Exception as problem:
             if failures is None:
                 raise
@@ -288,7 +319,8 @@ def bootstrap_benchmark(
     """Every dataset with every model and run, evaluated in one job over all runs.
 
     Returns the evaluation, keyed by ``dataset, model, run``, and the failures by
-    ``dataset/model``; a failing combination does not stop the others.
+    ``dataset/model`` or ``dataset/model/run_n``; a failing combination does not stop the others. If the
+    judge fails, each dataset and model is judged alone, so that only the failing ones are left out.
     """
     failures: dict[str, str] = {}
     parts = []
@@ -308,7 +340,29 @@ def bootstrap_benchmark(
     matched = functools.reduce(DataFrame.unionByName, parts)
     if judge is None:
         return chr_evaluation(matched, RUN_KEYS, text, steps), failures
-    return full_evaluation(matched, judge, RUN_KEYS, text, steps=steps), failures
+
+    def judged(key: Row | None = None) -> Evaluation:
+        mine = matched if key is None else matched.filter(
+            (F.col("dataset") == key.dataset) & (F.col("model") == key.model)
+        )
+        return full_evaluation(mine, judge, RUN_KEYS, text, steps=steps)
+
+    try:
+        return judged(), failures
+    except Exception:
+        done = []
+        for key in matched.select("dataset", "model").distinct().collect():
+            try:
+                done.append(judged(key))
+            except Exception as problem:
+                failures[f"{key.dataset}/{key.model}"] = str(problem)
+        if not done:
+            raise
+        tables = {
+            name: functools.reduce(DataFrame.unionByName, [getattr(d, name) for d in done])
+            for name in ("matches", "sweep", "judged")
+        }
+        return Evaluation(**tables), failures
 
 
 def write_evaluation(done: Evaluation, output_dir: str) -> dict[str, str]:

@@ -175,6 +175,41 @@ def test_benchmark_survives_a_failing_model_and_is_written(spark, tmp_path):
         jobs.bootstrap_benchmark({"logs": log}, {"broken": broken}, judge, id_col="id")
 
 
+def test_a_failing_run_leaves_the_others(spark):
+    from hitgauge.operators.sampling import bootstrap_splitter
+
+    size = F.when(F.col("id") == 17, 3).otherwise(4)  # one vector that no other can be held against
+    log = spark.range(40).select(
+        "id", F.col("id").cast("string").alias("text"),
+        F.transform(F.sequence(F.lit(1), size), lambda i: (i * (F.col("id") + 1)).cast("float")).alias("vec"),
+    )
+    options = {"n_runs": 4, "sample_ratio": 0.5, "n_samples": 5}
+    held = {r.run for r in bootstrap_splitter(log, "id", **options)(log).filter("id = 17").collect()}
+    assert 0 < len(held) < 4
+    failures = {}
+    found = jobs.bootstrap_matches(log, {"org/vec": "vec"}, id_col="id", failures=failures, **options)
+    assert {r.run for r in found.select("run").distinct().collect()} == {1, 2, 3, 4} - held
+    assert set(failures) == {f"org/vec/run_{r}" for r in held}
+
+
+def test_a_failing_judge_leaves_the_others(spark):
+    from hitgauge.operators.encoding import hashed_token_encoder
+
+    def log(word):
+        return spark.range(30).select("id", F.concat(F.lit(word), F.col("id") % 9).alias("text"))
+
+    def judge(pairs_):
+        bad = F.col("text").startswith("bad") & F.raise_error(F.lit("the judge gave up")).isNull()
+        return pairs_.withColumn("response", F.when(bad, F.lit("no")).otherwise(F.lit("yes")))
+
+    models = {"tokens": hashed_token_encoder()}
+    done, failures = jobs.bootstrap_benchmark(
+        {"good": log("good"), "bad": log("bad")}, models, judge, id_col="id", n_runs=2, n_samples=4
+    )
+    assert set(failures) == {"bad/tokens"} and "gave up" in failures["bad/tokens"]
+    assert {r.dataset for r in done.sweep.collect()} == {r.dataset for r in done.judged.collect()} == {"good"}
+
+
 def test_evaluation_files(spark, tmp_path):
     rows = [(i, f"t{i}", f"t{i % 3}", i / 10) for i in range(10)]
     matched = spark.createDataFrame(rows, "id long, text string, matches string, best_scores double")
