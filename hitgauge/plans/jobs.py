@@ -13,7 +13,9 @@ from hitgauge.functions.names import folder_name, run_stamp
 from hitgauge.functions.vectors import distance_to_similarity
 from hitgauge.operators.curves import area_under
 from hitgauge.operators.density import densities, overlap
-from hitgauge.operators.encoding import Encoder, encode_rows, hashed_token_encoder, vector_table
+from hitgauge.operators.encoding import (
+    Encoder, encode_distinct, encode_rows, hashed_token_encoder, vector_table, with_embeddings,
+)
 from hitgauge.operators.judging import label_pairs
 from hitgauge.operators.leaderboard import run_metrics, run_stats
 from hitgauge.operators.matching import attach_match, match_top_k, match_with_text, with_no_hit_default
@@ -97,11 +99,14 @@ def run_matching(
     texts: DataFrame | None = None,
     score_digits: int | None = None,
     matcher: Matcher = match_with_text,
+    encode_once: bool = False,
 ) -> DataFrame:
     """Queries with ``match_id``, ``matches`` and ``best_scores`` of their nearest cached row.
 
     Vectors come from the ``vector`` column, or from ``encoder`` applied to the texts: queries are
-    encoded once and staged, cached texts are encoded as they are scanned, without a shuffle.
+    encoded once and staged, cached texts are encoded as they are scanned, without a shuffle. For a
+    costly model and many equal texts, ``encode_once`` encodes each different text of both sides
+    once and joins the staged vectors to the rows.
     A query without a candidate has score 0 and the empty text. ``texts`` holds the text of every
     ``cache_id`` once, where the cache repeats its rows per run. Scores are in double; with
     ``score_digits`` they are rounded before anything is taken from them. ``matcher`` takes the
@@ -112,8 +117,13 @@ def run_matching(
         encoder = encoder or hashed_token_encoder()
         vector = "embedding"
         keys = [c for c in (id_col, by) if c]
-        q = stage(encode_rows(queries.select(*keys, text), text, encoder).select(*keys, vector), "query-vectors")
-        c = encode_rows(cache, text, encoder)
+        asked = queries.select(*keys, text)
+        if encode_once:
+            vectors = encode_distinct(asked.select(text).union(cache.select(text)), text, encoder)
+            q, c = with_embeddings(asked, text, vectors), with_embeddings(cache, text, vectors)
+        else:
+            q, c = encode_rows(asked, text, encoder), encode_rows(cache, text, encoder)
+        q = stage(q.select(*keys, vector), "query-vectors")
     else:
         q, c = queries, cache
     found = matcher(
@@ -250,11 +260,13 @@ def bootstrap_matches(
     n_samples: int = 100,
     failures: dict[str, str] | None = None,
     score_digits: int | None = None,
+    encode_once: bool = False,
 ) -> DataFrame:
     """``model, run`` and the matched queries of all bootstrap runs.
 
     A model is an encoder, or the name of a vector column of the log. The splits are drawn once;
-    each model encodes the log once, not once per run. With ``failures`` given, what fails is noted
+    each model encodes the log once, not once per run, and with ``encode_once`` each different text
+    once. With ``failures`` given, what fails is noted
     there and left out instead of stopping the others: all runs are matched at once, and one by one
     (``model/run_n``) only if that fails; a model without a run left is noted by its name.
     """
@@ -274,7 +286,11 @@ def bootstrap_matches(
             if isinstance(model, str):
                 vectors = log.select(id_col, text, F.col(model).alias("_vec"))
             else:
-                encoded = encode_rows(log.select(id_col, text), text, model)
+                rows = log.select(id_col, text)
+                if encode_once:
+                    encoded = with_embeddings(rows, text, encode_distinct(rows, text, model))
+                else:
+                    encoded = encode_rows(rows, text, model)
                 vectors = stage(encoded.withColumnRenamed("embedding", "_vec"), "model-vectors")
             one_by_one = {f"{name}/run_{i}": functools.partial(matched_runs, vectors, i) for i in range(1, n_runs + 1)}
             return _at_once_or_alone(lambda: matched_runs(vectors), one_by_one, failures)
@@ -315,6 +331,7 @@ def bootstrap_benchmark(
     n_samples: int = 100,
     steps: int = MAX_STEPS,
     score_digits: int | None = None,
+    encode_once: bool = False,
 ) -> tuple[Evaluation, dict[str, str]]:
     """Every dataset with every model and run, evaluated in one job over all runs.
 
@@ -330,6 +347,7 @@ def bootstrap_benchmark(
             matched = bootstrap_matches(
                 log, models, id_col=id_col, text=text, n_runs=n_runs,
                 sample_ratio=sample_ratio, n_samples=n_samples, failures=failed, score_digits=score_digits,
+                encode_once=encode_once,
             )
             parts.append(matched.withColumn("dataset", F.lit(dataset)))
         except Exception as problem:

@@ -210,6 +210,34 @@ def test_tiles_are_bounded_and_few(sizes):
         assert n_rows + n_cols < 4000
 
 
+def test_equal_texts_are_encoded_once(spark, tmp_path):
+    from hitgauge.plans.jobs import bootstrap_matches
+
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        def model(texts):
+            for _ in texts:
+                open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    encoder = batch_encoder(load)
+    log = spark.range(40).select("id", F.repeat(F.lit("x"), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    queries, cache = load_data(log, "id", n_samples=10)
+    plain = run_matching(queries, cache, id_col="id", encoder=encoder).orderBy("id").collect()
+    before = len(list(tmp_path.iterdir()))
+    assert before >= 40
+    assert run_matching(queries, cache, id_col="id", encoder=encoder, encode_once=True).orderBy("id").collect() == plain
+    assert len(list(tmp_path.iterdir())) == before + 5
+    runs = bootstrap_matches(log, {"m": encoder}, id_col="id", n_runs=2, n_samples=5, encode_once=True)
+    assert runs.count() == 10 and len(list(tmp_path.iterdir())) == before + 10
+
+
 def test_matcher_can_be_replaced(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
     cache = spark.createDataFrame([(7, "x")], "id long, text string")
