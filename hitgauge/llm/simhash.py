@@ -16,8 +16,9 @@ that was reached before, so k of them give k - 1 links instead of all pairs, and
 components are found. Buckets hold 8 or 16 bytes per distinct fingerprint and arrive sorted.
 
 A wider distance needs more bits, or chance links texts that have nothing in common: with ``second``, 64
-further bits (from the same hashes, mixed) must differ in at most ``second`` places as well, and a node is
-all 128 bits.
+further bits (from the same hashes, mixed) count as well, and a node is all 128 bits. Two nodes are linked if
+one half differs in at most ``distance`` places and the other in at most ``second``; either half may be the
+close one, so candidates come from the rings of both.
 
 Cases: NULL, empty and blank texts have no shingle and fingerprint zero, linked like any other; texts
 shorter than a shingle are one; a NULL id never is the smallest of a component that has another; rows
@@ -231,6 +232,9 @@ def near_duplicates(
     found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2"), "fingerprints")
     nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low")), "fingerprint-nodes")
     links = fingerprint_links(nodes.select("fp", "fp2"), distance, second)
+    if second is not None:
+        turned = fingerprint_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), distance, second)
+        links = links.union(turned.select("a2", "a", "b2", "b"))
     roots = components(links.select(_node("a", "a2", second).alias("a"), _node("b", "b2", second).alias("b")))
     nodes = nodes.select(_node("fp", "fp2", second).alias("own"), "low")
     linked = nodes.join(roots, nodes["own"] == roots["node"]).select("own", "low", "root")
