@@ -6,7 +6,8 @@ between texts), keeps the ranks of every doubling step, and reads the longest co
 neighbouring suffixes from them. A position's longest repeat is the larger of its suffix's two common
 prefixes: the widest longest-common-prefix interval that holds it. The spans of these maximal repeated
 substrings are united; a document fails if they cover too large a share of its words or if one is too
-long for its text.
+long. Both limits reach further than the base rules: the share is below theirs, and the longest repeat is
+bounded in words, whatever the length of the text.
 
 Cases: a NULL text, an empty one and one of white space have no words and fail the base rules; a text
 of any length is one unit of work with memory in proportion to its words; repeated rows are judged
@@ -127,7 +128,7 @@ def measure(texts: list[bytes], min_words: int, most_share: float, most_words: i
     )
     decoded = [t.decode("utf-8", "replace") for t in texts]
     failed = (counts < BASE_WORDS) | (100 * repeated > BASE_PERCENT * counts)
-    bad = (share > most_share * counts) | ((most > most_words) & (2 * most > most_share * counts))
+    bad = (share > most_share * counts) | (most > most_words)
     whole = lambda f: pa.array([f(t) for t in decoded], pa.int64())
     return {
         "n_words": pa.array(counts),
@@ -144,13 +145,12 @@ def measure(texts: list[bytes], min_words: int, most_share: float, most_words: i
 
 
 def judge(
-    docs: DataFrame, text: str = "text", min_words: int = 8, most_share: float = 0.2, most_words: int = 50
+    docs: DataFrame, text: str = "text", min_words: int = 8, most_share: float = 0.1, most_words: int = 50
 ) -> DataFrame:
     """(_doc, repetition): every row of ``docs`` as a struct, and its measures as another.
 
     ``kept`` is false where the base rules fail, where repeated substrings of at least ``min_words`` words
-    cover more than ``most_share`` of the words, or where one repeat has more than ``most_words`` words and
-    its two copies alone would make that share.
+    cover more than ``most_share`` of the words, or where one repeat has more than ``most_words`` words.
     """
     packed = with_struct(docs, "_doc").withColumn("_text", F.col(f"_doc.`{text}`"))
     fields = [f.strip().split(" ")[0] for f in MEASURES.split(", ")]

@@ -73,6 +73,25 @@ def test_rules_of_the_table(sample):
         assert base(r.text) == (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
 
 
+def test_limits_beyond_the_base_rules():
+    def text(words, *repeats):  # different words in which passages of the given lengths occur twice
+        parts = [f"u{i}" for i in range(words - 2 * sum(repeats))]
+        for k, n in enumerate(repeats):
+            passage = [f"r{k}x{i}" for i in range(n)]
+            parts = passage + [f"m{k}"] + parts[:-1] + passage
+        return " ".join(parts).encode()
+
+    cases = [
+        (text(1000, 99), False), (text(10_000, 900), False), (text(10_000, 51), False),  # longest repeat
+        (text(10_000, 50), True), (text(1000, 40), True),
+        (text(200, 12), False), (text(200, 10), True), (text(1000, 40, 12), False),  # covered share
+        (text(200, 7, 7), True),  # repeats of under eight words count for the base rule only
+    ]
+    found = repetition.measure([t for t, _ in cases], *repetition.judge.__defaults__[1:])
+    assert not any(found["base_failed"].to_pylist())
+    assert found["kept"].to_pylist() == [k for _, k in cases]
+
+
 # language
 
 
