@@ -20,6 +20,11 @@ further bits (from the same hashes, mixed) count as well, and a node is all 128
 one half differs in at most ``distance`` places and the other in at most ``second``; either half may be the
 close one, so candidates come from the rings of both.
 
+With ``share`` fingerprints only propose pairs, and documents are linked if the Jaccard coefficient of their
+shingle sets is at least that. Equal sets are one node. Members of a group of proposed links are first held
+against its smallest node; then all proposed pairs whose ends did not come together in that way are checked,
+so no proposed pair is left out, and many copies of one text still need one check each.
+
 Cases: NULL, empty and blank texts have no shingle and fingerprint zero, linked like any other; texts
 shorter than a shingle are one; a NULL id never is the smallest of a component that has another; rows
 that repeat an id keep their own fingerprints; an empty table gives an empty table. Columns beyond id
@@ -28,7 +33,7 @@ and text are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +54,36 @@ MATRIX = 2048
 SALTS = 32
 
 
-def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
-    """SimHash of the XXH64 values of all shingles of a UTF-8 text: one or two unsigned 64-bit numbers."""
-    parts, size = text.lower().split(), BITS * (1 + wide)
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 values of all shingles of a UTF-8 text, in blocks."""
+    parts = text.lower().split()
     if not parts:
-        return [0] * (size // BITS)
+        return
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
     begin, last = (ends - lengths).tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    votes = np.zeros(size, np.int64)
     for at in range(0, n, 1 << 16):  # long texts in blocks of shingles
-        hashes = np.array(
-            [digest(joined[begin[i] : last[i]], SEED) for i in range(at, min(n, at + (1 << 16)))], "<u8"
-        )
+        yield np.array([digest(joined[begin[i] : last[i]], SEED) for i in range(at, min(n, at + (1 << 16)))], "<u8")
+
+
+def shingle_set(blocks: list[np.ndarray]) -> np.ndarray:
+    """The different shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *blocks]))
+
+
+def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
+    """SimHash of the XXH64 values of all shingles of a UTF-8 text: one or two unsigned 64-bit numbers."""
+    return majority(shingle_hashes(text, words), wide)
+
+
+def majority(blocks: Iterable[np.ndarray], wide: bool) -> list[int]:
+    size, n = BITS * (1 + wide), 0
+    votes = np.zeros(size, np.int64)
+    for hashes in blocks:
+        n += len(hashes)
         if wide:
             mixed = (hashes ^ (hashes >> np.uint64(33))) * MIX
             hashes = np.stack([hashes, mixed ^ (mixed >> np.uint64(29))], 1)
@@ -74,20 +93,31 @@ def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, text: str, words: int, wide: bool = False) -> DataFrame:
-    """(_doc, fp, fp2): every row of ``docs`` without its text as a struct, and its fingerprint as signed longs."""
+    """(_doc, fp, fp2, node, n): every row of ``docs`` without its text as a struct, and its fingerprint as signed longs.
+
+    If ``wide``, ``node`` is the hash of its set of shingles and ``n`` their number.
+    """
     fields = [c for c in docs.columns if c != text]
     packed = docs.select(F.struct(*fields).alias("_doc"), F.col(text).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found = [fingerprint(t, words, wide) for t in raw(batch, "_text")]
+            found, nodes, sizes = [], [], []
+            for t in raw(batch, "_text"):
+                blocks = list(shingle_hashes(t, words))
+                found.append(majority(blocks, wide))
+                own = shingle_set(blocks) if wide else blocks[:0]
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if wide else 0)
+                sizes.append(len(own))
             found = np.array(found, np.uint64).reshape(batch.num_rows, -1).view(np.int64)
             yield batch_like({
                 "_doc": batch.column("_doc"), "fp": pa.array(found[:, 0]),
                 "fp2": pa.array(found[:, -1] if wide else np.zeros(len(found), np.int64)),
+                "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int64()),
             })
 
-    return packed.mapInArrow(work, f"_doc {packed.schema['_doc'].dataType.simpleString()}, fp bigint, fp2 bigint")
+    kind = packed.schema["_doc"].dataType.simpleString()
+    return packed.mapInArrow(work, f"_doc {kind}, fp bigint, fp2 bigint, node bigint, n bigint")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -164,54 +194,175 @@ def walk(fps: np.ndarray, start: int, distance: int, second: int | None = None)
     return links
 
 
-def fingerprint_links(distinct: DataFrame, distance: int, second: int | None = None) -> DataFrame:
-    """(a, a2, b, b2): links that connect all distinct fingerprints (fp, fp2) within the distances."""
-    met = distinct.select(
-        "fp",
-        "fp2",
+def _buckets(points: DataFrame, distance: int, work: Callable[[np.ndarray, int], Iterator[np.ndarray]], out: str) -> DataFrame:
+    """What ``work`` makes of each bucket of ``points`` (columns of longs, the first a fingerprint).
+
+    It gets a bucket's rows, the first column unsigned and the others as they are, and the segment on which
+    they meet, and yields rows of longs, named as in ``out``.
+    """
+    columns, names = points.columns, out.replace(" bigint", "").split(", ")
+    met = points.select(
+        *columns,
         F.explode(F.array(*[
             F.struct(
                 F.lit(i).alias("chain"),
-                F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")).alias("bits"),
+                F.col(columns[0]).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")).alias("bits"),
             )
             for i, m in enumerate(chain_keys(distance))
         ])).alias("k"),
-    ).select("k.chain", "k.bits", "fp", "fp2")
-    sorted_ = met.repartition("chain", "bits").sortWithinPartitions("chain", "bits", "fp", "fp2")
+    ).select("k.chain", "k.bits", *columns)
+    sorted_ = met.repartition("chain", "bits").sortWithinPartitions("chain", "bits", *columns)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(chain: np.ndarray, bits: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(chain: np.ndarray, bits: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             edges = np.flatnonzero(np.r_[True, (np.diff(chain) != 0) | (np.diff(bits) != 0), True])
-            pairs = [np.zeros((0, 2), np.int64)]
+            found, size = [], 0
             for i in np.flatnonzero(np.diff(edges) > 1):
                 a, b = edges[i], edges[i + 1]
-                bucket = fps[a:b, 0] if second is None else fps[a:b]
-                found = walk(bucket, int(chain[a]) // 2, distance, second)
-                if found:
-                    pairs.append(np.array(found) + a)
-            places = np.concatenate(pairs)
-            ends = fps.view(np.int64)[places]
-            return batch_like({
-                name: pa.array(ends[:, side, part]) for name, side, part in (("a", 0, 0), ("a2", 0, 1), ("b", 1, 0), ("b2", 1, 1))
-            })
+                for part in work(rows[a:b], int(chain[a]) // 2):
+                    found.append(part)
+                    size += len(part)
+                    if size > 1 << 16:
+                        yield packed(np.concatenate(found))
+                        found, size = [], 0
+            if size:
+                yield packed(np.concatenate(found))
+
+        def packed(rows: np.ndarray) -> pa.RecordBatch:
+            return batch_like({n: pa.array(np.ascontiguousarray(rows[:, i])) for i, n in enumerate(names)})
 
         held: list[np.ndarray] | None = None  # the last bucket, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chain, bits, fp, fp2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chain", "bits", "fp", "fp2"))
-            now = [chain, bits, np.stack([fp, fp2], 1).view(np.uint64)]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("chain", "bits", *columns)]
+            now = [now[0], now[1], np.stack(now[2:], 1)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             held = [x[cut:] for x in now]
             if cut:
-                yield linked(*[x[:cut] for x in now])
+                yield from linked(*[x[:cut] for x in now])
         if held is not None:
-            yield linked(*held)
+            yield from linked(*held)
+
+    return sorted_.mapInArrow(batched, out).distinct()
+
+
+def fingerprint_links(distinct: DataFrame, distance: int, second: int | None = None) -> DataFrame:
+    """(a, a2, b, b2): links that connect all distinct fingerprints (fp, fp2) within the distances."""
+
+    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
+        fps = rows.view(np.uint64)
+        found = walk(fps[:, 0] if second is None else fps, start, distance, second)
+        if found:
+            yield rows[np.array(found)].reshape(-1, 4)
+
+    return _buckets(distinct.select("fp", "fp2"), distance, work, "a bigint, a2 bigint, b bigint, b2 bigint")
+
 
-    return sorted_.mapInArrow(work, "a bigint, a2 bigint, b bigint, b2 bigint").distinct()
+def node_links(points: DataFrame, distance: int, second: int) -> DataFrame:
+    """(a, b): links that connect all nodes of ``points`` (fp, fp2, node) within the distances."""
+
+    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
+        found = walk(np.ascontiguousarray(rows[:, :2]).view(np.uint64), start, distance, second)
+        if found:
+            yield rows[np.array(found), 2]
+
+    return _both_rings(points.select("fp", "fp2", "node"), distance, work)
+
+
+def open_pairs(points: DataFrame, distance: int, second: int, share: float) -> DataFrame:
+    """(a, b): all pairs of ``points`` (fp, fp2, node, n, label) within the distances whose labels differ.
+
+    Pairs whose numbers of shingles ``n`` rule the share out are left out.
+    """
+
+    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
+        fps = np.ascontiguousarray(rows[:, :2]).view(np.uint64)
+        step = max(1, (1 << 20) // len(rows))
+        for at in range(0, len(rows), step):
+            one, many = slice(at, at + step), slice(at, None)
+            differ = (fps[one, None, 0] ^ fps[None, many, 0]).ravel()
+            i, j = np.divmod(within(differ, start, distance), len(rows) - at)
+            i, j = i + at, j + at
+            n, other = rows[i, 3], rows[j, 3]
+            ok = (i < j) & (rows[i, 4] != rows[j, 4]) & (np.minimum(n, other) >= share * np.maximum(n, other))
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(fps[i, 1] ^ fps[j, 1]) <= second
+            i, j = i[ok], j[ok]
+            if len(i):
+                yield np.stack([rows[i, 2], rows[j, 2]], 1)
+
+    return _both_rings(points.select("fp", "fp2", "node", "n", "label"), distance, work)
+
+
+def _both_rings(points: DataFrame, distance: int, work: Callable) -> DataFrame:
+    turned = points.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), *points.columns[2:])
+    found = [_buckets(x, distance, work, "a bigint, b bigint") for x in (points, turned)]
+    ordered = found[0].union(found[1]).filter("a <> b")
+    return ordered.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (node, shingles) have a Jaccard coefficient of at least ``share``.
+
+    A node of many pairs is repeated, once for each ``SALTS`` of them, so they are dealt to many tasks.
+    """
+    for side in ("a", "b"):
+        times = pairs.groupBy(side).agg(F.ceil(F.count("*") / SALTS).cast("bigint").alias("times"))
+        own = sets.join(times, sets["node"] == times[side]).select(
+            F.col(side).alias("of"), F.col("shingles").alias(f"of_{side}"), F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("salt")
+        )
+        other = "b" if side == "a" else "a"
+        dealt = pairs.join(times, side).withColumn("_salt", 1 + F.pmod(F.xxhash64(other), F.col("times"))).drop("times")
+        part = dealt.join(own, (dealt[side] == own["of"]) & (dealt["_salt"] == own["salt"])).select("a", "b", f"of_{side}")
+        held = part if side == "a" else held.join(part, ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= share * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return held.mapInArrow(work, "a bigint, b bigint")
+
+
+def checked_links(docs: DataFrame, found: DataFrame, words: int, distance: int, second: int, share: float) -> DataFrame:
+    """(a, b): links between nodes of ``found`` that connect all proposed pairs of at least the share."""
+    points = stage(found.select("fp", "fp2", "node", "n").distinct(), "fingerprint-nodes")
+    groups = stage(components(node_links(points, distance, second)), "proposed-groups")
+    firsts = found.join(groups, "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("c")
+    )
+    chosen = firsts.select("node", *_row_keys("c.id", "c.content"))
+    packed = docs.select("text", *_row_keys("id", "content"))
+    texts = packed.join(chosen, ROW).dropDuplicates(ROW).select("node", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            own = [shingle_set(list(shingle_hashes(t, words))).view(np.int64) for t in raw(batch, "text")]
+            yield batch_like({"node": batch.column("node"), "shingles": pa.array(own, pa.list_(pa.int64()))})
+
+    sets = stage(texts.mapInArrow(work, "node bigint, shingles array<bigint>"), "shingle-sets")
+    star = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = stage(similar(star, sets, share), "near-first")
+    label = groups.join(near, groups["node"] == near["a"], "left").select("node", F.coalesce("b", "node").alias("label"))
+    rest = stage(open_pairs(points.join(label, "node"), distance, second, share), "open-pairs")
+    return near.union(similar(rest, sets, share))
+
+
+#: Names of what tells rows apart: id, whether it is NULL, hash of the text.
+ROW = ["_key", "_none", "_content"]
+
+
+def _row_keys(id_: str, content: str) -> list[Column]:
+    keys = [F.coalesce(F.col(id_).cast("string"), F.lit("")), F.col(id_).isNull(), F.col(content)]
+    return [k.alias(n) for k, n in zip(keys, ROW)]
 
 
 def _node(fp: str, fp2: str, second: int | None) -> Column:
@@ -221,15 +372,21 @@ def _node(fp: str, fp2: str, second: int | None) -> Column:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, second: int | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, second: int | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """(key, content, fp, root, component): one row per row of ``docs``.
 
     ``content`` is the text's hash, ``component`` the smallest id of all documents that links reach.
+    ``share`` (with ``second``) is the least Jaccard coefficient of linked documents' shingles.
     """
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     found = fingerprints(rows, "text", words, second is not None)
-    found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2"), "fingerprints")
+    found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2", "node", "n"), "fingerprints")
+    if share is not None:
+        roots = components(checked_links(rows, found, words, distance, second, share))
+        nodes = found.groupBy(F.col("node").alias("own")).agg(F.min("id").alias("low"))
+        return _named(found.withColumn("own", F.col("node")), stage(nodes, "shingle-nodes"), roots, key)
     nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low")), "fingerprint-nodes")
     links = fingerprint_links(nodes.select("fp", "fp2"), distance, second)
     if second is not None:
@@ -237,6 +394,11 @@ def near_duplicates(
         links = links.union(turned.select("a2", "a", "b2", "b"))
     roots = components(links.select(_node("a", "a2", second).alias("a"), _node("b", "b2", second).alias("b")))
     nodes = nodes.select(_node("fp", "fp2", second).alias("own"), "low")
+    return _named(found.withColumn("own", _node("fp", "fp2", second)), nodes, roots, key)
+
+
+def _named(found: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """Rows of ``found`` with root and smallest id of their nodes (own, low), where ``roots`` has (node, root)."""
     linked = nodes.join(roots, nodes["own"] == roots["node"]).select("own", "low", "root")
     linked = stage(linked.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS))), "linked-fingerprints")
     # a component of any size is dealt to many tasks: its smallest id is repeated once per salt
@@ -248,7 +410,6 @@ def near_duplicates(
         F.coalesce("root", "own").alias("root"),
         F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("component")).alias("component"),
     )
-    found = found.withColumn("own", _node("fp", "fp2", second))
     return found.join(named, "own").select(F.col("id").alias(key), "content", "fp", "root", "component")
 
 
@@ -262,9 +423,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "content"))
     chosen = stage(found.groupBy("root").agg(first.alias("c")).select("c.id", "c.content"), "group-firsts")
     # the join and the reduction of repeated rows share these keys, so texts are shuffled once at most
-    keys = [F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(), F.col("content")]
-    names = ["_key", "_none", "_content"]
-    chosen = chosen.select(*[k.alias(n) for k, n in zip(keys, names)])
+    chosen = chosen.select(*_row_keys("id", "content"))
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("id"), F.xxhash64(text).alias("content"))
-    packed = packed.select("_doc", *[k.alias(n) for k, n in zip(keys, names)])
-    return packed.join(chosen, names, "left_semi").dropDuplicates(names).select("_doc.*")
+    packed = packed.select("_doc", *_row_keys("id", "content"))
+    return packed.join(chosen, ROW, "left_semi").dropDuplicates(ROW).select("_doc.*")

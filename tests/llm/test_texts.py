@@ -246,6 +246,39 @@ def test_wide_near_duplicates_of_the_table(spark):
     assert all(r.component == min(low[root[i]]) for i, r in enumerate(out)) and len(low) < len(out)
 
 
+def test_only_checked_pairs_are_linked(spark):
+    draw = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(200)]
+
+    def edited(text, n):  # n words in a row replaced: J = (S - n - 4) / (S + n + 4)
+        at = int(draw.integers(5, len(text) - n - 5))
+        return text[:at] + [f"e{draw.integers(1 << 40)}" for _ in range(n)] + text[at + n :]
+
+    family = [edited(template, 40) for _ in range(60)]  # about 0.5 to 0.7 of each other
+    copies = [edited(family[0], 2) for _ in range(8)]
+    texts = [" ".join(t) for t in family + copies] + [" ".join(family[1]).upper(), None, "", "a", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    options = {"words": 5, "distance": 12, "second": 20}
+    sets = [set(simhash.shingle_set(list(simhash.shingle_hashes((t or "").encode(), 5))).tolist()) for t in texts]
+    prints = [simhash.fingerprint((t or "").encode(), 5, True) for t in texts]
+
+    def proposed(a, b):
+        differ = sorted((x ^ y).bit_count() for x, y in zip(prints[a], prints[b]))
+        return differ[0] <= 12 and differ[1] <= 20
+
+    def same(a, b):
+        return sets[a] == sets[b] or proposed(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+
+    root = groups(list(range(len(texts))), same)
+    low = {}
+    for i, r in enumerate(root):
+        low.setdefault(r, i)
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(docs, **options, share=0.8).collect()}
+    assert found == {i: low[r] for i, r in enumerate(root)}
+    assert {found[i] for i in range(60, 68)} == {0} and len(low) > simhash.one_per_group(docs, **options).count()
+    assert simhash.one_per_group(docs, **options, share=0.8).count() == len(low)
+
+
 @settings(deadline=None, max_examples=6)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, links):
