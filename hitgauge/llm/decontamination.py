@@ -2,10 +2,10 @@
 
 Texts and items are sequences of lower-case words (runs of letters, digits and underscores). Seeds are the items' runs of ``seed_words`` words. Every whole text is searched for them; the
 words around its hits, as far as the longest item reaches, are the passages. A passage is held against
-an item if they share a rare seed (one in at most ``rare_share`` of the passages' documents, plus
-``rare_rows``), or at least ``common_seeds`` different common ones; an item so short that an unbroken copy
-of ``min_score`` of its words has fewer seeds asks for those only, so a copy in any number of documents is
-found. Smith-Waterman alignment of words (match +2, other word -1, gap -1) then scores each
+every item with which it shares a seed, however many documents or items have that seed. If none of the shared
+seeds is rare (in at most ``rare_share`` of the passages' documents, plus ``rare_rows``), the pair is first
+screened by a bound that no match can miss: an alignment of ``min_score`` has that share of the item's words, and
+they lie in a window whose width the lost points allow. Smith-Waterman alignment of words (match +2, other word -1, gap -1) then scores each
 pair; the score is divided by that of a whole exact copy, and pairs from ``min_score`` on are matches.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words, so that what is sent to the tasks has a bound
@@ -20,7 +20,7 @@ matches. Columns beyond id and text are not used.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,12 +69,32 @@ class Items:
             owners[c].append(i)
         self.codes = np.array(sorted(owners), np.uint64)
         self.owners = [owners[c] for c in self.codes.tolist()]
-        self.n_seeds = np.bincount([i for _, i in pairs], minlength=len(texts))
-
-    def common_needed(self, most: int, min_score: float) -> list[int]:
-        """Per item the number of different common seeds that make a candidate, ``most`` at most."""
-        unbroken = np.array([int(np.ceil(min_score * len(x))) - self.n + 1 for x in self.items], np.int64)
-        return np.maximum(1, np.minimum(most, np.minimum(unbroken, self.n_seeds))).tolist()
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.int64), *self.items])
+
+    def possible(self, text: np.ndarray, candidates: list[int], min_score: float) -> list[int]:
+        """The candidates that can reach ``min_score`` in a text of word numbers: none that does is left out."""
+        there = np.zeros(len(self.numbers) + 1, bool)  # the last place stands for unknown words
+        there[text] = True
+        there[-1] = False
+        own = np.array(candidates, np.int64)
+        size = self.sizes[own]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) + np.repeat(self.firsts[own] - first, size)
+        enough = np.add.reduceat(there[self.flat[place]], first, dtype=np.int64) >= min_score * size
+        out = []
+        for j in own[enough].tolist():
+            item = self.items[j]
+            # a point is lost for every word of the text that is not the item's, so few can lie between
+            width = int((MATCH + 1 - MATCH * min_score) * len(item)) + 1
+            there[:] = False
+            there[item] = True
+            total = np.concatenate([[0], np.cumsum(there[text])])
+            most = total[-1] if len(text) <= width else (total[width:] - total[:-width]).max()
+            if most >= min_score * len(item):
+                out.append(j)
+        return out
 
     def hits(self, text: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words of the text, positions of seeds, numbers of the seeds)"""
@@ -159,26 +179,25 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _matches(
-    found: DataFrame, items: Items, common: set[int], common_seeds: int, min_score: float, kind: str
+    found: DataFrame, items: Items, common: set[int], min_score: float, kind: str
 ) -> DataFrame:
     """(id, content, item, score, start, stop) of the passages that align with an item."""
     held = found.sparkSession.sparkContext.broadcast((items, common))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, often = held.value
-        needed = block.common_needed(common_seeds, min_score)
+        get = block.numbers.get
         for batch in slices(batches, "words", 1 << 20):
             jobs = []
+            texts = [np.array([get(w, -1) for w in t.split()], np.int64) for t in batch.column("words").to_pylist()]
             for i, seeds in enumerate(batch.column("seeds").to_pylist()):
-                rare, many = set(), Counter()
+                rare, many = set(), set()
                 for s in seeds:
-                    if s in often:
-                        many.update(block.owners[s])
-                    else:
-                        rare.update(block.owners[s])
-                jobs += [(i, j) for j in sorted(rare | {j for j, n in many.items() if n >= needed[j]})]
-            get = block.numbers.get
-            texts = [np.array([get(w, -1) for w in t.split()], np.int64) for t in batch.column("words").to_pylist()]
+                    (many if s in often else rare).update(block.owners[s])
+                many = sorted(many - rare)
+                if many:
+                    rare.update(block.possible(texts[i], many, min_score))
+                jobs += [(i, j) for j in sorted(rare)]
             jobs.sort(key=lambda x: (len(texts[x[0]]), len(block.items[x[1]])))
             rows, item, score, stop, at = [], [], [], [], 0
             while at < len(jobs):
@@ -216,7 +235,6 @@ def contaminated(
     min_score: float = 0.5,
     rare_share: float = 1e-4,
     rare_rows: int = 10,
-    common_seeds: int = 3,
 ) -> DataFrame:
     """(id, content, item_id, score, stop): documents and the benchmark items that they contain.
 
@@ -236,7 +254,7 @@ def contaminated(
         found = stage(passages(rows, block), "passages")
         often = found.select(F.explode("seeds").alias("seed")).groupBy("seed").count()
         often = often.filter(F.col("count") > rare_rows + rare_share * n_docs).select("seed").toArrow()
-        matched = _matches(found, block, set(often.column("seed").to_pylist()), common_seeds, min_score, kind)
+        matched = _matches(found, block, set(often.column("seed").to_pylist()), min_score, kind)
         names = docs.sparkSession.createDataFrame(
             pa.table({"item": pa.array(range(mine.num_rows), pa.int64()), "item_id": mine.column("item_id")})
         )

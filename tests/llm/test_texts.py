@@ -350,6 +350,35 @@ def test_common_seeds_of_short_items(spark):
     assert {(r.id, r.item_id) for r in found} == wanted and len(wanted) >= 240
 
 
+def test_edited_copies_of_common_items(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    edited = "alpha beta gamma x1 epsilon zeta x2 theta iota x3".split()  # one seed left
+    spread = "alpha beta x1 gamma delta epsilon x2 zeta eta theta iota x4 kappa".split()
+    none_near = "alpha beta gamma and then nothing that belongs to it"
+    others = [f"alpha beta gamma o{i} p{i} q{i} r{i} s{i} t{i} u{i}" for i in range(40)]  # share the seed
+    bench = spark.createDataFrame(list(enumerate([item, *others])), "item_id bigint, text string")
+    texts = [f"a{i} b{i} {item} c{i}" for i in range(300)]
+    texts += [f"d{i} {' '.join(e)} e{i}" for i in range(5) for e in (edited, spread)] + [none_near]
+    texts += ["z " * 60 + said + " y" * 60 for said in (" ".join(edited), none_near)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = decontamination.contaminated(docs, bench).collect()
+    scores = {(d, i): simple_score(t, said) for d, t in enumerate(texts) if d < 2 or d >= 300 for i, said in enumerate([item, *others])}
+    wanted = {k for k, s in scores.items() if s >= 0.5}
+    assert {(r.id, r.item_id) for r in found if r.id < 2 or r.id >= 300} == wanted
+    assert {(d, 0) for d in range(300)} <= {(r.id, r.item_id) for r in found}
+    assert len({d for d, i in wanted if d >= 300}) >= 5
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=30), st.lists(st.lists(st.integers(0, 6), min_size=3, max_size=9), min_size=1, max_size=4))
+def test_screen_keeps_all_matches(text, items):
+    block = decontamination.Items([" ".join(f"w{x}" for x in i).encode() for i in items], 3)
+    numbers = np.array([block.numbers.get(f"w{x}", -1) for x in text], np.int64)
+    best, _ = decontamination.align([numbers] * len(items), block.items)
+    matches = {j for j, (b, i) in enumerate(zip(best, items)) if b >= len(i)}
+    assert matches <= set(block.possible(numbers, list(range(len(items))), 0.5))
+
+
 def test_blocks_of_items(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, f"{PASSAGE} {i}") for i in range(12)], "item_id bigint, text string")
     whole = {(r.id, r.item_id, r.score) for r in decontamination.contaminated(docs, bench).collect()}
