@@ -1,9 +1,11 @@
 """Removal of repeated runs of sentences.
 
 Sentences end after ``.``, ``!`` or ``?`` before white space and at line breaks; they are compared in lower
-case with single blanks. From every sentence on, and up to every sentence, the shortest run with at least
+case with single blanks. One of more than ``LONG`` words is taken apart where the words themselves say so
+(the least hash of two words among ``REACH`` on either side), and its blocks count as sentences: equal parts of
+different long sentences have equal blocks, wherever they begin. From every sentence on, and up to every sentence, the shortest run with at least
 ``min_sentences`` sentences and ``min_words`` words is hashed (128 bits): any common passage of that size
-is covered by such runs, wherever it begins. A hash that occurs more than once is a repeated span; its
+is covered by such runs, wherever it begins. A single sentence of at least ``LONG`` words is hashed, too. A hash that occurs more than once is a repeated span; its
 first occurrence is the one with the smallest (id, text hash, sentence). Sentences covered by any other
 occurrence are removed, with the white space that follows them.
 
@@ -14,7 +16,7 @@ them are made, and the first occurrences of the most frequent hashes are broadca
 
 Cases: NULL texts stay NULL and blank ones as they are, with no sentences; rows that repeat id and text
 are one document and are treated alike; equal texts with different ids keep the smallest id's (NULL is the
-smallest); a text without two sentences is never touched; an empty table gives an empty table.
+smallest); a text with one sentence of fewer than ``LONG`` words is never touched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,21 +35,56 @@ from hitgauge.staging import stage
 
 #: A hash with more than 1/HOT of the repeated runs is frequent; there cannot be more than HOT of them.
 HOT = 4096
+#: Words of a sentence that is a passage by itself; fewest words of a block, and most without a place to cut.
+LONG, REACH, MOST = 50, 25, 150
 BREAK = re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """Numbers of the words before which a long sentence is cut; blocks have at least ``REACH`` words."""
+    n = len(words)
+    codes = np.array([xxhash.xxh32_intdigest(a + b" " + b) for a, b in zip(words, words[1:])], np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(codes, REACH).min(axis=1)
+    at = np.arange(REACH, n - REACH)  # less than all before it, and than none after it
+    found = at[(codes[at] < least[at - REACH]) & (codes[at] <= least[np.minimum(at, len(least) - 1)])]
+    out, last = [], 0
+    for to in [*found.tolist(), n]:
+        if to - last > MOST:  # the same words over and over
+            out += range(last + LONG, to - REACH + 1, LONG)
+        out.append(to)
+        last = to
+    return out[:-1]
+
+
 def split(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(start, end, normal form) of each sentence; ends include the white space that follows."""
+    """(start, end, normal form) of each sentence or block; ends include the white space that follows."""
     out, at = [], 0
     for m in BREAK.finditer(text):
         out.append((at, m.end(), text[at : m.start()]))
         at = m.end()
     out.append((at, len(text), text[at:]))
-    return [(a, b, b" ".join(s.lower().split())) for a, b, s in out if s.strip()]
+    parts = []
+    for a, b, s in out:
+        words = s.lower().split()
+        if len(words) <= LONG:
+            if words:
+                parts.append((a, b, b" ".join(words)))
+            continue
+        edges = cuts(words)
+        begins = [m.start() for m in re.finditer(rb"\S+", s)] if edges else []
+        places = [a, *[a + begins[i] for i in edges], b]
+        edges = [0, *edges, len(words)]
+        parts += [
+            (x, y, b" ".join(words[i:j])) for x, y, i, j in zip(places, places[1:], edges, edges[1:])
+        ]
+    return parts
 
 
 def runs(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
-    """Distinct [first, last + 1) of the shortest runs from and up to every sentence; ``words`` per sentence."""
+    """Distinct [first, last + 1) of the shortest runs from and up to every sentence, and of every long sentence.
+
+    ``words`` has the number of words of each sentence.
+    """
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
     index = np.arange(n)
@@ -55,7 +92,8 @@ def runs(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
     starts = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, index + 1 - min_sentences)
     forward = np.stack([index, ends], 1)[ends <= n]
     backward = np.stack([starts, index + 1], 1)[starts >= 0]
-    both = np.concatenate([forward, backward])
+    alone = np.flatnonzero(words >= max(LONG, min_words))
+    both = np.concatenate([forward, backward, np.stack([alone, alone + 1], 1)])
     code = np.unique(both[:, 0] * (n + 1) + both[:, 1])
     return np.stack([code // (n + 1), code % (n + 1)], 1)
 
@@ -69,7 +107,7 @@ def _spans(keyed: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
             owner, first, stop, hashes = [], [], [], []
             for i, text in enumerate(raw(batch, "text")):
                 parts = [s for _, _, s in split(text)]
-                if len(parts) < min_sentences:
+                if not parts:
                     continue
                 words = np.array([s.count(b" ") + 1 for s in parts])
                 found = runs(words, min_sentences, min_words)

@@ -424,6 +424,30 @@ def test_spans_of_odd_rows(docs, none):
     assert sentence_spans.remove_repeats(none).count() == 0
 
 
+def test_long_sentences(spark):
+    draw = np.random.default_rng(3)
+    said = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 5000, n))
+    one, line, periodic = said(52), said(2000), "all work " * 400
+    texts = [
+        one, one.upper(), f"Short before. {one}. Short after.", said(49), None, line, line,
+        f"{said(30)} {line} {said(30)}", periodic.strip(), periodic.strip(),
+    ]
+    texts[4] = texts[3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r.id: r for r in sentence_spans.remove_repeats(docs).select("_doc.doc_id", "*").withColumnRenamed("doc_id", "id").collect()}
+    left = {i: len(r.text.split()) for i, r in out.items()}
+    assert left[0] == 52 and left[1] == 0 and left[5] == 2000 and left[6] == 0 and left[9] == 0
+    assert left[3] == left[4] == 49 and left[7] < 60 + 400 and 0 < left[8]
+    docs = spark.createDataFrame([(1, f"One. {one}. Two."), (2, f"Other. {one}. Thing.")], "doc_id bigint, text string")
+    kept = sentence_spans.remove_repeats(docs).select("_doc.doc_id", "text").collect()
+    assert {r.doc_id: r.text for r in kept}[2] == "Other. Thing."
+    for t in (line, periodic, one, "  " + line + " \n x " + periodic):
+        parts = sentence_spans.split(t.encode())
+        assert b" ".join(p for _, _, p in parts).split() == t.lower().encode().split()
+        assert all(b == c for (_, b, _), (c, _, _) in zip(parts, parts[1:]))
+        assert all(sum(1 for _ in p.split()) >= 25 for _, _, p in parts if len(parts) > 1 and p != b"x")
+
+
 def test_spans_of_the_table(spark, sample):
     out = queries.op8_sentence_spans(spark, SF).collect()
     wanted = simple_cut([(r.doc_id, r.text) for r in sample.collect()])
