@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgauge.llm import token_files, lattice, decontamination, sentence_spans, simhash, language, repetition, chat_windows, mixing, sharding
+from hitgauge.llm import frames, licenses, merkle, token_files, lattice, decontamination, sentence_spans, simhash, language, repetition, chat_windows, mixing, sharding
 from hitgauge.staging import stage_path
 
 
@@ -142,6 +142,36 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_seekable_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "frames")
+    frames.write_store(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    found = frames.digests(frames.infill(frames.read_store(spark, path), "doc_id"))
+    return found.select(
+        "doc.doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
+
+
+def op12_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", LETTERS, LETTERS.lower())
+    ).otherwise(F.col("text"))
+    found = merkle.manifest(docs, "doc_id", "lang", fields, {"text": tampered})
+    folded = merkle.fold(F.col("tampered"), F.col("path"))
+    found = found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op3_rans_tokens": op3_rans_tokens,
     "op1_subword_lattice": op1_subword_lattice,
@@ -153,4 +183,7 @@ QUERIES = {
     "op2_chat_windows": op2_chat_windows,
     "op6_pareto_mix": op6_pareto_mix,
     "op10_jump_shards": op10_jump_shards,
+    "op11_seekable_infill": op11_seekable_infill,
+    "op12_license_diagonals": op12_license_diagonals,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
