@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitgauge.operators.sampling import RunMarks, seeded_positions
+
 # A side is broadcast up to this many bytes of float32 vectors.
 BROADCAST_BYTES = 64 << 20
 # Texts of winners travel with the matches up to this many winners per task.
@@ -39,6 +41,8 @@ TILES_PER_CORE = 3
 TILE_PAIRS = 1 << 37
 MIN_TILE_ROWS = 1024
 MAX_TILE_PARTITIONS = 50_000
+# Partial matches of more scan tasks than this are merged in two steps.
+MERGE_TASKS = 64
 # One block of the similarity matrix inside a task.
 SIMILARITY_BYTES = 64 << 20
 TIE_DIGITS = 9
@@ -61,6 +65,7 @@ class MatchSpec:
     by: tuple[str, ...] = ()
     exclude_self: bool = False
     self_offset: int = 0
+    marks: RunMarks | None = None
 
 
 @dataclass
@@ -192,6 +197,8 @@ def _score_block(
 
 def _best(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
     """Best k of ``c`` per vector of ``q`` within each group, block by block."""
+    if spec.marks is not None:
+        return _best_in_runs(q, c, spec)
     c = c.sorted()
     parts: list[tuple[np.ndarray, ...]] = []
     for group in np.intersect1d(q.group, c.group):
@@ -209,6 +216,44 @@ def _best(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
     return _keep_best(parts, spec.k)
 
 
+#: Bits of a place in ``best["q"]`` that hold the run, where rows are marked with runs.
+RUN_BITS = 6
+
+
+def _best_in_runs(q: Vectors, c: Vectors, spec: MatchSpec) -> dict[str, np.ndarray]:
+    """Best k of ``c`` per vector of ``q`` and run; ``group`` holds the bitmaps of the runs.
+
+    Each block is multiplied once for all runs. Ties go by the run's own order, whose places are computed
+    for the cells that can win.
+    """
+    parts: list[tuple[np.ndarray, ...]] = []
+    height = min(len(q.ids), 1024) or 1
+    width = max(1, SIMILARITY_BYTES // 8 // height)
+    slack = 2 * (q.values.shape[1] + 16) * 2.0**-24 + TIE_MARGIN
+    for left in range(0, len(c.ids), width):
+        block = slice(left, left + width)
+        for top in range(0, len(q.ids), height):
+            idx = slice(top, top + height)
+            rough = q.rough[idx] @ c.rough[block].T
+            for bit, run in enumerate(spec.marks.runs):
+                rows = np.flatnonzero(q.group[idx] >> bit & 1)
+                cols = np.flatnonzero(c.group[block] >> bit & 1)
+                if not len(rows) or not len(cols):
+                    continue
+                i, j = _cells_at_least_kth(rough[np.ix_(rows, cols)], spec.k, slack)
+                if len(i) > CROWDED * spec.k * len(rows):
+                    scores = q.unit[idx][rows] @ c.unit[block][cols].T
+                    i, j = _cells_at_least_kth(scores, spec.k, TIE_MARGIN)
+                    scores = scores[i, j]
+                else:
+                    scores = np.einsum("ij,ij->i", q.unit[idx][rows[i]], c.unit[block][cols[j]])
+                met, back = np.unique(c.ids[block][cols[j]], return_inverse=True)
+                order = seeded_positions(spec.marks.order_seed + run, met)[back]
+                part = (((rows[i] + top) << RUN_BITS) + bit, order, met[back], scores)
+                parts.append(tuple(_keep_best([part], spec.k).values()))
+    return _keep_best(parts, spec.k)
+
+
 def _keep_best(parts: list[tuple[np.ndarray, ...]], k: int) -> dict[str, np.ndarray]:
     """Merge candidate lists (query row, position, id, score) into the k best per query row."""
     if not parts:
@@ -225,11 +270,16 @@ _FOUND_TYPE = "grp long, query_id long, ord long, match_id long, score double"
 
 
 def _found_batch(
-    q: Vectors, best: dict[str, np.ndarray], texts: dict[int, str] | None = None
+    q: Vectors, best: dict[str, np.ndarray], spec: MatchSpec, texts: dict[int, str] | None = None
 ) -> pa.RecordBatch:
+    if spec.marks is None:
+        rows, groups = best["q"], q.group[best["q"]]
+    else:
+        rows, bits = best["q"] >> RUN_BITS, best["q"] & ((1 << RUN_BITS) - 1)
+        groups = np.array(spec.marks.runs, dtype=np.int64)[bits]
     columns = {
-        "grp": pa.array(q.group[best["q"]], pa.int64()),
-        "query_id": pa.array(q.ids[best["q"]], pa.int64()),
+        "grp": pa.array(groups, pa.int64()),
+        "query_id": pa.array(q.ids[rows], pa.int64()),
         "ord": pa.array(best["ord"], pa.int64()),
         "match_id": pa.array(best["match_id"], pa.int64()),
         "score": pa.array(best["score"], pa.float64()),
@@ -240,11 +290,14 @@ def _found_batch(
 
 
 def _vector_rows(
-    df: DataFrame, id_col: str, vector: str, order: str | None, spec: MatchSpec, carry: str | None = None
+    df: DataFrame, id_col: str, vector: str, order: str | None, spec: MatchSpec, carry: str | None = None, bits: str = "",
 ) -> DataFrame:
     """Only what the kernel reads: other columns do not travel with the vectors."""
     carried = [F.col(carry).cast("string").alias("carried")] if carry else []
-    group = F.col(spec.by[0]).cast("long") if spec.by else F.lit(0).cast("long")
+    if bits:
+        group = F.col(bits)
+    else:
+        group = F.col(spec.by[0]).cast("long") if spec.by else F.lit(0).cast("long")
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(order or id_col).cast("long").alias("ord"),
@@ -282,7 +335,7 @@ def _match_small_cache(q: DataFrame, c: DataFrame, spec: MatchSpec, size: int) -
         for batch in batches:
             if batch.num_rows:
                 queries = Vectors.from_arrow(batch)
-                yield _found_batch(queries, _best(queries, shared.value, spec))
+                yield _found_batch(queries, _best(queries, shared.value, spec), spec)
 
     return _spread(q, size, small.values.size).mapInArrow(match, _FOUND_TYPE)
 
@@ -311,7 +364,7 @@ def _match_few_queries(q: DataFrame, c: DataFrame, spec: MatchSpec) -> DataFrame
                 best = _keep_best(both, spec.k)
                 if carry:
                     texts = _texts_of(best, texts, batch)
-        yield _found_batch(queries, best, texts if carry else None)
+        yield _found_batch(queries, best, spec, texts if carry else None)
 
     found = _FOUND_TYPE + (", carried string" if carry else "")
     if small.values.size >= SPREAD_FROM and not carry:
@@ -365,7 +418,7 @@ def _match_tiles(
             for number, cached, start, end in _runs(tile, side):
                 if number != now:
                     if best is not None:
-                        yield _found_batch(queries, best)
+                        yield _found_batch(queries, best, spec)
                     now, parts, queries, best = number, [], None, None
                 rows = batch.slice(start, end - start)
                 if not cached:
@@ -377,7 +430,7 @@ def _match_tiles(
                     both = [tuple(b[x] for x in ("q", "ord", "match_id", "score")) for b in (best, here)]
                     best = _keep_best(both, spec.k)
         if best is not None:
-            yield _found_batch(queries, best)
+            yield _found_batch(queries, best, spec)
 
     # The queries of a tile come first, in any order.
     return both.sortWithinPartitions("tile", "side").mapInArrow(match, _FOUND_TYPE)
@@ -404,6 +457,26 @@ def merge_best(found: DataFrame, k: int) -> DataFrame:
     )
 
 
+def merge_scans(found: DataFrame, k: int, tasks: int) -> DataFrame:
+    """The k best of what many scan tasks found, merged in two steps.
+
+    First the finds of every so many tasks are merged, a key of which are rows of few tasks; so a query's last
+    merge gets about the square root of their number of lists instead of one from each task.
+    """
+    if tasks <= MERGE_TASKS:
+        return merge_best(found, k)
+    lists = math.isqrt(tasks - 1) + 1
+    dealt = found.withColumn("_list", F.pmod(F.spark_partition_id(), F.lit(lists)))
+    order = F.struct((-F.round("score", TIE_DIGITS)).alias("a"), "ord", *[c for c in found.columns if c not in ("grp", "query_id", "ord")])
+    by = ["_list", "grp", "query_id"]
+    if k == 1:
+        first = dealt.groupBy(*by).agg(F.min(order).alias("m")).select("grp", "query_id", "m.*").drop("a")
+    else:
+        place = Window.partitionBy(*by).orderBy(order)
+        first = dealt.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).drop("_n", "_list")
+    return merge_best(first, k)
+
+
 def _match(
     queries: DataFrame,
     cache: DataFrame,
@@ -417,6 +490,7 @@ def _match(
     exclude_self: bool = False,
     self_offset: int = 0,
     carry: str | None = None,
+    marks: RunMarks | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
@@ -426,35 +500,41 @@ def _match(
     of its winners and the result has them as ``carried``, which saves a second scan of the cache;
     otherwise it is ignored and the texts are to be joined by ``match_id``.
     """
-    spec = MatchSpec(k, (by,) if by else (), exclude_self, self_offset)
-    q = _vector_rows(queries, query_id, vector, None, spec)
-    c = _vector_rows(cache, cache_id, vector, order, spec)
+    spec = MatchSpec(k, (by,) if by else (), exclude_self, self_offset, marks)
+    asked, held = (marks.asked, marks.held) if marks else ("", "")
+    if marks:
+        queries, cache = queries.filter(F.col(asked) != 0), cache.filter(F.col(held) != 0)
+    q = _vector_rows(queries, query_id, vector, None, spec, bits=asked)
+    c = _vector_rows(cache, cache_id, vector, order, spec, bits=held)
 
     row_bytes = _row_bytes(q)
-    n_queries, n_cache = queries.count(), cache.count()
+    n_queries = queries.count()
+    counted = cache.select(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max("task").alias("last")).first()
+    n_cache, tasks = counted.n, (counted.last or 0) + 1
+    found_rows = n_queries * k * (len(marks.runs) if marks else 1)
     # The smaller side is the one to send to all tasks, if it is small enough.
     small_cache = n_cache <= n_queries and n_cache * row_bytes <= broadcast_bytes
     few = not small_cache and n_queries * row_bytes <= broadcast_bytes
     if small_cache:
         found = _match_small_cache(q, c, spec, n_queries * row_bytes)
     elif few:
-        if carry and n_queries * k <= CARRY_ROWS:
-            c = _vector_rows(cache, cache_id, vector, order, spec, carry)
+        if carry and found_rows <= CARRY_ROWS:
+            c = _vector_rows(cache, cache_id, vector, order, spec, carry, held)
         found = _match_few_queries(q, c, spec)
     elif n_cache * row_bytes <= broadcast_bytes:
         found = _match_small_cache(q, c, spec, n_queries * row_bytes)
     else:
         max_rows = max(1, tile_bytes // row_bytes)
         found = _match_tiles(q, c, (n_queries, n_cache), max_rows, spec)
-    found = merge_best(found, k)
-    group = [F.col("grp").alias(by)] if by else []
+    found = merge_scans(found, k, tasks) if few else merge_best(found, k)
+    group = [F.col("grp").alias("run" if marks else by)] if by or marks else []
     found = found.select(
         *group, F.col("query_id").alias(query_id),
         *[x for x in ("match_id", "score", "carried", "rank") if x in found.columns],
     )
     # The k rows of few queries are as bounded as the queries were, unless they carry texts.
     narrow = "carried" not in found.columns
-    return F.broadcast(found) if few and narrow and n_queries * k <= BROADCAST_ROWS else found
+    return F.broadcast(found) if few and narrow and found_rows <= BROADCAST_ROWS else found
 
 
 def match_top_k(
@@ -469,6 +549,7 @@ def match_top_k(
     by: str | None = None,
     exclude_self: bool = False,
     self_offset: int = 0,
+    marks: RunMarks | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
@@ -478,10 +559,13 @@ def match_top_k(
     ``order`` is the cache position that decides ties, ``cache_id`` unless given. With
     ``exclude_self`` a query never matches the cached row whose id is its own plus
     ``self_offset``. Queries without any candidate are absent; see :func:`with_no_hit_default`.
+    With ``marks`` the rows of both tables carry bitmaps of runs instead of being repeated per run; the
+    result has a ``run``, and ties go by the order of the run.
     """
     return _match(
         queries, cache, query_id=query_id, cache_id=cache_id, vector=vector, order=order, k=k, by=by,
-        exclude_self=exclude_self, self_offset=self_offset, broadcast_bytes=broadcast_bytes, tile_bytes=tile_bytes,
+        exclude_self=exclude_self, self_offset=self_offset, marks=marks, broadcast_bytes=broadcast_bytes,
+        tile_bytes=tile_bytes,
     )
 
 

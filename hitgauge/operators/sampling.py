@@ -8,9 +8,12 @@ global sort nor an anti join is needed. ``id`` must be unique.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,12 @@ def seeded_position(seed: int | Column, id_col: str | Column) -> Column:
     return F.conv(F.substring(seeded_key(seed, id_col), 1, 15), 16, 10).cast("long")
 
 
+def seeded_positions(seed: int, ids: np.ndarray) -> np.ndarray:
+    """:func:`seeded_position` of whole-number ids inside a task."""
+    digests = (hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in ids.tolist())
+    return np.fromiter((int(d[:15], 16) for d in digests), np.int64, len(ids))
+
+
 def _key_at(share: float) -> str:
     return _ABOVE_HEX if share >= 1 else f"{int(max(share, 0.0) * 16**_HEX_DIGITS):0{_HEX_DIGITS}x}"
 
@@ -131,65 +140,158 @@ def _one_per_run(cuts: DataFrame, n_runs: int) -> DataFrame:
     return staged
 
 
-def bootstrap_splitter(
-    log: DataFrame,
-    id_col: str,
-    n_runs: int = 5,
-    sample_ratio: float = 0.8,
-    n_samples: int = 100,
-) -> Callable[[DataFrame], DataFrame]:
-    """Draw all runs of a log once; the result adds the runs to any table with the log's ids.
+#: Added to a run's number: the seeds of its queries and of the order of its cache.
+QUERY_SEED, ORDER_SEED = 1000, 2000
+#: Runs in one bitmap.
+MARK_RUNS = 62
+
+
+@dataclass(frozen=True)
+class RunMarks:
+    """Columns of bitmaps that say in which runs a row is a query (``asked``) or a cached row (``held``).
+
+    Bit i stands for run ``runs[i]``; ``order_seed`` plus the run seeds the order of its cache.
+    """
+
+    asked: str
+    held: str
+    runs: tuple[int, ...]
+    order_seed: int = ORDER_SEED
+
+    def runs_of(self, bits: str) -> Column:
+        """Array of the runs whose bits are set."""
+        pairs = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(r).alias("run")) for i, r in enumerate(self.runs)])
+        return F.filter(pairs, lambda p: F.col(bits).bitwiseAND(p["bit"]) != 0)["run"]
+
+    def only(self, df: DataFrame, run: int) -> DataFrame:
+        """The same rows, marked for one run."""
+        bit = F.lit(1 << self.runs.index(run)).cast("long")
+        return df.withColumns({c: F.col(c).bitwiseAND(bit) for c in (self.asked, self.held)})
+
+
+@dataclass(frozen=True)
+class RunCuts:
+    """Last keys of the universes and of the queries of all runs (None: every row is in)."""
+
+    id_col: str
+    n_runs: int
+    universe: DataFrame | None
+    queries: DataFrame | None  # None: no run is large enough
+
+
+def bootstrap_cuts(
+    log: DataFrame, id_col: str, n_runs: int = 5, sample_ratio: float = 0.8, n_samples: int = 100
+) -> RunCuts:
+    """Draw all runs of a log: two cutoff keys per run, from the ids alone.
 
     Run i takes ``round(sample_ratio * count)`` rows as its universe (seed i), ``n_samples`` of
     them as queries (seed i + 1000) and shuffles the rest as cache (seed i + 2000). A universe that
-    is not larger than ``n_samples`` gives no run. The splitter repeats each row per run and adds
-    ``run``, ``is_query`` and ``cache_pos``; only two cutoff keys per run are kept.
+    is not larger than ``n_samples`` gives no run.
     """
     run, total = F.col("run"), log.count()
     size = round(sample_ratio * total)  # half to even
-
-    def fan_out(df: DataFrame) -> DataFrame:
-        return df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))
-
-    def up_to_cut(seed: Column) -> Column:
-        return _within(seeded_key(seed, id_col), F.col(id_col), F.col("_cut_key"), F.col("_cut_id"))
+    if size <= n_samples:
+        return RunCuts(id_col, n_runs, None, None)
 
     def keyed(df: DataFrame, seed: Column) -> DataFrame:
         return df.select("run", seeded_key(seed, id_col).alias("_key"), F.col(id_col).alias("_id"))
 
-    if size <= n_samples:
-        return lambda df: fan_out(df.limit(0)).withColumns(
-            {"is_query": F.lit(False), "cache_pos": F.lit(None).cast("long")}
-        )
-    ids = fan_out(log.select(id_col))
-    universe_cuts = None
+    ids = _fan_out(log.select(id_col), n_runs)
+    universe = None
     if size < total:
-        universe_cuts = _one_per_run(order_cutoffs(keyed(ids, run), ["run"], total, size), n_runs)
-
-    def universe(df: DataFrame, ident: str) -> DataFrame:
-        if universe_cuts is None:
-            return df
-        cut = attach(df, universe_cuts, ["run"])
-        inside = _within(seeded_key(run, ident), F.col(ident), F.col("_cut_key"), F.col("_cut_id"))
-        return cut.filter(inside).drop("_cut_key", "_cut_id")
-
-    query_cuts = _one_per_run(
-        order_cutoffs(
-            keyed(ids, run + 1000), ["run"], size, n_samples, lambda rows: universe(rows, "_id")
-        ),
-        n_runs,
+        universe = _one_per_run(order_cutoffs(keyed(ids, run), ["run"], total, size), n_runs)
+    queries = order_cutoffs(
+        keyed(ids, run + QUERY_SEED), ["run"], size, n_samples, lambda rows: _in_universe(rows, "_id", universe)
     )
+    return RunCuts(id_col, n_runs, universe, _one_per_run(queries, n_runs))
+
+
+def _fan_out(df: DataFrame, n_runs: int) -> DataFrame:
+    return df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))
+
+
+def _in_universe(df: DataFrame, ident: str, cuts: DataFrame | None) -> DataFrame:
+    if cuts is None:
+        return df
+    inside = _within(seeded_key(F.col("run"), ident), F.col(ident), F.col("_cut_key"), F.col("_cut_id"))
+    return attach(df, cuts, ["run"]).filter(inside).drop("_cut_key", "_cut_id")
+
+
+def bootstrap_splitter(
+    log: DataFrame, id_col: str, n_runs: int = 5, sample_ratio: float = 0.8, n_samples: int = 100
+) -> Callable[[DataFrame], DataFrame]:
+    """Draw all runs of a log once; the result adds the runs to any table with the log's ids.
+
+    The runs are those of :func:`bootstrap_cuts`. The splitter repeats each row per run and adds ``run``,
+    ``is_query`` and ``cache_pos``; :func:`bootstrap_marker` marks the rows instead and repeats none.
+    """
+    cuts = bootstrap_cuts(log, id_col, n_runs, sample_ratio, n_samples)
+    run = F.col("run")
+    if cuts.queries is None:
+        return lambda df: _fan_out(df.limit(0), n_runs).withColumns(
+            {"is_query": F.lit(False), "cache_pos": F.lit(None).cast("long")}
+        )
 
     def split(df: DataFrame) -> DataFrame:
         # The query cutoff comes first: few rows are below it, so the queries need one md5 per row.
-        rows = attach(fan_out(df), query_cuts, ["run"])
-        rows = rows.withColumn("is_query", up_to_cut(run + 1000)).drop("_cut_key", "_cut_id")
-        position = F.when(~F.col("is_query"), seeded_position(run + 2000, id_col))
-        return universe(rows, id_col).withColumn("cache_pos", position)
+        rows = attach(_fan_out(df, n_runs), cuts.queries, ["run"])
+        asked = _within(seeded_key(run + QUERY_SEED, id_col), F.col(id_col), F.col("_cut_key"), F.col("_cut_id"))
+        rows = rows.withColumn("is_query", asked).drop("_cut_key", "_cut_id")
+        position = F.when(~F.col("is_query"), seeded_position(run + ORDER_SEED, id_col))
+        return _in_universe(rows, id_col, cuts.universe).withColumn("cache_pos", position)
 
     return split
 
 
+def bootstrap_marker(cuts: RunCuts, asked: str = "_asked", held: str = "_held") -> list[tuple[RunMarks, Callable[[DataFrame], DataFrame]]]:
+    """Marks of all runs and how to add them to a table with the log's ids: no row is repeated.
+
+    The cutoffs (two per run) are read once and are literals of the projection that computes the bitmaps.
+    There is one pair for each ``MARK_RUNS`` runs.
+    """
+    if cuts.queries is None:
+        return []
+    keys = {r.run: r for r in cuts.queries.collect()}
+    limits = {r.run: r for r in cuts.universe.collect()} if cuts.universe is not None else {}
+    out = []
+    for first in range(1, cuts.n_runs + 1, MARK_RUNS):
+        runs = tuple(range(first, min(cuts.n_runs, first + MARK_RUNS - 1) + 1))
+        marks = RunMarks(asked, held, runs)
+
+        def mark(df: DataFrame, runs: tuple[int, ...] = runs) -> DataFrame:
+            kind = df.schema[cuts.id_col].dataType
+
+            def cut(row) -> Column:
+                if row is None:
+                    return F.lit(None).cast(f"struct<key:string,id:{kind.simpleString()}>")
+                return F.struct(F.lit(row["_cut_key"]).alias("key"), F.lit(row["_cut_id"]).cast(kind).alias("id"))
+
+            table = F.array(*[
+                F.struct(F.lit(r).alias("run"), F.lit(1 << i).cast("long").alias("bit"),
+                         cut(keys[r]).alias("queries"), cut(limits.get(r)).alias("universe"))
+                for i, r in enumerate(runs)
+            ])
+            ident = F.col(cuts.id_col)
+
+            def below(seed: Column, last: Column) -> Column:
+                return F.struct(seeded_key(seed, cuts.id_col).alias("key"), ident.alias("id")) <= last
+
+            # one pass over the runs: bits of the queries, then those of the other rows of the universe
+            bits = F.transform(table, lambda t: F.when(
+                t["universe"].isNull() | below(t["run"], t["universe"]),
+                F.when(below(t["run"] + QUERY_SEED, t["queries"]), t["bit"]).otherwise(-t["bit"]),
+            ).otherwise(F.lit(0).cast("long")))
+
+            def together(sign: int) -> Column:
+                chosen = F.filter("_bits", lambda b: b * sign > 0)
+                return F.aggregate(chosen, F.lit(0).cast("long"), lambda a, b: a + b * sign)
+
+            return df.withColumn("_bits", bits).withColumns({asked: together(1), held: together(-1)}).drop("_bits")
+
+        out.append((marks, mark))
+    return out
+
+
 def bootstrap_runs(log: DataFrame, id_col: str, **options) -> DataFrame:
     """The log's rows in all runs; options as for :func:`bootstrap_splitter`."""
     return bootstrap_splitter(log, id_col, **options)(log)

@@ -19,7 +19,7 @@ from hitgauge.operators.encoding import (
 from hitgauge.operators.judging import label_pairs
 from hitgauge.operators.leaderboard import run_metrics, run_stats
 from hitgauge.operators.matching import attach_match, match_top_k, match_with_text, with_no_hit_default
-from hitgauge.operators.sampling import bootstrap_splitter, split_queries_cache
+from hitgauge.operators.sampling import RunMarks, bootstrap_cuts, bootstrap_marker, split_queries_cache
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import MAX_STEPS, sweep_thresholds
 from hitgauge.sources.csv_files import read_csv, write_csv
@@ -264,23 +264,35 @@ def bootstrap_matches(
 ) -> DataFrame:
     """``model, run`` and the matched queries of all bootstrap runs.
 
-    A model is an encoder, or the name of a vector column of the log. The splits are drawn once;
+    A model is an encoder, or the name of a vector column of the log. The splits are drawn once and mark
+    the rows with bitmaps of runs, so vectors are read once for all runs (see :class:`RunMarks`);
     each model encodes the log once, not once per run, and with ``encode_once`` each different text
     once. With ``failures`` given, what fails is noted
     there and left out instead of stopping the others: all runs are matched at once, and one by one
     (``model/run_n``) only if that fails; a model without a run left is noted by its name.
     """
-    split = bootstrap_splitter(log, id_col, n_runs, sample_ratio, n_samples)
+    marked = bootstrap_marker(bootstrap_cuts(log, id_col, n_runs, sample_ratio, n_samples))
     parts = []
     for name, model in models.items():
 
+        def matched_slab(vectors: DataFrame, marks: RunMarks) -> DataFrame:
+            found = match_with_text(
+                vectors, vectors, text, query_id=id_col, cache_id=id_col, vector="_vec", marks=marks,
+            ).drop("rank")
+            found = found.withColumn("best_scores", _rounded(F.col("score"), score_digits)).drop("score")
+            asked = vectors.filter(F.col(marks.asked) != 0).select(id_col, text, F.explode(marks.runs_of(marks.asked)).alias("run"))
+            return stage(with_no_hit_default(asked, found, [id_col, "run"]), "matched")
+
         def matched_runs(vectors: DataFrame, run: int | None = None) -> DataFrame:
-            runs = split(vectors)
-            runs = runs if run is None else runs.filter(F.col("run") == run)
-            return run_matching(
-                runs.filter("is_query").drop("cache_pos"), runs.filter(~F.col("is_query")),
-                id_col=id_col, text=text, vector="_vec", by="run", texts=vectors, score_digits=score_digits,
-            )
+            slabs = []
+            for marks, mark in marked:
+                if run is None or run in marks.runs:
+                    rows = mark(vectors)
+                    slabs.append(matched_slab(rows if run is None else marks.only(rows, run), marks))
+            if slabs:
+                return functools.reduce(DataFrame.unionByName, slabs)
+            none = vectors.limit(0).select(id_col, text, F.lit(0).alias("run"), F.col(id_col).cast("long").alias("match_id"))
+            return none.withColumns({"matches": F.lit(""), "best_scores": F.lit(0.0)})
 
         def matched_model() -> DataFrame:
             if isinstance(model, str):
