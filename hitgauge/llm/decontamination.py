@@ -1,6 +1,6 @@
 """Benchmark decontamination by rare seeds and local alignment.
 
-Texts and items are sequences of lower-case words (runs of letters, digits and underscores). Seeds are the items' runs of ``seed_words`` words. Every whole text is searched for them; the
+Texts and items are sequences of lower-case words (runs of letters, digits and underscores). Seeds are the items' runs of ``seed_words`` words, or of two in items of fewer than ``SHORT_ITEM`` words. Every whole text is searched for them; the
 words around its hits, as far as the longest item reaches, are the passages. A passage is held against
 every item with which it shares a seed, however many documents or items have that seed. If none of the shared
 seeds is rare (in at most ``rare_share`` of the passages' documents, plus ``rare_rows``), the pair is first
@@ -12,7 +12,7 @@ Items are taken in blocks of about ``BLOCK_WORDS`` words, so that what is sent t
 whatever the number of items; each block is held against all texts. Texts are not shuffled; passages
 are staged.
 
-Cases: NULL and empty texts or items match nothing, nor do items with fewer words than a seed; repeated
+Cases: NULL and empty texts or items match nothing, nor do items of a single word; repeated
 items each match; rows that repeat an id give a row each where they match; no items or no texts give no
 matches. Columns beyond id and text are not used.
 """
@@ -34,10 +34,15 @@ from hitgauge.staging import stage
 WORD = re.compile(r"\w+")
 BLOCK_WORDS = 2_000_000
 MATCH, OTHER, GAP = 2, -1, -1
+#: Items of fewer words have seeds of two words: a run of three is too much to ask of their edited copies.
+SHORT_ITEM = 10
 #: An odd multiplier for the codes of word runs; equal codes are only candidates.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_NO_SEED = np.zeros(0, np.int64)
+
+
 def words(text: bytes) -> list[str]:
     return WORD.findall(text.decode("utf-8", "replace").lower())
 
@@ -63,12 +68,18 @@ class Items:
             np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words(t)], np.int64) for t in texts
         ]
         self.reach = max([len(x) for x in self.items], default=0)
-        pairs = [(c, i) for i, x in enumerate(self.items) for c in set(run_codes(x, n).tolist())]
-        owners = defaultdict(list)
-        for c, i in pairs:
-            owners[c].append(i)
-        self.codes = np.array(sorted(owners), np.uint64)
-        self.owners = [owners[c] for c in self.codes.tolist()]
+        #: (words of a run, sorted codes, number of the first); seeds are numbered through all lengths
+        self.runs: list[tuple[int, np.ndarray, int]] = []
+        self.owners: list[list[int]] = []
+        for size in sorted({min(n, 2), n}):
+            owners = defaultdict(list)
+            for i, x in enumerate(self.items):
+                if size == (min(n, 2) if len(x) < SHORT_ITEM else n):
+                    for c in set(run_codes(x, size).tolist()):
+                        owners[c].append(i)
+            if owners:
+                self.runs.append((size, np.array(sorted(owners), np.uint64), len(self.owners)))
+                self.owners += [owners[c] for c in sorted(owners)]
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([np.zeros(0, np.int64), *self.items])
@@ -101,17 +112,19 @@ class Items:
         parts = words(text)
         get = self.numbers.get
         known = np.fromiter((get(w, -1) for w in parts), np.int64, len(parts))
-        n = self.n
-        if len(parts) < n or not len(self.codes):
-            return parts, np.zeros(0, np.int64), np.zeros(0, np.int64)
         unknown = np.concatenate([[0], np.cumsum(known < 0)])
-        whole = np.flatnonzero(unknown[n:] == unknown[:-n])
-        if not len(whole):
-            return parts, whole, whole
-        code = run_codes(known, n)[whole]
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        ok = self.codes[at] == code
-        return parts, whole[ok], at[ok]
+        places, seeds = [_NO_SEED], [_NO_SEED]
+        for n, codes, first in self.runs:
+            whole = np.flatnonzero(unknown[n:] == unknown[:-n]) if len(parts) >= n else _NO_SEED
+            if len(whole):
+                code = run_codes(known, n)[whole]
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                ok = codes[at] == code
+                places.append(whole[ok])
+                seeds.append(at[ok] + first)
+        place, seed = np.concatenate(places), np.concatenate(seeds)
+        order = np.argsort(place, kind="stable")
+        return parts, place[order], seed[order]
 
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
