@@ -20,10 +20,15 @@ further bits (from the same hashes, mixed) count as well, and a node is all 128
 one half differs in at most ``distance`` places and the other in at most ``second``; either half may be the
 close one, so candidates come from the rings of both.
 
-With ``share`` fingerprints only propose pairs, and documents are linked if the Jaccard coefficient of their
-shingle sets is at least that. Equal sets are one node. Members of a group of proposed links are first held
-against its smallest node; then all proposed pairs whose ends did not come together in that way are checked,
-so no proposed pair is left out, and many copies of one text still need one check each.
+With ``share`` documents are linked if the Jaccard coefficient of their shingle sets is at least that, and equal sets are
+one node. Fingerprints that are so far apart (about a sixth of the bits) have no segments long enough to be a key,
+so nodes meet on bands instead: ``BANDS`` keys of ``BAND_ROWS`` minimum hashes of the shingles each, of 64 bits. Every
+bucket has a centre, the member that meets most others; all its members are held against the centre, which is as
+many pairs as members. A pair is pruned by the pigeonring chains and the Hamming check of both halves of the fingerprint
+before the sets are compared. Buckets in which that left more than one group get their members' sets, in tiles of at
+most twice ``TILE`` members, and all their pairs of different groups are compared inside tasks; what leaves a task are
+links between groups, fewer than it has members. So every pair that shares a band is held against the rule, and neither
+families of pages with one template nor groups of copies are listed as pairs.
 
 Cases: NULL, empty and blank texts have no shingle and fingerprint zero, linked like any other; texts
 shorter than a shingle are one; a NULL id never is the smallest of a component that has another; rows
@@ -50,6 +55,10 @@ SEED, BITS = 42, 64
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Buckets up to this size are compared as a matrix.
 MATRIX = 2048
+#: Keys on which nodes meet, and minimum hashes in a key: of pairs that share 0.8 of their shingles, 99 of 100 meet.
+BANDS, BAND_ROWS = 25, 8
+#: Members of a bucket that are compared as one block.
+TILE = 1024
 #: Parts into which the fingerprints of a component are dealt.
 SALTS = 32
 
@@ -74,6 +83,25 @@ def shingle_set(blocks: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *blocks]))
 
 
+def _odd(n: int, seed: int, kind: type) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, np.iinfo(kind).max, n, kind) | kind(1)
+
+
+_MIN_BY, _BAND_BY = _odd(BANDS * BAND_ROWS, 1, np.uint32), _odd(BAND_ROWS, 2, np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band of minimum hashes of a set of shingles (none for an empty set)."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_MIN_BY), np.iinfo(np.uint32).max)
+    for at in range(0, len(high), 512):
+        least = np.minimum(least, (high[at : at + 512, None] * _MIN_BY).min(axis=0))
+    keys = (least.astype(np.uint64).reshape(BANDS, BAND_ROWS) * _BAND_BY).sum(axis=1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(31))) * MIX + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def fingerprint(text: bytes, words: int, wide: bool = False) -> list[int]:
     """SimHash of the XXH64 values of all shingles of a UTF-8 text: one or two unsigned 64-bit numbers."""
     return majority(shingle_hashes(text, words), wide)
@@ -93,31 +121,31 @@ def majority(blocks: Iterable[np.ndarray], wide: bool) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, text: str, words: int, wide: bool = False) -> DataFrame:
-    """(_doc, fp, fp2, node, n): every row of ``docs`` without its text as a struct, and its fingerprint as signed longs.
+    """(_doc, fp, fp2, node, keys): every row of ``docs`` without its text as a struct, and its fingerprint as signed longs.
 
-    If ``wide``, ``node`` is the hash of its set of shingles and ``n`` their number.
+    If ``wide``, ``node`` is the hash of its set of shingles and ``keys`` are the set's bands.
     """
     fields = [c for c in docs.columns if c != text]
     packed = docs.select(F.struct(*fields).alias("_doc"), F.col(text).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            found, nodes, sizes = [], [], []
+            found, nodes, keys = [], [], []
             for t in raw(batch, "_text"):
                 blocks = list(shingle_hashes(t, words))
                 found.append(majority(blocks, wide))
                 own = shingle_set(blocks) if wide else blocks[:0]
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if wide else 0)
-                sizes.append(len(own))
+                keys.append(band_keys(own) if wide else np.zeros(0, np.int64))
             found = np.array(found, np.uint64).reshape(batch.num_rows, -1).view(np.int64)
             yield batch_like({
                 "_doc": batch.column("_doc"), "fp": pa.array(found[:, 0]),
                 "fp2": pa.array(found[:, -1] if wide else np.zeros(len(found), np.int64)),
-                "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int64()),
+                "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "keys": pa.array(keys, pa.list_(pa.int64())),
             })
 
     kind = packed.schema["_doc"].dataType.simpleString()
-    return packed.mapInArrow(work, f"_doc {kind}, fp bigint, fp2 bigint, node bigint, n bigint")
+    return packed.mapInArrow(work, f"_doc {kind}, fp bigint, fp2 bigint, node bigint, keys array<bigint>")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -151,6 +179,22 @@ def within(differ: np.ndarray, start: int, distance: int) -> np.ndarray:
     return passed[np.bitwise_count(differ[passed]) <= distance]
 
 
+def passes(differ: np.ndarray, distance: int) -> np.ndarray:
+    """Whether differences (xor) pass the chains from some segment on, and the full Hamming check."""
+    ring = segments(distance)
+    counts = [np.bitwise_count(differ & np.uint64(((1 << width) - 1) << low)) for low, width in ring]
+    chained = np.zeros(len(differ), bool)
+    for start in range(len(ring)):
+        ok, used = ~chained, np.zeros(len(differ), np.int64)
+        for length in range(1, len(ring)):
+            used = used + counts[(start + length - 1) % len(ring)]
+            ok &= used <= length * distance // len(ring)
+            if not ok.any():
+                break
+        chained |= ok
+    return chained & (np.bitwise_count(differ) <= distance)
+
+
 def walk(fps: np.ndarray, start: int, distance: int, second: int | None = None) -> list[tuple[int, int]]:
     """Links (places) that connect what is linked among one bucket's fingerprints, a row of numbers each."""
     n, links = len(fps), []
@@ -262,58 +306,16 @@ def fingerprint_links(distinct: DataFrame, distance: int, second: int | None = N
     return _buckets(distinct.select("fp", "fp2"), distance, work, "a bigint, a2 bigint, b bigint, b2 bigint")
 
 
-def node_links(points: DataFrame, distance: int, second: int) -> DataFrame:
-    """(a, b): links that connect all nodes of ``points`` (fp, fp2, node) within the distances."""
-
-    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
-        found = walk(np.ascontiguousarray(rows[:, :2]).view(np.uint64), start, distance, second)
-        if found:
-            yield rows[np.array(found), 2]
-
-    return _both_rings(points.select("fp", "fp2", "node"), distance, work)
-
-
-def open_pairs(points: DataFrame, distance: int, second: int, share: float) -> DataFrame:
-    """(a, b): all pairs of ``points`` (fp, fp2, node, n, label) within the distances whose labels differ.
-
-    Pairs whose numbers of shingles ``n`` rule the share out are left out.
-    """
-
-    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
-        fps = np.ascontiguousarray(rows[:, :2]).view(np.uint64)
-        step = max(1, (1 << 20) // len(rows))
-        for at in range(0, len(rows), step):
-            one, many = slice(at, at + step), slice(at, None)
-            differ = (fps[one, None, 0] ^ fps[None, many, 0]).ravel()
-            i, j = np.divmod(within(differ, start, distance), len(rows) - at)
-            i, j = i + at, j + at
-            n, other = rows[i, 3], rows[j, 3]
-            ok = (i < j) & (rows[i, 4] != rows[j, 4]) & (np.minimum(n, other) >= share * np.maximum(n, other))
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(fps[i, 1] ^ fps[j, 1]) <= second
-            i, j = i[ok], j[ok]
-            if len(i):
-                yield np.stack([rows[i, 2], rows[j, 2]], 1)
-
-    return _both_rings(points.select("fp", "fp2", "node", "n", "label"), distance, work)
-
-
-def _both_rings(points: DataFrame, distance: int, work: Callable) -> DataFrame:
-    turned = points.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), *points.columns[2:])
-    found = [_buckets(x, distance, work, "a bigint, b bigint") for x in (points, turned)]
-    ordered = found[0].union(found[1]).filter("a <> b")
-    return ordered.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose ``sets`` (node, shingles) have a Jaccard coefficient of at least ``share``.
+def similar(pairs: DataFrame, sets: DataFrame, distance: int, second: int, share: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (node, fp, fp2, shingles) are near in both fingerprints and share at least ``share``.
 
     A node of many pairs is repeated, once for each ``SALTS`` of them, so they are dealt to many tasks.
     """
     for side in ("a", "b"):
         times = pairs.groupBy(side).agg(F.ceil(F.count("*") / SALTS).cast("bigint").alias("times"))
         own = sets.join(times, sets["node"] == times[side]).select(
-            F.col(side).alias("of"), F.col("shingles").alias(f"of_{side}"), F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("salt")
+            F.col(side).alias("of"), F.struct("fp", "fp2", "shingles").alias(f"of_{side}"),
+            F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("salt"),
         )
         other = "b" if side == "a" else "a"
         dealt = pairs.join(times, side).withColumn("_salt", 1 + F.pmod(F.xxhash64(other), F.col("times"))).drop("times")
@@ -322,21 +324,145 @@ def similar(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= share * (len(x) + len(y) - both))
+            x, y = (batch.column(f"of_{side}") for side in ("a", "b"))
+            prints = [[c.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2)] for c in (x, y)]
+            ok = near_prints(prints[0][0] ^ prints[1][0], prints[0][1] ^ prints[1][1], distance, second)
+            for i in np.flatnonzero(ok):
+                one, many = (c.field(2)[int(i)].values.to_numpy(zero_copy_only=False) for c in (x, y))
+                both = len(np.intersect1d(one, many, assume_unique=True))
+                ok[i] = both >= share * (len(one) + len(many) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return held.mapInArrow(work, "a bigint, b bigint")
 
 
+def near_prints(differ: np.ndarray, differ2: np.ndarray, distance: int, second: int) -> np.ndarray:
+    """Whether one half is within ``distance`` and the other within ``second``, whichever they are."""
+    ok = np.zeros(len(differ), bool)
+    for one, other in ((differ, differ2), (differ2, differ)):
+        rest = np.flatnonzero(~ok)
+        ok[rest] = passes(one[rest], distance) & (np.bitwise_count(other[rest]) <= second)
+    return ok
+
+
+def buckets(points: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(key, node, size) of the nodes that share a key with others, staged, and the keys with a thousandth of all rows.
+
+    There are at most a thousand such keys, so they may come to the driver.
+    """
+    rows = points.select("node", F.explode("keys").alias("key"))
+    sizes = stage(rows.groupBy("key").agg(F.count("*").alias("size")), "bucket-sizes")
+    hot = _hot(sizes, "key", "size")
+    return stage(_spread(rows, sizes.filter("size > 1"), "key", "node", hot), "buckets"), hot
+
+
+def _hot(sizes: DataFrame, key: str, size: str) -> list[int]:
+    """Keys that hold a thousandth of all rows and at least a thousand of them."""
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    return [r[0] for r in sizes.filter(F.col(size) > max(1000, total / 1000)).select(key).collect()]
+
+
+def _spread(rows: DataFrame, table: DataFrame, key: str, by: str | Column, hot: list) -> DataFrame:
+    """Join ``rows`` with a table of one row per key; rows of the ``hot`` keys are dealt to ``SALTS`` tasks by ``by``."""
+    if not hot:
+        return rows.join(table, key)
+    few, none = F.col(key).isin(hot), F.lit(0).cast("bigint")
+    salted = rows.withColumn("_salt", F.when(few, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(none))
+    salts = F.when(few, F.sequence(none, F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(none))
+    return salted.join(table.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+
+
+def centred_pairs(members: DataFrame, hot: list[int]) -> DataFrame:
+    """(a, b): every member of a bucket (key, node, size) and the bucket's centre, each pair once."""
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    centres = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("c"))
+    centres = centres.select("key", F.col("c.node").alias("b"))
+    pairs = _spread(members, centres, "key", "node", hot).filter("node <> b")
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
+
+
+def open_tiles(members: DataFrame, labels: DataFrame, sets: DataFrame, hot: list[int]) -> DataFrame:
+    """(key, i, j, node, label, fp, fp2, shingles): members of the buckets with several labels, a tile for two blocks each."""
+    named = members.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = named.select("key", "node", "size", F.coalesce("root", "node").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    opened = _spread(named, several.select("key"), "key", "node", hot)
+    blocks = F.ceil(F.col("size") / TILE).cast("bigint")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    dealt = opened.select(
+        "key", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
+    )
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
+    return dealt.join(sets, "node").select("key", "i", "j", "node", "label", "fp", "fp2", "shingles")
+
+
+def linked_members(nodes: np.ndarray, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], distance: int, second: int, share: float) -> list[tuple[int, int]]:
+    """Links (nodes) that connect the labels of one tile's members that have a pair within the rule."""
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(*np.searchsorted(column, [at, at + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[part], column[part] - at] = 1
+        both += has @ has.T
+    i, j = np.nonzero(np.triu(both >= share * (sizes[:, None] + sizes[None, :] - both), 1) & (labels[:, None] != labels[None, :]))
+    near = near_prints(prints[i, 0] ^ prints[j, 0], prints[i, 1] ^ prints[j, 1], distance, second)
+    i, j = i[near], j[near]
+    links, group = [], np.unique(labels, return_inverse=True)[1]
+    for one in np.unique(i):
+        many = j[i == one]
+        other, first = np.unique(group[many], return_index=True)
+        new = other != group[one]
+        links += [(int(nodes[one]), int(nodes[m])) for m in many[first[new]]]
+        group[np.isin(group, other)] = group[one]
+    return links
+
+
+def open_links(tiles: DataFrame, distance: int, second: int, share: float) -> DataFrame:
+    """(a, b): what :func:`linked_members` finds in each tile."""
+    tile = ["key", "i", "j"]
+    dealt = tiles.repartition(*tile).sortWithinPartitions(*tile)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> pa.RecordBatch:
+            own = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            prints = np.stack([own.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("fp", "fp2")], 1)
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in own.column("shingles")]
+            nodes, labels = (own.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+            found = np.array(linked_members(nodes, labels, prints, sets, distance, second, share), np.int64).reshape(-1, 2)
+            return batch_like({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in tile], 1)
+            edges = np.r_[0, np.flatnonzero((np.diff(values, axis=0) != 0).any(axis=1)) + 1, batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                rows = batch.slice(a, b - a)
+                if held and any(held[-1].column(c)[0] != rows.column(c)[0] for c in tile):
+                    yield links()
+                    held.clear()
+                held.append(rows)
+        if held:
+            yield links()
+
+    return dealt.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def checked_links(docs: DataFrame, found: DataFrame, words: int, distance: int, second: int, share: float) -> DataFrame:
-    """(a, b): links between nodes of ``found`` that connect all proposed pairs of at least the share."""
-    points = stage(found.select("fp", "fp2", "node", "n").distinct(), "fingerprint-nodes")
-    groups = stage(components(node_links(points, distance, second)), "proposed-groups")
-    firsts = found.join(groups, "node", "left_semi").groupBy("node").agg(
+    """(a, b): links between nodes of ``found`` that connect all pairs which share a band and keep the rule."""
+    points = stage(found.select("node", "fp", "fp2", "keys").dropDuplicates(["node"]), "fingerprint-nodes")
+    members, hot = buckets(points)
+    met = stage(members.select("node").distinct(), "met-nodes")
+    firsts = found.join(met, "node", "left_semi").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("c")
     )
     chosen = firsts.select("node", *_row_keys("c.id", "c.content"))
@@ -348,12 +474,11 @@ def checked_links(docs: DataFrame, found: DataFrame, words: int, distance: int,
             own = [shingle_set(list(shingle_hashes(t, words))).view(np.int64) for t in raw(batch, "text")]
             yield batch_like({"node": batch.column("node"), "shingles": pa.array(own, pa.list_(pa.int64()))})
 
-    sets = stage(texts.mapInArrow(work, "node bigint, shingles array<bigint>"), "shingle-sets")
-    star = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    near = stage(similar(star, sets, share), "near-first")
-    label = groups.join(near, groups["node"] == near["a"], "left").select("node", F.coalesce("b", "node").alias("label"))
-    rest = stage(open_pairs(points.join(label, "node"), distance, second, share), "open-pairs")
-    return near.union(similar(rest, sets, share))
+    sets = texts.mapInArrow(work, "node bigint, shingles array<bigint>")
+    sets = stage(sets.join(points.select("node", "fp", "fp2"), "node"), "shingle-sets")
+    near = stage(similar(stage(centred_pairs(members, hot), "centred-pairs"), sets, distance, second, share), "near-first")
+    labels = stage(components(near), "first-groups")
+    return near.union(stage(open_links(open_tiles(members, labels, sets, hot), distance, second, share), "open-links"))
 
 
 #: Names of what tells rows apart: id, whether it is NULL, hash of the text.
@@ -382,23 +507,26 @@ def near_duplicates(
     """
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("text"))
     found = fingerprints(rows, "text", words, second is not None)
-    found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2", "node", "n"), "fingerprints")
+    found = stage(found.select("_doc.id", "_doc.content", "fp", "fp2", "node", "keys"), "fingerprints")
     if share is not None:
         roots = components(checked_links(rows, found, words, distance, second, share))
-        nodes = found.groupBy(F.col("node").alias("own")).agg(F.min("id").alias("low"))
+        nodes = found.groupBy(F.col("node").alias("own")).agg(F.min("id").alias("low"), F.count("*").alias("rows"))
         return _named(found.withColumn("own", F.col("node")), stage(nodes, "shingle-nodes"), roots, key)
-    nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low")), "fingerprint-nodes")
+    nodes = stage(found.groupBy("fp", "fp2").agg(F.min("id").alias("low"), F.count("*").alias("rows")), "fingerprint-nodes")
     links = fingerprint_links(nodes.select("fp", "fp2"), distance, second)
     if second is not None:
         turned = fingerprint_links(nodes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), distance, second)
         links = links.union(turned.select("a2", "a", "b2", "b"))
     roots = components(links.select(_node("a", "a2", second).alias("a"), _node("b", "b2", second).alias("b")))
-    nodes = nodes.select(_node("fp", "fp2", second).alias("own"), "low")
+    nodes = nodes.select(_node("fp", "fp2", second).alias("own"), "low", "rows")
     return _named(found.withColumn("own", _node("fp", "fp2", second)), nodes, roots, key)
 
 
 def _named(found: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """Rows of ``found`` with root and smallest id of their nodes (own, low), where ``roots`` has (node, root)."""
+    """Rows of ``found`` with root and smallest id of their nodes (own, low, rows), where ``roots`` has (node, root).
+
+    The copies of a text with a thousandth of all rows are dealt to many tasks.
+    """
     linked = nodes.join(roots, nodes["own"] == roots["node"]).select("own", "low", "root")
     linked = stage(linked.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS))), "linked-fingerprints")
     # a component of any size is dealt to many tasks: its smallest id is repeated once per salt
@@ -410,7 +538,8 @@ def _named(found: DataFrame, nodes: DataFrame, roots: DataFrame, key: str) -> Da
         F.coalesce("root", "own").alias("root"),
         F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("component")).alias("component"),
     )
-    return found.join(named, "own").select(F.col("id").alias(key), "content", "fp", "root", "component")
+    named = _spread(found, named, "own", F.monotonically_increasing_id(), _hot(nodes, "own", "rows"))
+    return named.select(F.col("id").alias(key), "content", "fp", "root", "component")
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -4,11 +4,12 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from cases import SCHEMA, rows
 from pyspark.sql import functions as F
 
-from hitgauge.llm import frames, licenses, merkle
+from hitgauge.llm import frames, licenses, merkle, simhash
 from hitgauge.llm.queries import LETTERS, op11_seekable_infill, op12_license_diagonals, op13_merkle_manifest
 from hitgauge.staging import stage_path
 
@@ -253,3 +254,67 @@ def test_empty_tables(spark, none, tmp_path):
     path = table(spark, none, tmp_path)
     for query in (op11_seekable_infill, op12_license_diagonals, op13_merkle_manifest):
         assert query(spark, path).collect() == []
+
+
+# --- near-duplicates by bands and centres
+
+
+def test_bands_meet_at_the_share():
+    draw = np.random.default_rng(3)
+    met = {}
+    for share in (0.5, 0.8, 0.9):
+        n, hits = 300, 0
+        both = round(2 * n * share / (1 + share))
+        for _ in range(200):
+            made = draw.integers(0, 2**63, 2 * n - both, np.uint64)
+            one, other = simhash.band_keys(np.sort(made[:n])), simhash.band_keys(np.sort(made[n - both :]))
+            hits += bool(set(one.tolist()) & set(other.tolist()))
+        met[share] = hits / 200
+    assert met[0.9] == 1 and met[0.8] > 0.96 and met[0.5] < 0.25
+
+
+def test_pairs_within_the_distance_pass_the_ring():
+    draw = np.random.default_rng(4)
+    for distance in (3, 12, 20):
+        bits = [int(draw.integers(0, 2 * distance)) for _ in range(300)]
+        differ = np.array([sum(1 << int(b) for b in draw.choice(64, n, replace=False)) for n in bits], np.uint64)
+        assert simhash.passes(differ, distance).tolist() == [n <= distance for n in bits]
+
+
+@pytest.mark.parametrize("size, tile", [(10, 1024), (60, 16), (200, 32)])
+def test_template_families_stay_narrow(spark, monkeypatch, size, tile):
+    """Members of a family around one page and of a family without one, in tiles of any size."""
+    draw = np.random.default_rng(size)
+    monkeypatch.setattr(simhash, "TILE", tile)
+
+    def edited(text, n):
+        at = int(draw.integers(5, len(text) - n - 5))
+        return text[:at] + [f"e{draw.integers(1 << 40)}" for _ in range(n)] + text[at + n :]
+
+    page, other = ([f"{x}{i}" for i in range(200)] for x in "ab")
+    texts = [page] + [edited(page, 12) for _ in range(size)] + [edited(other, 40) for _ in range(size)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = []
+    real = simhash.linked_members
+
+    def counted(*args):
+        out = real(*args)
+        assert len(out) < max(2, len(args[0]))  # a tile's links are fewer than its members
+        return out
+
+    monkeypatch.setattr(simhash, "linked_members", counted)
+    pairs, centred = [], simhash.centred_pairs
+    monkeypatch.setattr(simhash, "centred_pairs", lambda m, hot: (rows.append(m.count()), pairs.append(centred(m, hot)))[1] or pairs[-1])
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(docs, words=5, distance=20, second=20, share=0.8).collect()}
+    sets = [set(simhash.shingle_set(list(simhash.shingle_hashes(t.encode(), 5))).tolist()) for t in texts]
+    assert all(found[i] == 0 for i in range(size + 1) if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0]))
+    assert len({found[i] for i in range(size + 1, len(texts))}) == size
+    assert pairs[0].count() <= rows[0]
+
+
+def test_copies_of_one_text_in_a_hot_node(spark):
+    rows = [(i if i % 3 else None, "the same short text of some words" if i < 2500 else f"text {i} of its own kind") for i in range(2600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == 2600 and sum(r.component == 1 for r in found) >= 2500
