@@ -180,10 +180,12 @@ def write(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in raw(batch, "ids"):
-                total += np.bincount(np.frombuffer(ids, kind), minlength=vocabulary) if len(ids) > 4096 else 0
-            short = b"".join(x for x in raw(batch, "ids") if len(x) <= 4096)
-            total += np.bincount(np.frombuffer(short, kind), minlength=vocabulary)
+            column = batch.column("ids")
+            first, last = (column.offset, column.offset + len(column))
+            edges = np.frombuffer(column.buffers()[1], np.int32)[[first, last]]
+            numbers = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[1]].view(kind)
+            for at in range(0, len(numbers), 1 << 22):  # the values of a batch lie one after the other
+                total += np.bincount(numbers[at : at + (1 << 22)], minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield batch_like({"token": pa.array(seen), "n": pa.array(total[seen])})
 
