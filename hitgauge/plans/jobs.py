@@ -65,14 +65,15 @@ def load_csv_data(
     seed: int = 42,
     null_tokens: list[str] | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Queries and cache from CSV paths (local or object store).
 
-    Without ``id_col`` the rows are numbered in ``row_id`` once and staged. ``null_tokens`` and
-    ``multi_line`` are those of :func:`read_csv`.
+    Without ``id_col`` the rows are numbered in ``row_id`` once and staged. ``null_tokens``, ``multi_line`` and
+    ``split`` are those of :func:`read_csv`.
     """
     def read(path: str) -> DataFrame:
-        rows = read_csv(spark, path, schema, null_tokens, multi_line)
+        rows = read_csv(spark, path, schema, null_tokens, multi_line, split)
         return rows if id_col else with_row_ids(rows)
 
     cache = read(cache_path) if cache_path else None

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from hitgauge.sources.split_csv import read_split_csv
+
 # Hadoop setting for AES256 server-side encryption of everything written to s3a paths.
 ENCRYPTED_OUTPUT = {"spark.hadoop.fs.s3a.encryption.algorithm": "AES256"}
 
@@ -26,15 +28,20 @@ def read_csv(
     schema: StructType | str | None = None,
     null_tokens: list[str] | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
     Give a schema where it is known: without one Spark reads the files twice to infer the types.
-    Texts in ``null_tokens`` become NULL after the read. A file with line breaks inside quotes
-    cannot be split; without any, ``multi_line=False`` reads large files in many tasks.
+    Texts in ``null_tokens`` become NULL after the read. Spark reads a file with line breaks inside quotes in one
+    task; ``split`` reads large ones in many (see :mod:`hitgauge.sources.split_csv`), and without such line breaks
+    ``multi_line=False`` does so more cheaply.
     """
     if not path:
         raise ValueError("path must be given")
+    if split:
+        df = read_split_csv(spark, path, schema)
+        return null_missing(df, null_tokens) if null_tokens else df
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return null_missing(df, null_tokens) if null_tokens else df
