@@ -507,7 +507,7 @@ add("judge_udf", *DOC_BENCH,
 
 add("csv_round_trip",
     select="SELECT doc_id, md5(text) AS text_md5, length(text)::INTEGER AS n_chars, lang FROM documents")
-ORACLES["csv_round_trip_gzip"] = ORACLES["csv_round_trip"]
+ORACLES["csv_round_trip_gzip"] = ORACLES["csv_round_trip_split"] = ORACLES["csv_round_trip"]
 add("csv_missing_values",
     select="SELECT o_orderkey, nullif(o_orderstatus, 'P') AS status FROM orders")
 add("runs_partitioned", SCORED, *sweep(RUN_KEYS),
