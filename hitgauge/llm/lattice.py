@@ -12,12 +12,15 @@ of the training documents; ``passes`` of expectation and maximisation then repla
 frequencies over all segmentations (forward and backward sums over the counted words). The word counts
 behind them also give the base score.
 
+Words of more than ``SHORT`` bytes are taken one by one, in stretches: only sums per place are held for the whole word, and
+pieces are found for a stretch at a time by following their common beginnings.
+
 Plan: training words are counted in tasks, then in one shuffle, and staged. The most frequent ones (at most
-``HEAD_WORDS`` short words, cut by a histogram of the counts) go to all tasks with count and likelihood; so hot words never are
-join keys. A second pass over the texts sums up what the head and the lattice tell and lists only the
+``HEAD_WORDS`` words of ``HEAD_BYTES`` bytes in all, cut by a histogram of the counts; a word of more than 64 bytes needs a count
+higher by its length) go to all tasks with count and likelihood; so hot words never are join keys. A second pass over the texts sums up what the head and the lattice tell and lists only the
 other words of each document, which are joined with the staged counts.
 
-Cases: NULL and blank texts have the end as their only token; a word of any length is scored; without
+Cases: NULL and blank texts have the end as their only token; a word of any length is learned from and scored; without
 training documents all counts are 0 and pieces have equal probabilities; rows that repeat an id are scored
 one by one; a NULL id is kept; an empty table gives an empty table.
 """
@@ -25,6 +28,7 @@ one by one; a NULL id is kept; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,11 +44,13 @@ from hitgauge.llm.texts import batch_like, numbered, raw, slices
 from hitgauge.staging import stage
 
 SMOOTHING = 0.5
-HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
+HEAD_WORDS, HEAD_BYTES = 1 << 18, 1 << 25
 #: Distinct words a task holds before it hands their counts on.
 HELD_WORDS = 400_000
 #: Words up to this length are scored together with others of their length.
 SHORT = 48
+#: Places of a longer word whose pieces are found at once.
+STRETCH = 1 << 16
 LN10 = math.log(10)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +77,7 @@ class Lattice:
     end: float
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     pieces: dict[int, list[bytes]] = field(default_factory=dict)
+    beginnings: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.scores))
@@ -80,20 +87,79 @@ class Lattice:
             order = np.argsort(codes)
             self.tables[size] = codes[order], np.array([s for _, s in own])[order]
             self.pieces[size] = [own[i][0] for i in order]
+        for size in range(1, self.longest + 1):
+            begun = {p[:size] for p in self.scores if len(p) >= size}
+            self.beginnings[size] = np.sort(_prefixes(np.frombuffer(b"".join(begun), np.uint8).reshape(-1, size))[:, -1])
+
+    def _found(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stop, size, place in the size's table) of the pieces of a word that stop after ``low`` and up to ``high``, by stop."""
+        start = np.arange(max(0, low + 1 - self.longest), high)
+        code = np.zeros(len(start), np.uint64)
+        found = [(np.empty(0, np.int64),) * 3]
+        for size in range(1, self.longest + 1):
+            inside = start + size <= high
+            start, code = start[inside], code[inside]
+            code = code * BASE + data[start + size - 1].astype(np.uint64) + np.uint64(1)
+            begun = _places(self.beginnings[size], code) >= 0
+            start, code = start[begun], code[begun]
+            if not len(start):
+                break
+            if size in self.tables:
+                at = _places(self.tables[size][0], code)
+                hit = np.flatnonzero((at >= 0) & (start + size > low))
+                found.append((start[hit] + size, np.full(len(hit), size), at[hit]))
+        stops, sizes, at = map(np.concatenate, zip(*found))
+        order = np.argsort(stops, kind="stable")
+        return stops[order], sizes[order], at[order]
+
+    def _scores_of(self, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
+        for size in np.unique(sizes):
+            own = sizes == size
+            out[own] = self.tables[size][1][at[own]]
+        return out
+
+    def _long_forward(self, data: np.ndarray) -> np.ndarray:
+        """Log sums over all ways to write a word up to each place."""
+        alpha = array("d", bytes(8 * (len(data) + 1)))
+        exp, log = math.exp, math.log
+        for low in range(0, len(data), STRETCH):
+            high = min(low + STRETCH, len(data))
+            stops, sizes, at = self._found(data, low, high)
+            starts, scores = (stops - sizes).tolist(), self._scores_of(sizes, at).tolist()
+            cuts = np.searchsorted(stops, np.arange(low + 1, high + 2)).tolist()
+            for place in range(low + 1, high + 1):
+                ways = [alpha[starts[i]] + scores[i] for i in range(cuts[place - low - 1], cuts[place - low])]
+                top = max(ways)
+                alpha[place] = top + log(sum([exp(x - top) for x in ways]))
+        return np.frombuffer(alpha)
 
     def long_word(self, word: bytes) -> float:
-        """Log probability of one word, a piece at a time."""
-        alpha = [0.0] + [-math.inf] * len(word)
-        get = self.scores.get
-        for stop in range(1, len(word) + 1):
-            found = [
-                alpha[start] + s
-                for start in range(max(0, stop - self.longest), stop)
-                if (s := get(word[start:stop])) is not None
-            ]
-            top = max(found)
-            alpha[stop] = top + math.log(sum(math.exp(x - top) for x in found))
-        return alpha[-1]
+        """Log probability of one word, a stretch at a time."""
+        return float(self._long_forward(np.frombuffer(word, np.uint8))[-1])
+
+    def long_expected(self, word: bytes, times: float, total: dict[int, np.ndarray]) -> None:
+        """Add to ``total`` (by size) how often each piece is expected in one word, a stretch at a time.
+
+        Stretches go from the last to the first: the chance to pass a place is dealt to the pieces that stop there by
+        their shares of the forward sum, and on to the places where they start.
+        """
+        data = np.frombuffer(word, np.uint8)
+        alpha = self._long_forward(data)
+        first = (len(data) - 1) // STRETCH * STRETCH
+        passed = [0.0] * (len(data) - first + self.longest) + [1.0]  # of the places from low - longest to high
+        for low in range(first, -1, -STRETCH):
+            high = min(low + STRETCH, len(data))
+            stops, sizes, at = self._found(data, low, high)
+            share = np.exp(alpha[stops - sizes] + self._scores_of(sizes, at) - alpha[stops])
+            places = stops - low + self.longest
+            for stop, size, part in zip(places[::-1].tolist(), sizes[::-1].tolist(), share[::-1].tolist()):
+                passed[stop - size] += passed[stop] * part
+            chance = np.array(passed)[places] * share * times
+            for size in np.unique(sizes):
+                own = sizes == size
+                total[size] += np.bincount(at[own], weights=chance[own], minlength=len(total[size]))
+            passed = [0.0] * STRETCH + passed[: self.longest + 1]
 
     def _forward(self, data: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """(sums up to each place, [stop, size, rows, places in the size's table] of all pieces found)"""
@@ -133,7 +199,11 @@ class Lattice:
         """By size, the expected number of each piece (in the order of the size's table) in counted words."""
         total = {size: np.zeros(len(keys)) for size, (keys, _) in self.tables.items()}
         for own, data in _by_length(words):
-            self.equal_expected(data, times[own], total)
+            if data.shape[1] <= SHORT:
+                self.equal_expected(data, times[own], total)
+            else:
+                for word, n in zip(data, times[own]):
+                    self.long_expected(word.tobytes(), n, total)
         return total
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -162,6 +232,12 @@ def _prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each code among the sorted keys, -1 where it is not there."""
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return np.where(keys[at] == codes, at, -1)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word binary, n): words of all texts in lower case, counted."""
 
@@ -240,16 +316,17 @@ def _improved(words: DataFrame, n_docs: int, lattice: Lattice) -> Lattice:
 
 
 def _frequent(counts: DataFrame) -> DataFrame:
-    """The most frequent short words: at most ``HEAD_WORDS``, by steps of an eighth of a doubling."""
-    short = counts.filter(F.octet_length("word") <= HEAD_BYTES)
-    step = F.floor(F.log2(F.col("n")) * 8)
-    taken, cut = 0, None
-    for row in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        taken += row["count"]
-        if taken > HEAD_WORDS:
+    """The most frequent words, at most ``HEAD_WORDS`` of ``HEAD_BYTES`` bytes, by steps of an eighth of a doubling."""
+    size = F.octet_length("word")
+    step = F.floor(F.log2(F.col("n") * 64 / F.greatest(size, F.lit(64))) * 8)
+    words, octets, cut = 0, 0, None
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum(size).alias("octets"))
+    for row in steps.orderBy(F.desc("step")).collect():
+        words, octets = words + row["words"], octets + row["octets"]
+        if words > HEAD_WORDS or octets > HEAD_BYTES:
             break
         cut = row["step"]
-    return short.filter(step >= cut) if cut is not None else short.limit(0)
+    return counts.filter(step >= cut) if cut is not None else counts.limit(0)
 
 
 def score(

@@ -500,6 +500,29 @@ def test_expected_pieces(counted):
             assert abs(wanted[piece] - x) < 1e-6
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1 << 16])
+def test_long_words_are_taken_in_stretches(monkeypatch, stretch):
+    scores = {b" ": -2.0, b"a": -1.5, b"b": -1.0, b" a": -0.9, b"ab": -1.2, b"bab": -3.0, b" ab": -2.2, b"abab": -2.5}
+    model = lattice.Lattice(scores, -1.0)
+    monkeypatch.setattr(lattice, "STRETCH", stretch)
+    for word in (b"a", b"ab", b"abbabab", b"ab" * 40 + b"bba" * 9):
+        data = np.frombuffer(b" " + word, np.uint8).reshape(1, -1)
+        wanted, found = ({size: np.zeros(len(keys)) for size, (keys, _) in model.tables.items()} for _ in "ab")
+        model.equal_expected(data, np.array([3]), wanted)
+        model.long_expected(b" " + word, 3, found)
+        assert all(np.allclose(wanted[size], found[size]) for size in wanted)
+        assert np.isclose(model.long_word(b" " + word), model.equal_words(data)[0])
+
+
+def test_a_word_of_a_million_bytes(spark):
+    rng = np.random.default_rng(5)
+    block = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8), 1_000_000)).decode()
+    docs = spark.createDataFrame([(1, "some words " + block), (2, "more words")], "doc_id bigint, text string")
+    short, long = sorted(lattice.score(docs, docs, PIECES).collect(), key=lambda r: -r.doc_id)
+    assert (long.n_tokens, long.n_known, short.n_tokens) == (4, 4, 3)
+    assert math.isfinite(long.score) and long.score < -1_000_000 * 0.5 < short.score
+
+
 def test_passes_raise_the_likelihood(spark, sample):
     counts = lattice.word_counts(sample.select("text")).cache()
     likely = []
@@ -528,10 +551,11 @@ def test_scores_of_odd_rows(docs, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in bare)
 
 
-def test_rare_words_are_joined(docs, monkeypatch):
+@pytest.mark.parametrize("head", [("HEAD_WORDS", 5), ("HEAD_BYTES", 12), ("HEAD_BYTES", 0)])
+def test_rare_words_are_joined(docs, monkeypatch, head):
     trained = docs.filter("doc_id % 2 = 0")
     whole = sorted(map(tuple, lattice.score(docs, trained, PIECES).collect()), key=str)
-    monkeypatch.setattr(lattice, "HEAD_WORDS", 5)
+    monkeypatch.setattr(lattice, *head)
     few = sorted(map(tuple, lattice.score(docs, trained, PIECES).collect()), key=str)
     assert [x[:4] for x in whole] == [x[:4] for x in few]
     assert np.allclose([x[4:] for x in whole], [x[4:] for x in few])
