@@ -12,15 +12,16 @@ written as one partitioned Parquet table instead, see :func:`write_runs`.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitgauge.functions.names import ORGANISATIONS, model_from_folder
 from hitgauge.sources.csv_files import write_csv
-from hitgauge.staging import stage, stage_path
+from hitgauge.staging import stage
 
 # Names of the result tables.
 CHR_MATCHES = "chr_matches.csv"
@@ -35,8 +36,6 @@ SWEEP_SCHEMA = (
     "accuracy DOUBLE"
 )
 RUN_KEYS = ["dataset", "model", "run"]
-# Runs of a results tree that are written at the same time.
-WRITERS = 8
 
 # Path of a table below the base: dataset, folder, (run, stamp,) table, (part file).
 _TABLE = "(" + "|".join(t.replace(".", r"\.") for t in (CHR_MATCHES, CHR_SWEEP, MATCHES, JUDGED, SWEEP)) + ")"
@@ -70,34 +69,44 @@ def write_runs(df: DataFrame, path: str) -> None:
 def write_run_tree(sweeps: DataFrame, judged: DataFrame | None, output_dir: str, stamp: str | None) -> None:
     """Write the CSV tables of every run into the results tree, in the old layout without ``stamp``.
 
-    The runs are staged by their keys first, so the files of a run are written from its own
-    partition, several runs at a time. :func:`write_runs` has no loop over the runs.
+    One write per table for all runs: Spark writes a folder per run below a hidden folder of ``output_dir``, and once all
+    are complete each is renamed to its place, where it replaces what was there. A sweep is one file, thresholds in order;
+    judged rows of a run are brought together, and AQE splits a run that is too large for one task. A NULL in a
+    run's keys raises.
     """
-    spark = sweeps.sparkSession
-    staged = {}
-    for name, df in ((SWEEP, sweeps), (JUDGED, judged)):
-        if df is not None:
-            path = stage_path(spark, "tree")
-            df.write.partitionBy(*RUN_KEYS).parquet(path)
-            staged[name] = spark.read.schema(df.schema).parquet(path)
-
-    def write(row: Row) -> None:
-        safe = row.model.replace("/", "_")
-        out = (
-            run_dir(output_dir, row.dataset, safe, row.run, stamp) if stamp
-            else f"{output_dir.rstrip('/')}/{row.dataset}/{safe}"
-        )
-        same = (F.col("dataset") == row.dataset) & (F.col("model") == row.model) & (F.col("run") == row.run)
-        for name, df in staged.items():
-            mine = df.filter(same).drop(*RUN_KEYS)
-            if name == SWEEP:
-                write_sweep(mine, out, name)
-            else:
-                write_csv(mine, out, name)
-
-    runs = staged[SWEEP].select(*RUN_KEYS).distinct().collect()
-    with ThreadPoolExecutor(WRITERS) as writers:
-        list(writers.map(write, runs))
+    base = output_dir.rstrip("/")
+    safe = F.replace("model", F.lit("/"), F.lit("_"))
+    parts = ["dataset", safe, *([F.concat(F.lit("run_"), F.col("run").cast("string")), F.lit(stamp)] if stamp else [])]
+    place = F.array_join(F.array(*parts), "/")
+    complete = F.col("dataset").isNotNull() & F.col("model").isNotNull() & F.col("run").isNotNull()
+    place = F.when(complete, place).otherwise(F.raise_error(F.lit("a run has a NULL in its keys")))
+    hidden = f"{base}/_writing-{uuid.uuid4().hex}"
+    tables = {SWEEP: sweeps} if judged is None else {SWEEP: sweeps, JUDGED: judged}
+    for name, df in tables.items():
+        rows = df.withColumn("_place", place).drop(*RUN_KEYS)
+        if name == SWEEP:
+            rows = rows.repartition("_place").sortWithinPartitions("_place", "threshold_idx").drop("threshold_idx")
+        else:
+            rows = rows.hint("rebalance", "_place")
+        write_csv(rows, hidden, name, partition_by=["_place"])
+    _move_runs(sweeps.sparkSession, hidden, list(tables), base)
+
+
+def _move_runs(spark: SparkSession, hidden: str, tables: list[str], base: str) -> None:
+    """Rename the written folders ``hidden/<table>/_place=<escaped place>`` to ``base/<place>/<table>``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(hidden).getFileSystem(spark._jsc.hadoopConfiguration())
+    for table in tables:
+        for found in files.listStatus(path(f"{hidden}/{table}")):
+            name = found.getPath().getName()
+            if not name.startswith("_place="):
+                continue
+            target = path(f"{base}/{unquote(name.removeprefix('_place='))}/{table}")
+            files.mkdirs(target.getParent())
+            files.delete(target, True)
+            if not files.rename(found.getPath(), target):
+                raise OSError(f"cannot move {found.getPath()} to {target}")
+    files.delete(path(hidden), True)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """CSV files, result tables and the results tree."""
 
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -10,7 +11,7 @@ from hitgauge.operators.sweep import sweep_thresholds
 from hitgauge.plans import jobs
 from hitgauge.sources.csv_files import NULL_TOKENS, read_csv, write_csv
 from hitgauge.sources.result_tables import (
-    JUDGED, SWEEP, crawl_runs, read_run_judgements, read_run_sweeps, read_runs, run_dir, write_sweep,
+    JUDGED, SWEEP, crawl_runs, read_run_judgements, read_run_sweeps, read_runs, run_dir, write_run_tree, write_sweep,
 )
 from hitgauge.staging import attach, stage, stage_root
 
@@ -107,6 +108,37 @@ def test_tree_equals_tables_in_memory(spark, tmp_path):
     assert [tuple(r) for r in read.collect()] == [tuple(r) for r in direct.collect()]
 
 
+def test_tree_of_many_runs_is_one_write(spark, tmp_path):
+    def tree(runs, base, stamp="2024_01_01_00_00_00"):
+        rows = pairs(spark, 30).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(runs)))).select(
+            F.concat(F.lit("a set: 100%_"), F.col("n") % 2, F.lit("é.csv")).alias("dataset"),
+            F.lit("org/m=1").alias("model"), F.col("n").alias("run"), "*",
+        ).drop("n")
+        group = uuid.uuid4().hex
+        sweeps = sweep_thresholds(rows, ["dataset", "model", "run"])
+        spark.sparkContext.setJobGroup(group, group)
+        write_run_tree(sweeps, rows, base, stamp)
+        jobs_run = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return jobs_run
+
+    few, many = tree(2, str(tmp_path / "few")), tree(12, str(tmp_path / "many"))
+    assert few == many
+    assert tree(12, str(tmp_path / "many")) == many  # once more: replaced, not added
+    base = tmp_path / "many"
+    assert sorted(p.name for p in base.iterdir()) == ["a set: 100%_0é.csv", "a set: 100%_1é.csv"]
+    runs = crawl_runs(spark, str(base))
+    assert runs.count() == 12
+    sizes = {(r.dataset, r.run): r["count"] for r in read_run_judgements(runs).groupBy("dataset", "run").count().collect()}
+    assert sizes == {(f"a set: 100%_{n % 2}é.csv", f"run_{n}"): 30 for n in range(1, 13)}
+    (part,) = (base / "a set: 100%_1é.csv" / "org_m=1" / "run_3" / "2024_01_01_00_00_00" / SWEEP).glob("part-*.csv")
+    thresholds = [float(line.split(",")[0]) for line in part.read_text().splitlines()[1:]]
+    assert thresholds == sorted(thresholds) and len(thresholds) == 30
+    nameless = pairs(spark, 3).withColumns({"dataset": F.lit(None).cast("string"), "model": F.lit("m"), "run": F.lit(1)})
+    with pytest.raises(Exception, match="NULL in its keys"):
+        write_run_tree(sweep_thresholds(nameless, ["dataset", "model", "run"]), None, str(tmp_path / "none"), None)
+
+
 def test_model_names(spark):
     stamp = "_2024_01_02_03_04_05"
     cases = {
