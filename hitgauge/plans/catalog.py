@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hitgauge.functions import names as N
 from hitgauge.functions import vectors as V
 from hitgauge.functions.metrics import f_beta
-from hitgauge.operators import checks, curves, density, judging, leaderboard, matching, sampling, sweep
+from hitgauge.operators import checks, curves, density, judging, leaderboard, matching, sampling, sweep, verdicts
 from hitgauge.operators.encoding import (
     batch_encoder, dimension_check, encode_distinct, encode_rows, hashed_token_encoder, with_embeddings,
 )
@@ -457,6 +457,35 @@ def judge_udf(spark, sf):
     return judged.select("doc_id", "match_id", "response", "error")
 
 
+@query
+def judge_remembered(spark, sf):
+    """Pairs of a document and its nearest passage, judged in two jobs with one table of verdicts.
+
+    The first job judges the English documents. ``asked`` tells which pairs the second one, over all documents, had
+    to ask for: those without a verdict yet, failed ones included.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    cache = table(spark, sf, "benchmark")
+    matched = jobs.run_matching(docs, cache, id_col="doc_id", cache_id="item_id", order="item_id", score_digits=6)
+    path, questions = stage_path(spark, "verdict-table"), []
+
+    def ask(pairs):
+        said = judging.judge_pairs(pairs, _shared_words_judge, batch_size=16, preprocess=F.lower)
+        questions.append(stage(said.select("text", "matches", "response"), "asked"))
+        return questions[-1]
+
+    judge = verdicts.remembered(ask, path, "shared words")
+    matched = stage(matched.select("doc_id", "lang", "match_id", "text", "matches"), "pairs")
+    judge(matched.filter("lang = 'en'").select("text", "matches"))
+    answers = judge(matched.select("text", "matches").distinct())
+    again = questions[1].select(verdicts.pair_key(verdicts.PAIR).alias("k"), F.lit(True).alias("asked"))
+    keyed = matched.select("doc_id", "match_id", verdicts.pair_key(verdicts.PAIR).alias("k"))
+    said = answers.select(verdicts.pair_key(verdicts.PAIR).alias("k"), "response")
+    return keyed.join(said, "k").join(again, "k", "left").select(
+        "doc_id", "match_id", "response", F.coalesce("asked", F.lit(False)).alias("asked")
+    )
+
+
 # ---- metrics and sweeps -----------------------------------------------------------------------
 
 

@@ -492,15 +492,20 @@ add("judge_join", VERDICTS, FIRST,
 add("judge_join_usable_only", VERDICTS,
     select="""SELECT doc_id::VARCHAR AS text, lang, 0.5::DOUBLE AS similarity_score,
     (response = 'yes')::INTEGER AS actual_label FROM verdicts WHERE response IS NOT NULL""")
-add("judge_udf", *DOC_BENCH,
-    r"""said AS (SELECT qid AS doc_id, cid AS match_id,
+SHARED_WORDS = (
+    r"""said AS (SELECT qid AS doc_id, cid AS match_id, q.text AS text,
        list_distinct(regexp_extract_all(lower(q.text), '[^\x20\x09-\x0D]+')) AS a,
        list_distinct(regexp_extract_all(lower(c.text), '[^\x20\x09-\x0D]+')) AS b
        FROM best JOIN rows q ON q.id = qid JOIN bench c ON c.id = cid),
-    judged AS (SELECT doc_id, match_id, CASE WHEN len(list_intersect(a, b)) = 0 THEN NULL
-       WHEN 5 * len(list_intersect(a, b)) >= len(b) THEN 'yes' ELSE 'no' END AS response FROM said)""",
+    judged AS (SELECT doc_id, match_id, text, CASE WHEN len(list_intersect(a, b)) = 0 THEN NULL
+       WHEN 5 * len(list_intersect(a, b)) >= len(b) THEN 'yes' ELSE 'no' END AS response FROM said)""")
+add("judge_udf", *DOC_BENCH, SHARED_WORDS,
     select="""SELECT doc_id, match_id, response, CASE WHEN response IS NULL THEN 'no answer' END AS error
     FROM judged""")
+add("judge_remembered", *DOC_BENCH, SHARED_WORDS,
+    select="""SELECT j.doc_id, match_id, response, response IS NULL OR NOT EXISTS (
+      SELECT * FROM judged e JOIN documents d ON d.doc_id = e.doc_id
+      WHERE d.lang = 'en' AND e.text = j.text AND e.match_id = j.match_id) AS asked FROM judged j""")
 
 
 # ---- sources and sinks ------------------------------------------------------------------------
