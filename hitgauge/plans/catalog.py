@@ -23,7 +23,7 @@ from hitgauge.operators.encoding import (
 )
 from hitgauge.operators.summary import score_summary
 from hitgauge.plans import charts, jobs
-from hitgauge.sources import csv_files, result_tables
+from hitgauge.sources import csv_files, result_tables, vector_index
 from hitgauge.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +194,28 @@ def index_search(spark, sf):
     return hits.withColumn("vector_distance", F.round("vector_distance", 6))
 
 
+@query
+def index_updated(spark, sf):
+    """An index that is loaded, added to, partly replaced and partly removed, then searched and compacted.
+
+    The first load lacks label 0, which comes later with new texts for label 1; label 2 is removed and a part of its
+    vectors comes back. ``n_rows`` counts the compacted table.
+    """
+    queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)
+    path = stage_path(spark, "vector-index")
+    made = {"id_col": "vec_id", "extras": ["label"], "path": path}
+    jobs.build_index(cache.filter("label <> 0"), **made)
+    jobs.build_index(cache.filter("label IN (0, 1)").withColumn("text", F.concat(F.lit("new "), "text")), **made)
+    gone = cache.filter("label = 2")
+    vector_index.remove(gone.select(F.col("vec_id").alias("key")), path)
+    index = jobs.build_index(gone.filter("md5(concat('42|', vec_id)) < 'a'"), **made)
+    hits = stage(jobs.search_index(queries, index, id_col="vec_id", k=3), "hits")
+    vector_index.compact(spark, path)
+    vector_index.prune(spark, path)
+    n_rows = vector_index.read(spark, path).select(F.count("*")).scalar()
+    return hits.withColumns({"vector_distance": F.round("vector_distance", 6), "n_rows": n_rows})
+
+
 @query
 def index_match(spark, sf):
     queries, cache = sampling.split_queries_cache(embeddings(spark, sf), "vec_id", 100)

@@ -398,6 +398,11 @@ add("match_topk", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100",
 add("index_search", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100", "c.id", k=3),
     select="""SELECT qid AS vec_id, rnk::INTEGER AS rank, round(1 - score, 6) AS vector_distance,
     'cache:' || cid AS id, cid || '#' || label AS text, label FROM best JOIN rows r ON r.id = cid""")
+LEFT_IN_INDEX = "rows WHERE rn > 100 AND (label <> 2 OR md5('42|' || id) < 'a')"
+add("index_updated", VEC_ROWS, *best("rows WHERE rn <= 100", LEFT_IN_INDEX, "c.id", k=3),
+    select=f"""SELECT qid AS vec_id, rnk::INTEGER AS rank, round(1 - score, 6) AS vector_distance,
+    'cache:' || cid AS id, CASE WHEN label < 2 THEN 'new ' ELSE '' END || cid || '#' || label AS text, label,
+    (SELECT count(*) FROM {LEFT_IN_INDEX}) AS n_rows FROM best JOIN rows r ON r.id = cid""")
 add("index_match", VEC_ROWS, *best("rows WHERE rn <= 100", "rows WHERE rn > 100", "c.id"),
     select="""SELECT qid AS vec_id, qid || '#' || q.label AS text, cid || '#' || c.label AS matches,
     round(score, 6) AS best_scores FROM best JOIN rows q ON q.id = qid JOIN rows c ON c.id = cid""")

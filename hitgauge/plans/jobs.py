@@ -22,6 +22,7 @@ from hitgauge.operators.matching import attach_match, match_top_k, match_with_te
 from hitgauge.operators.sampling import RunMarks, bootstrap_cuts, bootstrap_marker, split_queries_cache
 from hitgauge.operators.summary import score_summary
 from hitgauge.operators.sweep import MAX_STEPS, sweep_thresholds
+from hitgauge.sources import vector_index
 from hitgauge.sources.csv_files import read_csv, write_csv
 from hitgauge.sources.result_tables import (
     CHR_MATCHES, CHR_SWEEP, JUDGED, MATCHES, RUN_KEYS, SWEEP, judged_table, matches_table, write_runs,
@@ -143,9 +144,18 @@ def build_index(
     vector: str = "embedding",
     prefix: str = "cache:",
     extras: Sequence[str] = (),
+    path: str | None = None,
 ) -> DataFrame:
-    """A fresh, staged vector table with the vectors as they are (not normalised)."""
-    return stage(vector_table(cache, id_col, text, vector, prefix, extras), "index")
+    """A vector table with the vectors as they are (not normalised).
+
+    Without a path it is fresh and staged. With one, the documents are added to the table kept there, which is made if there
+    is none; they replace those of the same key (see :mod:`hitgauge.sources.vector_index`)."""
+    rows = vector_table(cache, id_col, text, vector, prefix, extras)
+    if path is None:
+        return stage(rows, "index")
+    spark = cache.sparkSession
+    (vector_index.create if vector_index.latest(spark, path) is None else vector_index.add)(rows, path)
+    return vector_index.read(spark, path)
 
 
 def search_index(
