@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 MULTIPLIER = 2862933555777941757
 WORD, HALF, SHIFT = 2**64, 2**31, 2**33
 
+#: Steps that every key takes. About ln(shards) are needed, so hardly any key takes more; those that do go on.
+STEPS = 32
+
 #: Slots are counted per shard and bucket; 16**3 buckets, whatever the number of rows.
 BUCKET_DIGITS = 3
 
@@ -35,7 +38,8 @@ def jump_shard(key: Column, shards: int) -> Column:
     """Shard of a long key, 0 to ``shards`` - 1.
 
     Every jump goes at least one shard on, so ``shards`` steps always end the loop; steps after the
-    last jump change nothing. The state is an unsigned 64-bit number kept as a decimal.
+    last jump change nothing. Only keys that are not done after ``STEPS`` take the others. The state
+    is an unsigned 64-bit number kept as a decimal.
     """
     if shards < 1:
         raise ValueError("there must be at least one shard")
@@ -58,8 +62,17 @@ def jump_shard(key: Column, shards: int) -> Column:
         F.lit(0).cast("bigint").alias("next"),
         draw(unsigned).alias("state"),
     )
-    steps = F.sequence(F.lit(1), F.lit(shards))
-    return F.aggregate(steps, start, step, lambda s: s["shard"]).cast("int")
+    def walk(first: int, last: int, state: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last)), state, step)
+
+    if shards <= STEPS:
+        return walk(1, shards, start)["shard"].cast("int")
+    # an array of the one state, so that the first steps are not computed again for each of its uses
+    reached = F.transform(
+        F.array(walk(1, STEPS, start)),
+        lambda s: F.when(s["next"] < shards, walk(STEPS + 1, shards, s)["shard"]).otherwise(s["shard"]),
+    )
+    return F.element_at(reached, 1).cast("int")
 
 
 def shard_rows(df: DataFrame, key: str, shards: int, tie: list[str] | None = None) -> DataFrame:

@@ -41,6 +41,18 @@ def test_jump_is_the_published_hash(spark):
     assert (jump(42, 57), jump(0xDEAD10CC, 666), jump(256, 1024)) == (43, 361, 520)
 
 
+def test_jumps_beyond_the_first_steps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEPS", 3)
+    df = spark.range(200).withColumn("s", sharding.jump_shard(F.col("id"), 500))
+    assert {r.id: r.s for r in df.collect()} == {k: jump(k, 500) for k in range(200)}
+
+
+def test_many_shards(spark):
+    keys = [0, 7, -5, 2**63 - 1, 123456789]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").withColumn("s", sharding.jump_shard(F.col("k"), 100_000))
+    assert {r.k: r.s for r in df.collect()} == {k: jump(k, 100_000) for k in keys}
+
+
 def test_shards_of_odd_rows(docs, none):
     out = sharding.shard_rows(docs, "doc_id", 3, tie=["text"]).collect()
     assert len(out) == docs.count()
