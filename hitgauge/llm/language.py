@@ -8,7 +8,8 @@ shortest code for the whole text wins; the score is its share of the probabiliti
 languages with equal priors.
 
 The trees are learned from a bounded sample of labelled rows: per language the ``rows_per_language``
-texts of 1 to ``longest`` bytes with the smallest hashes of their keys. All texts are scored whole.
+texts with the smallest hashes of their keys, and of a text of more than ``longest`` characters a piece of that
+many, from a place that the hash chooses. So a language of long texts only is learned as well. All texts are scored whole.
 
 Cases: NULL and texts without a letter are ``und`` with score 0, as is everything if nothing was
 learned; equal code lengths go to the first language in code-point order; repeated rows get equal
@@ -122,10 +123,12 @@ def learn(
     longest: int = 20_000,
 ) -> Trees:
     """Trees from the sample described above. What comes to the driver are the sample's distinct codes."""
-    size = F.octet_length(text)
-    rows = labelled.select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("draw")
-    ).filter(F.col("lang").isNotNull() & size.between(1, longest))
+    draw, size = F.xxhash64(key), F.char_length(text)
+    place = F.pmod(F.xxhash64(draw), size - longest + 1) + 1
+    piece = F.when(size > longest, F.substr(F.col(text), place.cast("int"), F.lit(longest))).otherwise(F.col(text))
+    rows = labelled.filter(F.octet_length(text) > 0).select(
+        F.col(lang).cast("string").alias("lang"), piece.alias("text"), draw.alias("draw")
+    ).filter(F.col("lang").isNotNull())
     # a first cut by the expected share leaves few more rows per language than wanted, whatever its size
     sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("rows")), "language-sizes")
     near = rows_per_language + 10 * rows_per_language**0.5 + 10

@@ -138,6 +138,18 @@ def test_language_of_odd_rows(spark, docs, none):
     assert language.predict(none, trees).count() == 0
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    said = {"aa": "abba baba ", "bb": "zyxw wxyz ", "cc": "äöü üöä "}
+    rows = [(i, said[x] * (3000 if x != "bb" else 5), x) for i, x in enumerate(sorted(said) * 3)]
+    trees = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), longest=1000)
+    assert trees.languages == sorted(said)
+    new = spark.createDataFrame([(i, said[x], x) for i, x in enumerate(said)], "doc_id bigint, text string, lang string")
+    assert all(r.lang == r.lang_pred for r in language.predict(new, trees).select("_doc.lang", "lang_pred").collect())
+    # a piece of at most 1,000 characters of each of three texts, counted by the bytes of one context-free code
+    few = language.learn(spark.createDataFrame(rows[:1], "doc_id bigint, text string, lang string"), longest=10, order=0)
+    assert len(few.bytes_[0][0]) <= 10
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = queries.op7_ppm_language(spark, sf).filter("held_out")
