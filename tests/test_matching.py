@@ -266,3 +266,29 @@ def test_unusable_vectors_touch_no_other_row(spark):
                 for cache in (few, many)
             )
             assert found == wanted and len(found) == 4 * k
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_tiles_of_many_parts_and_blocks_equal_brute_force(spark, monkeypatch, k):
+    from hitgauge.operators import matching
+
+    monkeypatch.setattr(matching, "HELD_BYTES", 50 * DIM * 4)
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 7 * DIM * 4)
+    monkeypatch.setattr(matching, "MIN_TILE_ROWS", 20)
+    _, c = sample_sets()
+    seen, inner = [], matching._blocks
+    monkeypatch.setattr(matching, "_blocks", lambda *a: seen.append(inner(*a)) or seen[-1])
+    rows = vectors(spark, c)
+    found = match_top_k(rows, rows, query_id="id", cache_id="id", k=k, exclude_self=True, broadcast_bytes=0, tile_bytes=64)
+    assert_same(as_dict(found, k), brute(c, c, k, mask=lambda i, j: i == j))
+    for side, name in zip(seen, "qc"):
+        assert side.count() > 10 and side.select(F.sum(F.size(name))).first()[0] == len(c)
+
+
+def test_tiles_copy_no_vector(spark):
+    """However small the tiles, a vector is dealt out once; tiles read the parts again."""
+    from oracle_check import plan
+
+    rows = vectors(spark, sample_sets()[1])
+    text = plan(match_self(rows, id_col="id", broadcast_bytes=0, tile_bytes=DIM * 4))
+    assert "CartesianProduct" in text and "Generate" not in text
