@@ -21,13 +21,15 @@ one half differs in at most ``distance`` places and the other in at most ``secon
 close one, so candidates come from the rings of both.
 
 With ``share`` documents are linked if the Jaccard coefficient of their shingle sets is at least that, and equal sets are
-one node. Fingerprints that are so far apart (about a sixth of the bits) have no segments long enough to be a key,
-so nodes meet on bands instead: ``BANDS`` keys of ``BAND_ROWS`` minimum hashes of the shingles each, of 64 bits. Every
+one node. The rings of both halves give the groups of nodes within ``RING`` bits in one half and ``second`` in the other,
+as above, and each such group is a bucket. Linked fingerprints may be farther apart (about a sixth of the bits), where
+segments are too short to be a key; for those nodes meet on bands as well: ``BANDS`` keys of ``BAND_ROWS`` minimum hashes
+of the shingles each, of 64 bits. Every
 bucket has a centre, the member that meets most others; all its members are held against the centre, which is as
 many pairs as members. A pair is pruned by the pigeonring chains and the Hamming check of both halves of the fingerprint
 before the sets are compared. Buckets in which that left more than one group get their members' sets, in tiles of at
 most twice ``TILE`` members, and all their pairs of different groups are compared inside tasks; what leaves a task are
-links between groups, fewer than it has members. So every pair that shares a band is held against the rule, and neither
+links between groups, fewer than it has members. So every pair that the rings find or that shares a band is held against the rule, and neither
 families of pages with one template nor groups of copies are listed as pairs.
 
 Cases: NULL, empty and blank texts have no shingle and fingerprint zero, linked like any other; texts
@@ -57,6 +59,8 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 MATRIX = 2048
 #: Keys on which nodes meet, and minimum hashes in a key: of pairs that share 0.8 of their shingles, 99 of 100 meet.
 BANDS, BAND_ROWS = 25, 8
+#: Differing bits up to which the rings find all nodes that are linked by their sets of shingles.
+RING = 4
 #: Members of a bucket that are compared as one block.
 TILE = 1024
 #: Parts into which the fingerprints of a component are dealt.
@@ -306,6 +310,28 @@ def fingerprint_links(distinct: DataFrame, distance: int, second: int | None = N
     return _buckets(distinct.select("fp", "fp2"), distance, work, "a bigint, a2 bigint, b bigint, b2 bigint")
 
 
+def ring_groups(points: DataFrame, distance: int, second: int) -> DataFrame:
+    """(node, key): nodes of ``points`` that are near others, one half within ``distance`` and the other within ``second``.
+
+    A group is what a walk reaches in one bucket of the ring. Its key is made of its members, so a group that several
+    chains find is one group.
+    """
+
+    def work(rows: np.ndarray, start: int) -> Iterator[np.ndarray]:
+        first: dict[int, int] = {}
+        for a, b in walk(rows[:, :2].view(np.uint64), start, distance, second):
+            first[b] = first.setdefault(a, a)
+        places, groups = (np.fromiter(x, np.int64, len(first)) for x in (first.keys(), first.values()))
+        for group in np.unique(groups):
+            nodes = np.unique(rows[places[groups == group], 2])
+            key = np.array([xxhash.xxh64_intdigest(nodes.tobytes(), SEED)], np.uint64).view(np.int64)
+            yield np.stack([nodes, np.repeat(key, len(nodes))], 1)
+
+    halves = [points.select(*h, "node") for h in (("fp", "fp2"), (F.col("fp2").alias("fp"), F.col("fp").alias("fp2")))]
+    one, other = (_buckets(h, distance, work, "node bigint, key bigint") for h in halves)
+    return one.union(other).distinct()
+
+
 def similar(pairs: DataFrame, sets: DataFrame, distance: int, second: int, share: float) -> DataFrame:
     """The pairs (a, b) whose ``sets`` (node, fp, fp2, shingles) are near in both fingerprints and share at least ``share``.
 
@@ -345,12 +371,12 @@ def near_prints(differ: np.ndarray, differ2: np.ndarray, distance: int, second:
     return ok
 
 
-def buckets(points: DataFrame) -> tuple[DataFrame, list[int]]:
+def buckets(points: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[int]]:
     """(key, node, size) of the nodes that share a key with others, staged, and the keys with a thousandth of all rows.
 
-    There are at most a thousand such keys, so they may come to the driver.
+    ``groups`` has further rows (node, key). There are at most a thousand such keys, so they may come to the driver.
     """
-    rows = points.select("node", F.explode("keys").alias("key"))
+    rows = points.select("node", F.explode("keys").alias("key")).union(groups.select("node", "key"))
     sizes = stage(rows.groupBy("key").agg(F.count("*").alias("size")), "bucket-sizes")
     hot = _hot(sizes, "key", "size")
     return stage(_spread(rows, sizes.filter("size > 1"), "key", "node", hot), "buckets"), hot
@@ -458,9 +484,9 @@ def open_links(tiles: DataFrame, distance: int, second: int, share: float) -> Da
 
 
 def checked_links(docs: DataFrame, found: DataFrame, words: int, distance: int, second: int, share: float) -> DataFrame:
-    """(a, b): links between nodes of ``found`` that connect all pairs which share a band and keep the rule."""
+    """(a, b): links between nodes of ``found`` that connect all pairs which the rings find or which share a band, and keep the rule."""
     points = stage(found.select("node", "fp", "fp2", "keys").dropDuplicates(["node"]), "fingerprint-nodes")
-    members, hot = buckets(points)
+    members, hot = buckets(points, stage(ring_groups(points, min(RING, distance), second), "ring-groups"))
     met = stage(members.select("node").distinct(), "met-nodes")
     firsts = found.join(met, "node", "left_semi").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("c")

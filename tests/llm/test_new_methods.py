@@ -318,3 +318,28 @@ def test_copies_of_one_text_in_a_hot_node(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == 2600 and sum(r.component == 1 for r in found) >= 2500
+
+
+def test_the_rings_propose_pairs_by_themselves(spark, monkeypatch):
+    """Without any band, all pairs within four bits of a half that share enough shingles are linked."""
+    draw = np.random.default_rng(6)
+    pages = [[f"{p}w{i}" for i in range(300)] for p in range(12)]
+    texts = []
+    for page in pages:
+        for n in (0, 1, 2, 8):
+            at = int(draw.integers(5, 280))
+            texts.append(" ".join(page[:at] + [f"e{draw.integers(1 << 40)}" for _ in range(n)] + page[at + n :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    real = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: real(*a).withColumn("keys", F.array().cast("array<bigint>")))
+    found = {r.doc_id: r.component for r in simhash.near_duplicates(docs, words=5, distance=20, second=20, share=0.8).collect()}
+    sets = [set(simhash.shingle_set(list(simhash.shingle_hashes(t.encode(), 5))).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t.encode(), 5, True) for t in texts]
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near, far = sorted((x ^ y).bit_count() for x, y in zip(prints[i], prints[j]))
+            if near <= 4 and far <= 20 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked += 1
+                assert found[i] == found[j]
+    assert linked >= 12 and len(set(found.values())) >= 12
