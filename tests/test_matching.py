@@ -1,6 +1,7 @@
 """The three plans of the nearest-neighbour match against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,28 @@ def test_tiles_copy_no_vector(spark):
     rows = vectors(spark, sample_sets()[1])
     text = plan(match_self(rows, id_col="id", broadcast_bytes=0, tile_bytes=DIM * 4))
     assert "CartesianProduct" in text and "Generate" not in text
+
+
+def test_texts_are_cut_in_pieces_of_bounded_bytes(monkeypatch):
+    from hitgauge.operators import encoding
+
+    monkeypatch.setattr(encoding, "TOKEN_BYTES", 100)
+    made = pa.array(["x" * n for n in (10, 0, 60, 40, 300, 1, 99, 2)]).slice(1)
+    pieces = list(encoding._pieces(made))
+    assert pa.concat_arrays(pieces).to_pylist() == made.to_pylist()
+    assert [[len(t) for t in p.to_pylist()] for p in pieces] == [[0, 60, 40], [300], [1, 99], [2]]
+    assert not list(encoding._pieces(made.slice(7)))
+
+
+def test_held_vectors_are_not_kept_in_double():
+    """A task's memory is that of the vectors as they came, whatever was scored with them."""
+    from hitgauge.operators import matching
+
+    n = 20_000
+    values = np.random.default_rng(1).normal(size=(n, 64)).astype(np.float32)
+    held = matching.Vectors(np.arange(n), np.arange(n), np.zeros(n, np.int64), values).sorted()
+    asked = held.take(np.arange(50))
+    best = matching._best(asked, held, matching.MatchSpec())
+    assert best["match_id"].tolist() == list(range(50))
+    kept = sum(x.nbytes for x in vars(held).values() if isinstance(x, np.ndarray))
+    assert kept < 1.3 * values.nbytes
