@@ -318,3 +318,38 @@ def test_held_vectors_are_not_kept_in_double():
     assert best["match_id"].tolist() == list(range(50))
     kept = sum(x.nbytes for x in vars(held).values() if isinstance(x, np.ndarray))
     assert kept < 1.3 * values.nbytes
+
+
+def test_cells_below_what_was_found_are_not_scored(monkeypatch):
+    """Once a block has shown a good match, blocks of worse ones are only screened."""
+    from hitgauge.operators import matching
+
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(40, 16))
+    far = rng.normal(size=(4000, 16))
+    values = np.vstack([near, near + 1e-3 * rng.normal(size=near.shape), far]).astype(np.float32)
+    held = matching.Vectors(np.arange(len(values)), np.arange(len(values)), np.zeros(len(values), np.int64), values)
+    monkeypatch.setattr(matching, "SIMILARITY_BYTES", 8 * 40 * 100)  # 41 blocks of 100 vectors
+    scored, inner = [], matching._cell_scores
+    monkeypatch.setattr(matching, "_cell_scores", lambda q, c, rows, cols: scored.append(len(rows)) or inner(q, c, rows, cols))
+    best = matching._best(held.take(np.arange(40)), held, matching.MatchSpec(exclude_self=True))
+    assert best["match_id"].tolist() == list(range(40, 80))
+    assert sum(scored) < 3 * 40
+
+
+@pytest.mark.parametrize("by", [None, "run"])
+@pytest.mark.parametrize("k", [1, 3])
+def test_self_match_multiplies_a_pair_of_blocks_once(spark, monkeypatch, by, k):
+    from hitgauge.operators import matching
+
+    monkeypatch.setattr(matching, "HELD_BYTES", 50 * DIM * 4)
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 7 * DIM * 4)
+    monkeypatch.setattr(matching, "MIN_TILE_ROWS", 20)
+    _, c = sample_sets()
+    rows = vectors(spark, c).withColumn("run", (F.col("id") % 2).cast("int"))
+    pairs, inner = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, *a: pairs.append(df) or inner(df, *a))
+    found = match_top_k(rows, rows, query_id="id", cache_id="id", k=k, by=by, exclude_self=True, broadcast_bytes=0)
+    assert_same(as_dict(found, k), brute(c, c, k, mask=lambda i, j: i == j or (by and i % 2 != j % 2)))
+    blocks = pairs[0].select("block").distinct().count()
+    assert blocks > 10 and pairs[0].count() == blocks * (blocks + 1) // 2
