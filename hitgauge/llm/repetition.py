@@ -7,7 +7,7 @@ neighbouring suffixes from them. A position's longest repeat is the larger of it
 prefixes: the widest longest-common-prefix interval that holds it. The spans of these maximal repeated
 substrings are united; a document fails if they cover too large a share of its words or if one is too
 long. Both limits reach further than the base rules: the share is below theirs, and the longest repeat is
-bounded in words, whatever the length of the text.
+bounded in words, whatever the length of the text. Each text is sent to Python once, within its row.
 
 Cases: a NULL text, an empty one and one of white space have no words and fail the base rules; a text
 of any length is one unit of work with memory in proportion to its words; repeated rows are judged
@@ -30,6 +30,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Base rules: fewest words, words of a window, most percent of words in repeated windows.
 BASE_WORDS, WINDOW, BASE_PERCENT = 10, 5, 20
 
+#: Bytes of text under one suffix array, which takes many times as many; a longer text has its own.
+ARRAY_BYTES = 1 << 20
+
 MEASURES = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
     "base_failed boolean, covered_words bigint, longest_repeat bigint, "
@@ -144,6 +147,16 @@ def measure(texts: list[bytes], min_words: int, most_share: float, most_words: i
     }
 
 
+def judged(batches: Iterator[pa.RecordBatch], place: int, *limits: float) -> Iterator[pa.RecordBatch]:
+    """(_doc, repetition) of batches with the struct ``_doc``, whose field number ``place`` is the text."""
+    fields = [f.strip().split(" ")[0] for f in MEASURES.split(", ")]
+    held = (batch_like({"_doc": b.column("_doc"), "_text": b.column("_doc").field(place)}) for b in batches)
+    for batch in slices(held, "_text", ARRAY_BYTES):
+        found = measure(raw(batch, "_text"), *limits)
+        struct = pa.StructArray.from_arrays([found[f] for f in fields], names=fields)
+        yield batch_like({"_doc": batch.column("_doc"), "repetition": struct})
+
+
 def judge(
     docs: DataFrame, text: str = "text", min_words: int = 8, most_share: float = 0.1, most_words: int = 50
 ) -> DataFrame:
@@ -152,14 +165,12 @@ def judge(
     ``kept`` is false where the base rules fail, where repeated substrings of at least ``min_words`` words
     cover more than ``most_share`` of the words, or where one repeat has more than ``most_words`` words.
     """
-    packed = with_struct(docs, "_doc").withColumn("_text", F.col(f"_doc.`{text}`"))
-    fields = [f.strip().split(" ")[0] for f in MEASURES.split(", ")]
+    packed = with_struct(docs, "_doc")
+    names = packed.schema["_doc"].dataType.names
+    place = names.index(text) if text in names else [n.lower() for n in names].index(text.lower())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            found = measure(raw(batch, "_text"), min_words, most_share, most_words)
-            struct = pa.StructArray.from_arrays([found[f] for f in fields], names=fields)
-            yield batch_like({"_doc": batch.column("_doc"), "repetition": struct})
+        return judged(batches, place, min_words, most_share, most_words)
 
     kind = packed.schema["_doc"].dataType.simpleString()
     typed = ",".join(":".join(f.strip().split(" ", 1)) for f in MEASURES.split(", "))

@@ -14,10 +14,26 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes apart at once; a longer text comes alone.
 SLICE_BYTES = 4 << 20
+#: What this worker keeps from task to task, by step.
+_KEPT: dict[str, dict] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts have at most ``limit`` bytes together, or one row."""
+def kept(step: str) -> dict:
+    """What this worker keeps from one task of a step to the next."""
+    return _KEPT.setdefault(step, {})
+
+
+def let_go(but: str = "") -> None:
+    """Drop what this worker keeps for other steps: it serves one step after the other, and each needs the memory."""
+    for step in _KEPT.keys() - {but}:
+        del _KEPT[step]
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, step: str = ""
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have at most ``limit`` bytes together, or one row; only ``step`` stays kept."""
+    let_go(step)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes, dtype=np.int64), 0

@@ -12,7 +12,7 @@ per id of the vocabulary comes to the driver) and coded.
 
 With ``by_word``, white space as in ``[\\x20\\x09-\\x0D]`` must end any token of the tokenizer, so that a
 text's ids are those of its words one after the other; a worker then remembers the words it has coded
-(up to ``HELD_WORDS``). Texts with one of the tokenizer's added tokens in them, and all texts without
+(up to ``HELD_WORDS``) until it serves another step. Texts with one of the tokenizer's added tokens in them, and all texts without
 ``by_word``, are handed over whole.
 
 Cases: NULL and empty texts have the end id only; NULL document ids come first; rows that repeat an id are
@@ -36,18 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hitgauge.llm import rans
-from hitgauge.llm.texts import batch_like, numbered, raw, slices
+from hitgauge.llm.texts import batch_like, kept, let_go, numbered, raw, slices
 from hitgauge.staging import stage
 
 BLOCK_TOKENS = 1 << 20
 #: Words that a worker remembers, and the longest of them in bytes.
 HELD_WORDS, HELD_BYTES = 600_000, 48
+#: Words whose ids are asked for in one call.
+CALL_WORDS = 16_000
 #: Words that can be split at the end of their letters, if the tokenizer does so as well.
 TAIL = ".,!?;:"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 LETTERS = re.compile(f"([{ALPHABET}]+)([{TAIL}]*)")
-_WORDS: dict[bytes, bytes] = {}
-_FOR: list[int] = []
 
 
 def _tokenizer(file: str):
@@ -60,13 +60,15 @@ def _tokenizer(file: str):
 def _encode_words(tokenizer, words: list[bytes], kind: str, mark: tuple[str, int]) -> list[bytes]:
     """The ids of each word. Many words are one call: a special token between them parts their ids."""
     name, number = mark
-    joined = [name.join(w.decode("utf-8", "replace") for w in words[i : i + 1000]) for i in range(0, len(words), 1000)]
     out: list[bytes] = []
-    for found in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-        ids = np.array(found.ids, kind)
-        data, width = ids.tobytes(), ids.itemsize
-        cuts = (np.flatnonzero(ids == number) * width).tolist()
-        out += [data[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(data)])]
+    for at in range(0, len(words), CALL_WORDS):
+        part = words[at : at + CALL_WORDS]
+        joined = [name.join(w.decode("utf-8", "replace") for w in part[i : i + 1000]) for i in range(0, len(part), 1000)]
+        for found in tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(found.ids, kind)
+            data, width = ids.tobytes(), ids.itemsize
+            cuts = (np.flatnonzero(ids == number) * width).tolist()
+            out += [data[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(data)])]
     return out
 
 
@@ -88,7 +90,7 @@ def letter_forms(tokenizer) -> dict[int, str] | None:
 
 
 def _encode_new(
-    tokenizer, words: list[bytes], kind: str, mark: tuple[str, int], forms: dict[int, str] | None
+    tokenizer, words: list[bytes], kind: str, mark: tuple[str, int], forms: dict[int, str] | None, known: dict[bytes, bytes]
 ) -> list[bytes]:
     """The ids of words that are not yet known; runs of letters go straight to the tokenizer's model."""
     out: list[bytes] = [b""] * len(words)
@@ -102,7 +104,7 @@ def _encode_new(
         core, tail = found.groups()
         if tail not in tails:
             tails[tail] = _encode_words(tokenizer, [tail.encode()], kind, mark)[0]
-        ids = _WORDS.get(core.encode()) or array(code, [t.id for t in tokenize(core.translate(forms))]).tobytes()
+        ids = known.get(core.encode()) or array(code, [t.id for t in tokenize(core.translate(forms))]).tobytes()
         out[i] = ids + tails[tail]
     if rest:
         for i, ids in zip(rest, _encode_words(tokenizer, [words[i] for i in rest], kind, mark)):
@@ -110,8 +112,12 @@ def _encode_new(
     return out
 
 
-def encode_texts(tokenizer, texts: list[bytes], kind: str, by_word: bool, forms: dict[int, str] | None = None) -> list[bytes]:
-    """The ids of each text, as numbers of type ``kind`` one after the other."""
+def encode_texts(
+    tokenizer, texts: list[bytes], kind: str, by_word: bool, forms: dict[int, str] | None = None,
+    known: dict[bytes, bytes] | None = None,
+) -> list[bytes]:
+    """The ids of each text, as numbers of type ``kind`` one after the other; words are added to the ``known`` ones."""
+    known = {} if known is None else known
     added = tokenizer.get_added_tokens_decoder()
     marks = [(t.content, i) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
     names = [t.content.encode() for t in added.values()]
@@ -119,17 +125,17 @@ def encode_texts(tokenizer, texts: list[bytes], kind: str, by_word: bool, forms:
     whole = [t.decode("utf-8", "replace") for t, p in zip(texts, plain) if not p]
     rest = iter([np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(whole, add_special_tokens=False)])
     words, own, sizes = numbered([t if p else b"" for t, p in zip(texts, plain)])
-    coded = list(map(_WORDS.get, words))
+    coded = list(map(known.get, words))
     new = [i for i, c in enumerate(coded) if c is None]
     if new:
-        fresh = _encode_new(tokenizer, [words[i] for i in new], kind, marks[0], forms)
+        fresh = _encode_new(tokenizer, [words[i] for i in new], kind, marks[0], forms, known)
         for i, ids in zip(new, fresh):
             coded[i] = ids
-            if len(_WORDS) < HELD_WORDS and len(words[i]) <= HELD_BYTES:
-                _WORDS[words[i]] = ids
+            if len(known) < HELD_WORDS and len(words[i]) <= HELD_BYTES:
+                known[words[i]] = ids
     ends = np.cumsum(sizes).tolist()
-    spelled = list(map(coded.__getitem__, own.tolist()))
-    return [b"".join(spelled[b - n : b]) if p else next(rest) for b, n, p in zip(ends, sizes.tolist(), plain)]
+    spell = coded.__getitem__
+    return [b"".join(map(spell, own[b - n : b].tolist())) if p else next(rest) for b, n, p in zip(ends, sizes.tolist(), plain)]
 
 
 def tokenised(
@@ -149,11 +155,9 @@ def tokenised(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, model = TaskContext.get().partitionId(), 0, _tokenizer(held.value)
-        if _FOR != [zlib.crc32(held.value.encode())]:
-            _WORDS.clear()
-            _FOR[:] = [zlib.crc32(held.value.encode())]
-        for batch in slices(batches, "text"):
-            ids = [x + end for x in encode_texts(model, raw(batch, "text"), kind, by_word, forms)]
+        step = f"words as {kind} {zlib.crc32(held.value.encode())}"
+        for batch in slices(batches, "text", step=step):
+            ids = [x + end for x in encode_texts(model, raw(batch, "text"), kind, by_word, forms, kept(step))]
             n = np.array([len(x) // width for x in ids], np.int64)
             yield batch_like({
                 "part": pa.array(np.full(len(n), part, np.int32)),
@@ -178,6 +182,7 @@ def write(
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             column = batch.column("ids")
@@ -204,6 +209,7 @@ def write(
     id_kind = tokens.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         now: dict = {"part": -1, "start": 0, "n": 0, "ids": [], "docs": [], "sizes": []}
 
         def block() -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -17,6 +19,7 @@ import corpus_pipeline
 from cases import PASSAGE, rows
 from hitgauge.llm import decontamination, language, lattice, queries, rans, repetition, sentence_spans, simhash, token_files
 from hitgauge.llm.components import components
+from hitgauge.llm.texts import batch_like, kept, slices
 
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +95,24 @@ def test_limits_beyond_the_base_rules():
     assert found["kept"].to_pylist() == [k for _, k in cases]
 
 
+def test_rules_take_a_batch_in_small_arrays():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50_000, 5000)) for _ in range(250)]  # 8 MB
+    whole = pa.StructArray.from_arrays([pa.array(range(250)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    held = [b.column("repetition").field("longest_repeat") for b in repetition.judged(iter([batch_like({"_doc": whole})]), 1, 8, 0.1, 50)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wanted = repetition.measure([t.encode() for t in texts], 8, 0.1, 50)["longest_repeat"]
+    assert pa.concat_arrays(held).equals(wanted)
+    assert peak < 64 << 20
+
+
+def test_rules_get_a_text_once(docs):
+    plan = repetition.judge(docs.withColumnRenamed("text", "Text"))._jdf.queryExecution().analyzed().toString()
+    assert "_doc" in plan and "_text" not in plan
+
+
 # language
 
 
@@ -620,6 +641,19 @@ def test_token_files_of_odd_rows(spark, docs, none, by_word, tmp_path):
     assert token_files.read(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_known_words_go_with_their_step():
+    """What a worker remembers of words for token files is gone when quality rules run in it."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = token_files._tokenizer(f.read())
+    texts = [b"some words to remember"]
+    ids = token_files.encode_texts(model, texts, "<u2", True, None, kept("words"))
+    batch = batch_like({"text": pa.array(["some words to remember"])})
+    assert list(slices(iter([batch]), "text", step="words")) and len(kept("words")) == 4
+    assert ids == token_files.encode_texts(model, texts, "<u2", True, None, kept("words"))
+    row = pa.StructArray.from_arrays([batch.column("text")], names=["text"])
+    assert list(repetition.judged(iter([batch_like({"_doc": row})]), 0, 8, 0.1, 50)) and not kept("words")
+
+
 def test_tokens_of_the_table(spark, sample):
     from tokenizers import Tokenizer
 
