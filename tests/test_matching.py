@@ -353,3 +353,90 @@ def test_self_match_multiplies_a_pair_of_blocks_once(spark, monkeypatch, by, k):
     assert_same(as_dict(found, k), brute(c, c, k, mask=lambda i, j: i == j or (by and i % 2 != j % 2)))
     blocks = pairs[0].select("block").distinct().count()
     assert blocks > 10 and pairs[0].count() == blocks * (blocks + 1) // 2
+
+
+def packed_vectors(values, ids=None, groups=None):
+    from hitgauge.operators import matching
+
+    n = len(values)
+    ids = np.arange(n) if ids is None else ids
+    values = np.asarray(values, dtype=np.float32)
+    return matching.Vectors(ids, ids, np.zeros(n, np.int64) if groups is None else groups, values).sorted()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_blocks_are_packed_with_what_they_find_inside(monkeypatch, k):
+    """A packed block comes back as it was; its floors are scores that k other rows of the group reach."""
+    from hitgauge.operators import matching
+
+    monkeypatch.setattr(matching, "FLOOR_ROWS", 40)
+    _, c = sample_sets()
+    rows = [(i, i, i % 2, v.tolist()) for i, v in enumerate(c)] + [(900, 900, 0, [float("nan")] * DIM), (901, 901, 0, None)]
+    schema = pa.schema([("id", pa.int64()), ("ord", pa.int64()), ("grp", pa.int64()), ("vec", pa.list_(pa.float32()))])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    for name, value in (("block", pa.array([7] * len(rows), pa.int64())), ("part", pa.array([3] * len(rows), pa.int32()))):
+        table = table.append_column(name, value)
+    row = matching._pack(table, matching.MatchSpec(k, exclude_self=True)).to_batches()[0]
+    assert (row.column("block")[0].as_py(), row.column("part")[0].as_py()) == (7, 3)
+    made = matching.Vectors.from_packed(row.column("ids")[0].values, row.column("data")[0].as_buffer())
+    wanted = packed_vectors(c, groups=np.arange(len(c)) % 2)
+    for name in ("ids", "order", "group", "values", "norms"):
+        assert np.array_equal(getattr(made, name), getattr(wanted, name))
+    best = brute(c, c, k, mask=lambda i, j: i == j or i % 2 != j % 2)
+    kth = np.array([best[i][k - 1][1] for i in made.ids])
+    assert np.all(made.floor <= kth + 1e-9) and np.isfinite(made.floor).all()
+    plain = matching._pack(table, None).to_batches()[0]
+    loose = matching.Vectors.from_packed(plain.column("ids")[0].values, plain.column("data")[0].as_buffer())
+    assert np.isneginf(loose.floor).all() and np.array_equal(loose.values, made.values)
+
+
+def test_block_without_usable_vectors_is_packed():
+    from hitgauge.operators import matching
+
+    none = pa.table({"id": [1], "ord": [1], "grp": [0], "vec": pa.array([None], pa.list_(pa.float32())), "block": [0], "part": [0]})
+    row = matching._pack(none, matching.MatchSpec(exclude_self=True)).to_batches()[0]
+    assert len(matching.Vectors.from_packed(row.column("ids")[0].values, row.column("data")[0].as_buffer()).ids) == 0
+
+
+def test_tiles_get_vectors_as_bytes_that_are_dealt_once(spark, monkeypatch):
+    """A block is packed before tiles read it, and both sides of a self match read the same packed blocks."""
+    from oracle_check import plan
+
+    rows = vectors(spark, sample_sets()[1])
+    pairs, inner = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, *a: pairs.append(df) or inner(df, *a))
+    match_self(rows, id_col="id", broadcast_bytes=0)
+    types = dict(pairs[0].dtypes)
+    assert types["q_data"] == types["c_data"] == "binary" and "float" not in str(types)
+    pairs[0].collect()
+    assert "ReusedExchange" in plan(pairs[0])
+
+
+def test_cells_below_the_floor_of_a_block_are_not_scored(monkeypatch):
+    from hitgauge.operators import matching
+
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=(40, 16))
+    asked = packed_vectors(near)
+    far = packed_vectors(rng.normal(size=(4000, 16)), np.arange(100, 4100))
+    scored, inner = [], matching._cell_scores
+    monkeypatch.setattr(matching, "_cell_scores", lambda q, c, rows, cols: scored.append(len(rows)) or inner(q, c, rows, cols))
+    known = matching.Best(40, 1, np.full(40, 0.999))
+    matching._add_best(asked, far, matching.MatchSpec(), known)
+    assert not sum(scored) and not len(known.kept()["q"])
+    matching._add_best(asked, far, matching.MatchSpec(), matching.Best(40, 1))
+    assert sum(scored) >= 40
+
+
+def test_vectors_of_any_length_are_screened_right():
+    """Lengths that single precision cannot invert are brought to unit length in double."""
+    from hitgauge.operators import matching
+
+    rng = np.random.default_rng(7)
+    values = rng.normal(size=(60, DIM))
+    values[50:] = values[:10] + 1e-4 * rng.normal(size=(10, DIM))
+    wanted = [best[0][0] for best in brute(values, values, mask=lambda i, j: i == j).values()]
+    for lengths in (np.ones(60), 10.0 ** rng.integers(-37, 37, 60), np.full(60, 1e-37)):
+        made = packed_vectors(values * lengths[:, None])
+        assert matching._best(made, made, matching.MatchSpec(exclude_self=True))["match_id"].tolist() == wanted
+        assert np.allclose(np.linalg.norm(made.rough(slice(None)), axis=1), 1, atol=1e-5)
